@@ -70,9 +70,10 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
             "_w_before": F.coalesce(F.sum("_w").over(before), F.lit(0.0)),
         }
     )
-    # The level if exactly the sources before this one are capped; the first that is not above it sets it.
+    # The level if exactly the sources before this one are capped.  The first source that stays under its
+    # cap then sets it; later ones do so too, at levels that only fall.
     level = (F.col("_total") - F.col("_cap_before")) / (F.col("_weights") - F.col("_w_before"))
-    rows = rows.withColumn("_level", F.min(F.when(level * F.col("_w") <= F.col("_cap"), level)).over(everything))
+    rows = rows.withColumn("_level", F.max(F.when(level * F.col("_w") <= F.col("_cap"), level)).over(everything))
     target = F.when(F.col("_level").isNull(), F.col("_cap")).otherwise(F.least("_cap", F.col("_level") * F.col("_w")))
     return rows.select("skey", "source_size", target.alias("target"))
 
@@ -188,7 +189,7 @@ WITH RECURSIVE d AS (
          coalesce(sum(cap) OVER b, 0.0) AS cap_before, coalesce(sum(w) OVER b, 0.0) AS w_before
   FROM w WINDOW b AS (ORDER BY cap / w, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), l AS (
-  SELECT *, min(CASE WHEN (total - cap_before) / (weights - w_before) * w <= cap THEN (total - cap_before) / (weights - w_before) END) OVER () AS level FROM p
+  SELECT *, max(CASE WHEN (total - cap_before) / (weights - w_before) * w <= cap THEN (total - cap_before) / (weights - w_before) END) OVER () AS level FROM p
 ), t AS (
   SELECT skey, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, level * w) END AS target FROM l
 ), e AS (
