@@ -1,0 +1 @@
+"""Nutrition, calorie-budget and body-weight analytics as Spark DataFrames."""
