@@ -1,0 +1,186 @@
+"""The published golden cases, on tiny tables."""
+
+import datetime as dt
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from victual.functions import dates
+from victual.operators import budget, energy, labels, portions, weight
+from victual.operators.nutrition import nutrition
+from victual.schemas import DEFAULT_SETTINGS, NUTRIENTS, PROFILE, schema
+from victual.sources import backup, store
+
+CREAM = {"carbsG": 63.0, "sugarsG": 47.0, "proteinG": 6.0, "fatG": 27.0, "saturatedFatG": 14.0, "transFatG": 0.3}
+UNIT = {"id": "piece", "singular": "unidade", "plural": "unidades", "quantity": 4.75, "grams": 30.0, "ml": None}
+
+
+def food(spark, **changes):
+    row = {
+        "id": "f", "name": "Cream", "brand": None, "barcode": None, "nutritionBasis": {"type": "mass", "grams": 100.0, "ml": None},
+        "nutrition": {n: CREAM.get(n) for n in NUTRIENTS}, "servingUnits": [UNIT], "source": "manual", "sourceMetadata": None, "createdAt": None, "updatedAt": None,
+    }
+    return spark.createDataFrame([row | changes], schema("foods"))
+
+
+def line(spark, amount, unit="piece", food_id="f"):
+    return spark.createDataFrame(
+        [(1, "e", dt.date(2026, 8, 20), "Lunch", food_id, float(amount), unit, dt.datetime(2026, 8, 20))],
+        "owner_id long, id string, date date, meal string, foodId string, amount double, unitId string, createdAt timestamp",
+    )
+
+
+@pytest.mark.parametrize("amount, label", [(1, "unidade"), (2, "unidades"), (-1, "unidade")])
+def test_portions_scale_every_nutrient(spark, amount, label):
+    (row,) = portions.diary_snapshots(line(spark, amount), food(spark), strict=True).collect()
+    grams = amount * 30 / 4.75
+    assert row.grams == pytest.approx(grams, abs=1e-12) and row.ml is None and row.unitLabel == label
+    assert row.nutritionSnapshot.kcal is None
+    for n, value in CREAM.items():
+        assert row.nutritionSnapshot[n] == pytest.approx(value * grams / 100, abs=1e-12)
+    assert portions.diary_snapshots(line(spark, 2), food(spark)).first().grams == pytest.approx(12.631578947)
+
+
+def test_snapshots_do_not_follow_the_food(spark):
+    taken = portions.diary_snapshots(line(spark, 2), food(spark)).first()
+    changed = food(spark, nutrition={n: 1.0 for n in NUTRIENTS})
+    assert changed.first().nutrition.carbsG == 1.0
+    assert taken.nutritionSnapshot.carbsG == pytest.approx(63 * 12.631578947 / 100)
+
+
+@pytest.mark.parametrize(
+    "unit, changes, error",
+    [
+        ("cup", {}, portions.UNKNOWN_UNIT),
+        ("ml", {}, portions.UNKNOWN_UNIT),
+        ("piece", {"servingUnits": [UNIT | {"grams": None}]}, portions.NO_RELATION),
+        ("piece", {"servingUnits": [UNIT | {"grams": None, "ml": 5.0}]}, portions.MISMATCH),
+        ("piece", {"nutritionBasis": {"type": "volume", "grams": None, "ml": 100.0}}, portions.MISMATCH),
+        ("piece", {"nutritionBasis": {"type": "volume", "grams": None, "ml": 100.0}, "servingUnits": [UNIT | {"ml": 9.0}]}, portions.MISMATCH),
+        ("piece", {"servingUnits": [UNIT | {"quantity": 0.0}]}, portions.ZERO),
+        ("g", {"nutritionBasis": {"type": "mass", "grams": 0.0, "ml": None}}, portions.ZERO),
+        ("g", {"servingUnits": [UNIT | {"id": "g", "grams": 7.0}]}, None),
+        ("piece", {"servingUnits": []}, portions.UNKNOWN_UNIT),
+    ],
+)
+def test_portion_errors(spark, unit, changes, error):
+    (row,) = portions.resolve(line(spark, 2, unit), food(spark, **changes)).collect()
+    assert row.portion.error == error
+    if error is None:
+        assert row.portion.grams == 2.0 and row.portion.label == "g"
+    else:
+        assert row.portion.nutrition.carbsG is None
+        with pytest.raises(Exception, match=error):
+            portions.resolve(line(spark, 2, unit), food(spark, **changes), strict=True).collect()
+
+
+def test_unknown_foods_and_volume(spark):
+    assert portions.resolve(line(spark, 2, "g", "gone"), food(spark)).first().portion.error == portions.NO_FOOD
+    milk = food(spark, nutritionBasis={"type": "volume", "grams": None, "ml": 200.0})
+    assert portions.resolve(line(spark, 50, "ml"), milk).first().portion.nutrition.carbsG == pytest.approx(63 / 4)
+    assert [r.unit_id for r in portions.available_units(milk).orderBy("position").collect()] == ["ml", "piece"]
+
+
+def settings(spark, **changes):
+    rows = store.default_settings(spark.createDataFrame([(1,)], "owner_id long"), F.lit("2026-08-01").cast("timestamp"))
+    return rows.withColumns({k: F.lit(v) for k, v in changes.items()})
+
+
+def entry(spark, date, kcal, owner=1):
+    rows = spark.createDataFrame([(owner, "d", dt.date.fromisoformat(date), "Lunch")], "owner_id long, id string, date date, meal string")
+    return rows.withColumn("nutritionSnapshot", nutrition(kcal=F.lit(float(kcal))))
+
+
+def test_weekly_budget(spark):
+    (row,) = budget.weekly_summary(entry(spark, "2026-08-17", 7300), settings(spark), F.lit("2026-08-21").cast("date")).collect()
+    assert (row.target, row.consumed, row.remaining, row.remaining_days) == (14000, 7300, 6700, 3)
+    assert row.average_available_per_remaining_day == pytest.approx(2233.33333)
+    assert (row.week_start, row.week_end) == (dt.date(2026, 8, 17), dt.date(2026, 8, 23))
+
+
+def test_an_empty_week_still_has_a_summary(spark):
+    (row,) = budget.weekly_summary(entry(spark, "2026-08-16", 7300), settings(spark, calorieTargetMode="weekly", weeklyCalorieTarget=9000.0), F.lit("2026-08-21").cast("date")).collect()
+    assert (row.target, row.consumed, row.remaining) == (9000, 0, 9000)
+
+
+@pytest.mark.parametrize("day, starts, left", [("2026-08-23", 1, 1), ("2026-08-23", 0, 7), ("2026-08-22", 0, 1), ("2026-08-19", 3, 7)])
+def test_days_remaining(spark, day, starts, left):
+    assert spark.range(1).select(dates.days_remaining(F.lit(day).cast("date"), F.lit(starts)).alias("n")).first().n == left
+
+
+@pytest.mark.parametrize("birth, today, age", [("1990-08-21", "2026-08-20", 35), ("1990-08-20", "2026-08-20", 36), ("2000-02-29", "2023-02-28", 22), ("2000-02-29", "2023-03-01", 23)])
+def test_ages(spark, birth, today, age):
+    assert spark.range(1).select(dates.age_on(F.lit(birth).cast("date"), F.lit(today).cast("date")).alias("n")).first().n == age
+
+
+def profile(spark, **values):
+    fields = {n: None for n in ("currentWeightKg", "goalWeightKg", "heightCm", "birthDate", "age", "sex", "activityLevel", "manualTdee", "desiredWeightChangeKgPerWeek")}
+    return spark.createDataFrame([(fields | {"activityLevel": "moderate"} | values,)], f"p {PROFILE}").select(energy.energy(F.col("p"), F.lit("2026-08-20").cast("date")).alias("e")).first().e
+
+
+def test_energy(spark):
+    full = {"currentWeightKg": 82.0, "heightCm": 180.0, "age": 36.0, "sex": "male"}
+    assert profile(spark, **full).bmr == pytest.approx(1770, abs=1) and profile(spark, **full).tdee == pytest.approx(1770 * 1.55)
+    assert tuple(profile(spark, manualTdee=2400.0, **full)) == (None, 2400.0, "manual")
+    assert profile(spark, **full | {"age": None}).reason == "missing-inputs"
+    assert profile(spark, **full | {"age": None, "birthDate": dt.date(1990, 8, 20)}).bmr == pytest.approx(1770, abs=1)
+    for missing in ({"heightCm": 0.0}, {"sex": None}, {"sex": ""}, {"currentWeightKg": None}):
+        assert profile(spark, **full | missing).reason == "missing-inputs"
+
+
+def weights(spark, *rows):
+    return spark.createDataFrame([(1, str(i), dt.date.fromisoformat(d), float(kg), None) for i, (d, kg) in enumerate(rows)], schema("weightEntries"))
+
+
+def test_weights(spark):
+    table = weights(spark, ("2026-08-01", 83), ("2026-08-20", 81.5), ("2026-08-10", 82))
+    today = F.lit("2026-08-20").cast("date")
+    assert [r.trendKg for r in weight.moving_average(table, 2).orderBy("date").collect()] == [83, 82.5, 81.75]
+    assert weight.change_over_days(table, 7, today).first().change == -0.5
+    assert weight.change_over_days(table, 30, today).first().change is None
+    assert weight.change_over_days(weights(spark, ("2026-08-01", 83)), 7, today).first().change == 0
+    ties = weights(spark, ("2026-08-20", 80), ("2026-08-20", 81), ("2026-09-01", 70))
+    assert weight.latest(ties).first().kg == 70
+    assert weight.line_path(weights(spark, ("2026-08-01", 80), ("2026-08-02", 82))).first().path == "M0.00 93.00 L100.00 7.00"
+    assert weight.line_path(weights(spark, ("2026-08-01", 80))).first().path == ""
+    flat = weights(spark, ("2026-08-01", 80), ("2026-08-02", 80))
+    assert weight.line_path(flat).first().path == "M0.00 93.00 L100.00 93.00"
+
+
+LABEL = """Porção: 30 g (4,75 unidades) 100 g
+Valor energético 520 kcal Carboidratos 63 g Açúcares totais 47 g
+Açúcares adicionados 45 g PROTEÍNAS 6 g Gorduras totais 27 g Gorduras saturadas 14 g Gorduras trans 0,3 g Sódio 130 mg"""
+
+
+def parsed(spark, text):
+    return labels.parse_labels(spark.createDataFrame([(text,)], "text string")).first()
+
+
+def test_labels(spark):
+    row = parsed(spark, LABEL)
+    assert tuple(row.nutritionBasis) == ("mass", 100.0, None) and row.nutrition.transFatG == 0.3 and row.nutrition.proteinG == 6
+    (unit,) = row.servingUnits
+    assert (unit.singular, unit.plural, unit.quantity, unit.grams, unit.ml) == ("unidad", "unidades", 4.75, 30, None)
+    assert row.warnings == [] and row.confidence == "high"
+
+
+def test_label_quirks(spark):
+    assert tuple(parsed(spark, "Porção: 200ml").nutritionBasis) == ("volume", None, 200.0)
+    assert parsed(spark, "1100 g").nutritionBasis.grams == 100
+    assert parsed(spark, "Porção 0 g").nutritionBasis is None
+    row = parsed(spark, None)
+    assert row.warnings == [labels.NO_BASIS, labels.FEW] and row.confidence == "low" and row.servingUnits == []
+    assert parsed(spark, "porcao de pão").warnings[-1] == labels.NO_UNIT
+
+
+def test_backups(spark):
+    now = F.lit("2026-08-20T00:00:00Z")
+    empty = {n: spark.createDataFrame([], schema(n)) for n in ("diaryEntries", "weightEntries")}
+    foods = spark.createDataFrame([], "owner_id long, id string")
+    built = backup.validate(backup.build(settings(spark), foods, empty["diaryEntries"], empty["weightEntries"], now)).first()
+    assert built.error is None and json.loads(built.backup)["version"] == 1
+    again = backup.read(spark.createDataFrame([(1, built.backup)], "owner_id long, backup string"))
+    assert again["settings"].first().mealNames == DEFAULT_SETTINGS["mealNames"] and again["foods"].count() == 0
+    assert backup.validate(spark.createDataFrame([('{"version": 999}',)], "backup string")).first().error == backup.UNSUPPORTED
+    assert backup.validate(spark.createDataFrame([(None,)], "backup string")).first().error == backup.INVALID
