@@ -74,8 +74,8 @@ def fingerprints(text: bytes, least: int = LEAST_WORDS) -> list[tuple[int, int,
     return out
 
 
-def without_lines(text: bytes, spans: list[tuple[int, int]]) -> bytes:
-    """The text without the lines of the spans (first, last)."""
+def without_lines(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
+    """The text without the lines with words of the spans (first, last), and how many they are."""
     lines: list[bytes | None] = text.split(b"\n")  # type: ignore[assignment]
     reach = -1
     for a, b in sorted(spans):
@@ -83,7 +83,8 @@ def without_lines(text: bytes, spans: list[tuple[int, int]]) -> bytes:
             if lines[at].strip():
                 lines[at] = None
         reach = max(reach, b)
-    return b"\n".join(x for x in lines if x is not None)
+    kept = [x for x in lines if x is not None]
+    return b"\n".join(kept), len(lines) - len(kept)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -102,9 +103,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, gone = [], []
         for text, spans in zip(batch.column("_text"), batch.column("_spans").to_pylist()):
             raw = text.as_buffer().to_pybytes()
-            new = without_lines(raw, [(s["first"], s["last"]) for s in spans]) if spans else raw
+            new, n = without_lines(raw, [(s["first"], s["last"]) for s in spans]) if spans else (raw, 0)
             texts.append(new.decode())
-            gone.append(raw.count(b"\n") - new.count(b"\n") if new else len(raw.split(b"\n")))
+            gone.append(n)
         names = [n for n in batch.schema.names if n not in ("_text", "_spans")]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string()), pa.array(gone, pa.int64())], names=[*names, "_new", "_gone"])
 
