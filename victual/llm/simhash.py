@@ -213,12 +213,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows that share that doc_id are reduced to one, the smallest text.  Rows
     without doc_id stay.
     """
-    found = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi")
-    repeated = written(kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
-    once = kept.join(repeated, "doc_id", "left_anti")
-    rest = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(rest).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    found = near_duplicates(docs).groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.expr("doc_id = component_id")).alias("first"))
+    found = written(found.where("first").select("doc_id", "n"), "kept")
+    kept = docs.join(found.select("doc_id"), "doc_id", "left_semi")
+    repeated = found.where("n > 1").select("doc_id")
+    if not repeated.isEmpty():
+        rest = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text", F.xxhash64(*docs.columns))).alias("row"))
+        kept = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(rest.select("row.*"))
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def op8_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
