@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from victual.operators import catalog, products
 from victual.schemas import schema
+from victual.sources import backup
 from victual.sources.store import Store, default_settings, save_foods, save_weights, with_defaults
 from tests.test_golden import food, settings, weights
 
@@ -75,3 +76,27 @@ def test_products(spark):
     assert (one.name, one.nutrition.kcal, one.nutrition.fatG, one.nutrition.sodiumMg, one.nutrition.fiberG) == ("Produto 1", 1.5, 0.0, 100.0, None)
     assert (two.name, two.brand, two.nutrition.sodiumMg) == ("P", "B", 7.0)
     assert three.name == "Produto 3" and three.nutrition.kcal is None
+    path = spark.range(1).select(products.lookup_path(F.lit("a b/1")).alias("p")).first().p
+    assert path == "/api/v2/product/a%20b%2F1.json"
+
+
+def test_export_import_and_restore(spark, tmp_path):
+    diary = spark.createDataFrame([(1, "e", dt.date(2026, 8, 20), "Lunch", "f", "Cream", 1.0, "g", "g", 1.0, None, None, None)], schema("diaryEntries"))
+    mine = food(spark, name="a\nb").withColumn("owner_id", F.lit(1).cast("long"))
+    built = backup.build(settings(spark), mine, diary, weights(spark, ("2026-08-01", 83)), F.lit("2026-08-20"), pretty=True)
+    backup.export_files(built, str(tmp_path / "out"))
+    read = backup.import_files(spark, str(tmp_path / "out"))
+    store = Store(spark, str(tmp_path / "store"))
+    backup.restore(store, read)
+    assert store.read("foods").first().name == "a\nb" and store.read("diaryEntries").first().date == dt.date(2026, 8, 20)
+    assert store.read("weightEntries").first().kg == 83 and store.read("settings").first().weekStartsOn == 1
+    broken = spark.createDataFrame([(1, "{}")], "owner_id long, backup string")
+    with pytest.raises(ValueError, match="unsupported-version"):
+        backup.restore(store, backup.validate(broken))
+    assert store.version() == 1
+
+
+def test_the_last_row_of_an_id_is_read(spark):
+    document = '{"version": 1, "settings": {"id": "settings"}, "foods": [], "diaryEntries": [], "weightEntries": [{"id": "w", "kg": 1}, {"id": "v", "kg": 2}, {"id": "w", "kg": 3}]}'
+    tables = backup.read(spark.createDataFrame([(1, document)], "owner_id long, backup string"))
+    assert {(r.id, r.kg) for r in tables["weightEntries"].collect()} == {("w", 3.0), ("v", 2.0)}

@@ -48,3 +48,8 @@ def from_responses(rows: DataFrame, response: str = "response", barcode: str = "
     read = rows.withColumn("_r", F.from_json(response, "status int, product string"))
     found = read.where("_r.status = 1 and _r.product is not null").select(F.col(barcode), F.col("_r.product").alias("json"))
     return normalize(found, "json", barcode)
+
+
+def lookup_path(barcode: Column) -> Column:
+    """The path of a product's JSON below a product API, with the code escaped."""
+    return F.concat(F.lit("/api/v2/product/"), F.replace(F.url_encode(barcode), F.lit("+"), F.lit("%20")), F.lit(".json"))
