@@ -2,7 +2,7 @@
 
 The statistics and the verdict are built-in expressions over the text of a row:
 no user functions, no shuffle.  A statistic is linear in the text or sorts its
-3-word windows, so very long texts are only long.
+3-word windows (by their 64-bit hashes), so very long texts are only long.
 """
 
 from __future__ import annotations
@@ -38,51 +38,42 @@ def _ratio(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
 
 
-def _repeated_words(words: Column) -> Column:
-    """How many words stand in a 3-word window that the text has twice or more.
+def _windows(words: Column) -> Column:
+    """The 3-word windows, as hash and place, sorted, so that equal ones are neighbours."""
+    places = F.sequence(F.lit(0), F.size(words) - 3)
+    each = F.transform(places, lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("w"), i.alias("i")))
+    return F.when(F.size(words) > 3, F.sort_array(each))
 
-    Windows are sorted with their places, so that equal ones are neighbours;
-    each repeated one marks its three places, and the marks are counted once.
-    """
-    windows = F.array_sort(
-        F.transform(
-            F.sequence(F.lit(0), F.size(words) - 3),
-            lambda i: F.struct(F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("w"), i.alias("i")),
-        )
-    )
-    def marks(sorted_: Column) -> Column:
-        last = F.size(sorted_) - 1
-        flat = F.transform(
-            sorted_,
-            lambda x, k: F.when(
-                ((k > 0) & (F.get(sorted_, k - 1)["w"] == x["w"])) | ((k < last) & (F.get(sorted_, k + 1)["w"] == x["w"])), x["i"]
-            ),
-        )
-        at = F.array_compact(flat)
-        return F.size(F.array_distinct(F.concat(at, F.transform(at, lambda i: i + 1), F.transform(at, lambda i: i + 2))))
-
-    # aggregate() binds the sorted windows once, so that each use isn't another sort.
-    return F.when(F.size(words) < 4, F.lit(0)).otherwise(
-        F.aggregate(F.array(windows), F.lit(0), lambda _, s: marks(s))
-    )
+
+def _repeated_places(windows: Column) -> Column:
+    """Where the windows begin that the text has twice or more (null if it has no two windows)."""
+    others = F.size(windows) - 1
+    twice = F.zip_with(F.slice(windows, F.lit(1), others), F.slice(windows, F.lit(2), others), lambda a, b: F.when(a["w"] == b["w"], F.array(a["i"], b["i"])))
+    return F.when(windows.isNotNull(), F.array_distinct(F.flatten(F.array_compact(twice))))
+
+
+def _repeated_words(at: Column) -> Column:
+    """How many words stand in windows that begin at these places: each marks its three."""
+    marks = F.concat(at, F.transform(at, lambda i: i + 1), F.transform(at, lambda i: i + 2))
+    return F.when(at.isNull() | (F.size(at) == 0), F.lit(0)).otherwise(F.size(F.array_distinct(marks)))
 
 
 def statistics(docs: DataFrame) -> DataFrame:
     """``doc_id`` and the statistics of each row's text (null: no words)."""
-    words = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(
-        "doc_id", "text", F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)).alias("words")
-    )
+    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    words = text.select("doc_id", "text", F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)).alias("words"))
+    windows = words.select("doc_id", "text", "words", _windows(F.col("words")).alias("windows"))
+    windows = windows.select("doc_id", "text", "words", _repeated_places(F.col("windows")).alias("at"))
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(WORD))
-    stop = F.lit(r"(?i)(?<![^\x20\x09-\x0D])(?:" + "|".join(STOP_WORDS) + r")(?![^\x20\x09-\x0D])")
-    counted = words.select(
+    counted = windows.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
-        (F.length("text") - F.length(F.regexp_replace("text", WORD, ""))).cast("long").alias("word_chars"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.size(lines).cast("long").alias("n_lines"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        _repeated_words(F.col("words")).cast("long").alias("n_repeat_words"),
-        F.regexp_count("text", stop).cast("long").alias("n_stop_words"),
+        _repeated_words(F.col("at")).cast("long").alias("n_repeat_words"),
+        F.size(F.filter("words", lambda word: F.lower(word).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
     )
     return counted.withColumns(
         {
