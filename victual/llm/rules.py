@@ -28,7 +28,7 @@ THRESHOLDS = (
     ("long_words", "mean_word_chars", ">", 15.0),
     ("symbols", "symbol_ratio", ">", 0.1),
     ("few_stop_words", "stop_word_ratio", "<", 0.02),
-    ("repeated_lines", "dup_line_ratio", ">", 0.3),
+    ("repeated_lines", "dup_line_ratio", ">", 0.5),
     ("repeated_words", "repeat_word_ratio", ">", 0.5),
 )
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
@@ -138,7 +138,7 @@ WITH t AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        (NOT base_failed AND NOT (
          n_words > 1000000 OR word_chars < 2.0 * n_words OR word_chars > 15.0 * n_words
-         OR n_symbols / n_words > 0.1 OR n_stop / n_words < 0.02 OR n_dup_lines / n_lines > 0.3 OR n_repeat_words / n_words > 0.5
+         OR n_symbols / n_words > 0.1 OR n_stop / n_words < 0.02 OR n_dup_lines / n_lines > 0.5 OR n_repeat_words / n_words > 0.5
        )) AS kept
 FROM b
 """
