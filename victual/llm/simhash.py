@@ -215,7 +215,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     found = near_duplicates(docs).groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.expr("doc_id = component_id")).alias("first"))
     found = written(found.where("first").select("doc_id", "n"), "kept")
-    kept = docs.join(found.select("doc_id"), "doc_id", "left_semi")
+    # The kept ids grow with the documents: they're merged at every size, never broadcast.
+    kept = docs.join(found.select("doc_id").hint("merge"), "doc_id", "left_semi")
     repeated = found.where("n > 1").select("doc_id")
     if not repeated.isEmpty():
         rest = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text", F.xxhash64(*docs.columns))).alias("row"))
