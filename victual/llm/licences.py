@@ -84,10 +84,15 @@ def canonical(text: Column) -> Column:
     return F.trim(out)
 
 
+def _digest(form: Column) -> Column:
+    """Never null, so that a join adds no test that would compute the form once more."""
+    return F.coalesce(F.sha2(form.cast("binary"), 256), F.lit(""))
+
+
 def known_digests(spark: SparkSession, catalogue: Iterable[tuple[str, str]] = CATALOGUE) -> DataFrame:
     """``license, digest``: of a digest that two licences share, the first by name."""
-    texts = spark.createDataFrame(list(catalogue), "license string, text string")
-    return texts.select("license", F.sha2(canonical(F.col("text")).cast("binary"), 256).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
+    texts = spark.createDataFrame(list(catalogue), "license string, text string").select("license", canonical(F.col("text")).alias("form"))
+    return texts.where("form <> ''").groupBy(_digest(F.col("form")).alias("digest")).agg(F.min("license").alias("license"))
 
 
 def scan_licenses(docs: DataFrame, catalogue: Iterable[tuple[str, str]] = CATALOGUE) -> DataFrame:
@@ -105,8 +110,8 @@ def scan_licenses(docs: DataFrame, catalogue: Iterable[tuple[str, str]] = CATALO
     text = F.coalesce("text", F.lit(""))
     whole = docs.select("doc_id", text.alias("unit"), F.lit("document").alias("scope"))
     lines = docs.select("doc_id", F.explode(F.split(text, "\n")).alias("unit"), F.lit("line").alias("scope"))
-    forms = whole.unionByName(lines).select("doc_id", "scope", canonical(F.col("unit")).alias("form")).where("form <> ''")
-    found = forms.select("doc_id", "scope", F.sha2(F.col("form").cast("binary"), 256).alias("digest")).join(known, "digest")
+    units = whole.unionByName(lines).select("doc_id", "scope", _digest(canonical(F.col("unit"))).alias("digest"))
+    found = units.join(known, "digest")
     return found.groupBy("doc_id", "license", "scope").agg(F.count("*").alias("hits"))
 
 
