@@ -186,6 +186,46 @@ def test_every_repeated_run_loses_its_later_copies(spark):
     assert left[2].n_chars == len(left[2].text)
 
 
+def slow_passages(table, least):
+    """Words left of each text: a word goes if a window of ``least`` words over it has stood earlier."""
+    seen, out = set(), {}
+    for doc_id, text in sorted(table):
+        words, gone = text.lower().split(), set()
+        for at in range(len(words) - least + 1):
+            if (key := tuple(words[at : at + least])) in seen:
+                gone.update(range(at, at + least))
+            seen.add(key)
+        out[doc_id] = [w for k, w in enumerate(text.split()) if k not in gone]
+    return out
+
+
+def test_passages_that_begin_and_end_within_lines(spark):
+    """Planted in mid-line, in one line, broken elsewhere, and too short by a word."""
+    passage, other = prose(700, 60).split(), prose(701, 49)
+    words = lambda seed, n: prose(seed, n)
+    a, b, c = (" ".join(passage[i:j]) for i, j in ((0, 17), (17, 42), (42, 60)))
+    table = [
+        (1, f"{words(1, 8)}\n{words(2, 5)} {a}\n{b}\n{c} {words(3, 6)}\n{other}"),
+        (2, f"{words(4, 9)} {a}\n{b}\n{c}  {words(5, 7)}\nlast"),  # two partial lines around a whole one
+        (3, f"{words(6, 80)} {' '.join(passage).upper()} {words(7, 80)}"),  # within a long line
+        (4, "\n".join([*passage[:30], " ".join(passage[30:]) + " tail"])),  # broken elsewhere
+        (5, f"{words(8, 3)} {other} {words(9, 3)}"),  # 49 words
+    ]
+    left = {r.doc_id: r for r in lines.dedup_lines(docs(spark, *[(i, t, "s") for i, t in table])).collect()}
+    assert {i: r.text.split() for i, r in left.items()} == slow_passages(table, 50)
+    assert left[2].text == f"{words(4, 9)}\n{words(5, 7)}\nlast" and left[2].lines_deleted == 1
+    assert left[3].text == f"{words(6, 80)} {words(7, 80)}" and left[4].text == "tail"
+    assert left[5].text == table[4][1] and all(r.n_chars == len(r.text) for r in left.values())
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_passages_against_brute_force(spark, seed):
+    draw = random.Random(seed)
+    table = [(i, "".join(draw.choice("ab") + draw.choice([" ", " ", "\n"]) for _ in range(draw.randint(0, 60)))) for i in range(30)]
+    left = lines.dedup_lines(docs(spark, *[(i, t, "s") for i, t in table]), least=9).collect()
+    assert {r.doc_id: r.text.split() for r in left} == slow_passages(table, 9)
+
+
 def test_line_dedup_edges(spark):
     text = prose(1, 60)
     table = clashing(docs(spark, (1, None, "s"), (2, "", None), (None, text, "s"), (4, text, "s"), (4, text, "s"), (5, text, "s"), (6, f"{text}\n{text}", "s"), (4, "other", "s")))

@@ -1,151 +1,244 @@
-"""Line dedup: repeated runs of lines, found by winnowing over line hashes.
-
-A text is its lines with a word, each hashed over its lower-cased words.  A
-window is a shortest run of lines with at least ``LEAST_WORDS`` words; from each
-window the line with the smallest hash is selected, as in winnowing.  Two texts
-that share a run of that many words share a whole window, and so its minimum:
-fingerprints are guaranteed, and they depend on nothing but the run.
-
-A match at a fingerprint is extended both ways, to the windows that reach
-left and right from it: occurrences are joined by fingerprint and by the
-digest of the window around it.  So an occurrence is never paired with each
-other one, only with the earliest of those that agree with it in the whole
-window, and no match is lost to an earlier occurrence that agrees in the
-fingerprint alone.  Windows that begin at each line and windows that end at
-each line are both taken; together they cover a repeated run from its first
-line to its last.  All windows that have an earlier occurrence are deleted.
+"""Line dedup: repeated passages, found by winnowing over words.
+
+A text is its words, lower-cased; lines only matter when words are deleted.
+Each run of ``GRAM`` words (half of ``LEAST_WORDS``) is hashed, and from the
+runs within each window of ``LEAST_WORDS`` words the smallest hash is selected,
+as in winnowing.  Two texts that share a passage of that many words share its
+windows, wherever their lines break, and so the windows' minima: fingerprints
+are guaranteed, and they depend on nothing but the passage.
+
+Neighbouring windows with one fingerprint are a stretch.  A fingerprint that stands
+in the same stretch wherever it occurs lies within a repeated passage, and its
+stretches are compared whole.  Where stretches differ, a passage begins or ends
+or a text repeats itself: there each window is compared, by a digest of all its
+words.  Of those that agree the earliest stays, and the words of each other one
+are deleted.  So a match is extended both ways, word by word, as far as it
+goes, into the middle of lines too.  An occurrence is never paired with each
+other one, and no match is lost to an earlier occurrence that agrees in the
+fingerprint alone.  Lines that lose all words go, others keep the rest.
+
+Fingerprints that occur more than once, and those with different stretches, are
+marked in two bitmaps of ``MARKS`` bits, a broadcast of constant size.  A bit that
+stands for a second fingerprint too lets windows be compared in vain; none is missed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from hashlib import blake2b
+import re
+from collections.abc import Callable, Iterator
+from itertools import chain
+from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, table, utf8
 
 LEAST_WORDS = 50
+MARKS = 1 << 27
+#: An odd number to hash runs of words with, and its inverse.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_WORD = re.compile(rb"\S+")
+
+
+def _hasher(words: np.ndarray) -> Callable[[Any, Any], np.ndarray]:
+    """A function that hashes runs of words, from places to places, over hashes of the words."""
+    powers = np.cumprod(np.full(len(words), _BASE, np.uint64))
+    sums = np.r_[np.uint64(0), np.cumsum(words * powers, dtype=np.uint64)]
+    inverses = np.cumprod(np.full(len(words) + 1, _INVERSE, np.uint64))
+
+    def runs(starts: Any, stops: Any) -> np.ndarray:
+        out = (sums[stops] - sums[starts]) * inverses[starts]
+        out ^= out >> np.uint64(31)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        return out ^ (out >> np.uint64(29))
+
+    return runs
+
+
+def _sliding(values: np.ndarray, n: int, pick: np.ufunc) -> np.ndarray:
+    """The least or greatest of each ``n`` neighbours, by doubling."""
+    size = 1
+    while size * 2 <= n:
+        values = pick(values[:-size], values[size:])
+        size *= 2
+    return pick(values[: len(values) - (n - size)], values[n - size :]) if size < n else values
+
+
+class Passages:
+    """The stretches of some texts: arrays of their text, first word, windows, fingerprint and digest."""
+
+    def __init__(self, texts: list[bytes], least: int = LEAST_WORDS):
+        split = [t.lower().split() for t in texts]
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        words = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(split)), np.uint64, int(counts.sum()))
+        gram = max(1, least // 2)
+        self.near = near = least - gram + 1
+        if len(words) < least:  # no window: as of a single text of so many words that isn't whole
+            counts, words = np.zeros(1, np.int64), np.zeros(least, np.uint64)
+        self.least, self._runs = least, _hasher(words)
+        self._grams = self._runs(slice(None, -gram), slice(gram, None))
+        minima = _sliding(self._grams, near, np.minimum)
+        stops = np.cumsum(counts)
+        owner = np.repeat(np.arange(len(counts) + 1), np.r_[counts, least])[: len(minima)]
+        self._whole = np.arange(len(minima)) + least <= np.r_[stops, 0][owner]  # not into the next text
+        self._minima, whole = minima, np.flatnonzero(self._whole)
+        fps, owner = minima[whole], owner[whole]
+        first = np.flatnonzero(np.r_[True, (fps[1:] != fps[:-1]) | (owner[1:] != owner[:-1])][: len(fps)])
+        self.sizes = np.diff(np.r_[first, len(fps)])
+        self.owner, self.fps, self._start, self._text = owner[first], fps[first], whole[first], stops - counts
+        self.digests = self._runs(self._start, self._start + self.sizes - 1 + least)
+        self.at = self._start - self._text[self.owner]
+
+    def periodic(self) -> np.ndarray:
+        """Fingerprints that stand near themselves: windows of one stretch may be equal."""
+        edge = np.zeros(self.near - 1, np.uint64)
+        # A run is selected where it is the minimum of one of the windows around it.
+        most = _sliding(np.r_[edge, np.where(self._whole, self._minima, np.uint64(0)), edge], self.near, np.maximum)
+        places = np.flatnonzero(most == self._grams)
+        order = places[np.argsort(self._grams[places], kind="stable")]
+        fps = self._grams[order]
+        return np.unique(fps[1:][(fps[1:] == fps[:-1]) & (np.diff(order) <= self.near)])
+
+    def windows(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the stretches ``of``, each window: its stretch, first word and digest."""
+        sizes = self.sizes[of]
+        stretch = np.repeat(of, sizes)
+        step = np.arange(len(stretch)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        start = self._start[stretch] + step
+        return stretch, self.at[stretch] + step, self._runs(start, start + self.least)
+
+
+def without_words(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
+    """The text without the words of the spans (first, how many), and how many lines lost all words."""
+    lines = text.split(b"\n")
+    counts = [len(x.split()) for x in lines]
+    change = np.zeros(sum(counts) + 1, np.int64)
+    first, size = np.array(spans).T
+    np.add.at(change, first, 1)
+    np.add.at(change, first + size, -1)
+    gone = (np.cumsum(change) > 0).tolist()
+    kept, at = [], 0
+    for line, n in zip(lines, counts):
+        cut = gone[at : at + n]
+        at += n
+        if not any(cut):
+            kept.append(line)
+        elif not all(cut):
+            kept.append(_without(line, cut))
+    return b"\n".join(kept), len(lines) - len(kept)
 
 
-def hashed_lines(text: bytes) -> list[tuple[int, int, bytes]]:
-    """(line number, words, digest) of each line that has a word."""
-    out = []
-    for at, line in enumerate(text.split(b"\n")):
-        if words := line.lower().split():
-            out.append((at, len(words), blake2b(b" ".join(words), digest_size=16).digest()))
-    return out
-
-
-def windows(counts: list[int], least: int = LEAST_WORDS) -> list[tuple[int, int]]:
-    """Shortest runs (first, last) of at least ``least`` words: one from each line, one to each line."""
-    found: set[tuple[int, int]] = set()
-    end = words = 0
-    for start in range(len(counts)):  # the shortest that begins here
-        while words < least and end < len(counts):
-            words += counts[end]
-            end += 1
-        if words < least:
-            break
-        found.add((start, end - 1))
-        words -= counts[start]
-    start = words = 0
-    for end in range(len(counts)):  # the shortest that ends here
-        words += counts[end]
-        while words - counts[start] >= least:
-            words -= counts[start]
-            start += 1
-        if words >= least:
-            found.add((start, end))
-    return sorted(found)
-
-
-def fingerprints(text: bytes, least: int = LEAST_WORDS) -> list[tuple[int, int, int, int]]:
-    """(fingerprint, window digest, first line, last line) of each window of a text."""
-    lines = hashed_lines(text)
-    digests = [d for _, _, d in lines]
-    out = []
-    for a, b in windows([n for _, n, _ in lines], least):
-        whole = digests[a] if a == b else blake2b(b"".join(digests[a : b + 1]), digest_size=16).digest()
-        least_line = digests[a] if a == b else min(digests[a : b + 1])  # the window's minimum
-        out.append((int.from_bytes(least_line[:8], "little", signed=True), int.from_bytes(whole[8:], "little", signed=True), lines[a][0], lines[b][0]))
-    return out
-
-
-def without_lines(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
-    """The text without the lines with words of the spans (first, last), and how many they are."""
-    lines: list[bytes | None] = text.split(b"\n")  # type: ignore[assignment]
-    reach = -1
-    for a, b in sorted(spans):
-        for at in range(max(a, reach + 1), b + 1):
-            if lines[at].strip():
-                lines[at] = None
-        reach = max(reach, b)
-    kept = [x for x in lines if x is not None]
-    return b"\n".join(kept), len(lines) - len(kept)
+def _without(line: bytes, cut: list[bool]) -> bytes:
+    """The line without the words to be cut and the blanks after them; at its end, before them."""
+    spans = [m.span() for m in _WORD.finditer(line)]
+    last = max(k for k, c in enumerate(cut) if not c)
+    stops = [a for a, _ in spans[1 : last + 1]] + [spans[last][1]]
+    tail = line[spans[-1][1] :] if last < len(cut) - 1 else line[spans[last][1] :]
+    return line[: spans[0][0]] + b"".join(line[a:stop] for (a, _), stop, c in zip(spans, stops, cut) if not c) + tail
+
 
+def _texts(column: pa.Array) -> list[bytes]:
+    return [t.as_buffer().to_pybytes() for t in column]
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "tkey", "fp", "win", "first", "last"]
+
+def _stretches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Each stretch; and two that differ for a fingerprint that stands near itself."""
     for batch in batches:
-        rows = []
-        for doc_id, tkey, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            rows += [(doc_id, tkey, *x) for x in fingerprints(text.as_buffer().to_pybytes(), least)]
-        if rows:
-            kinds = [pa.int64()] * 4 + [pa.int32()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
+        found = Passages(_texts(batch.column("_text")), least)
+        periodic = found.periodic()
+        n = len(periodic)
+        fps = np.r_[found.fps, periodic, periodic]
+        digests = np.r_[found.digests, np.zeros(n, np.uint64), np.ones(n, np.uint64)]
+        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (fps, digests)], names=["fp", "win"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch], least: int, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Marked stretches, or their windows where the fingerprint's stretches differ."""
+    for batch in batches:
+        found = Passages(_texts(batch.column("_text")), least)
+        bits = found.fps & np.uint64(MARKS - 1)
+        shared, differ = (marks[:, (bits >> np.uint64(6)).astype(np.int64)] >> (bits & np.uint64(63)) & np.uint64(1)).astype(bool)
+        same = np.flatnonzero(shared & ~differ)
+        stretch, at, digests = found.windows(np.flatnonzero(differ))
+        of = np.r_[same, stretch]
+        rows = pa.array(found.owner[of])
+        spans = np.r_[found.at[same] << 32 | found.sizes[same] - 1 + least, at << 32 | least]
+        columns = [found.fps[of].view(np.int64), np.r_[found.digests[same], digests].view(np.int64), spans]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("tkey").take(rows), *map(pa.array, columns)], names=["doc_id", "tkey", "fp", "win", "span"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, gone = [], []
+        texts, gone, less = [], [], []
         for text, spans in zip(batch.column("_text"), batch.column("_spans").to_pylist()):
             raw = text.as_buffer().to_pybytes()
-            new, n = without_lines(raw, [(s["first"], s["last"]) for s in spans]) if spans else (raw, 0)
+            new, n = without_words(raw, [(s >> 32, s & 0xFFFFFFFF) for s in spans]) if spans else (raw, 0)
             texts.append(new.decode())
             gone.append(n)
+            less.append(bool(spans))
         names = [n for n in batch.schema.names if n not in ("_text", "_spans")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string()), pa.array(gone, pa.int64())], names=[*names, "_new", "_gone"])
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(n) for n in names), pa.array(texts, pa.string()), pa.array(gone, pa.int64()), pa.array(less, pa.bool_())], names=[*names, "_new", "_gone", "_less"]
+        )
+
+
+def _marks(stretches: DataFrame) -> np.ndarray:
+    """Bitmaps of the fingerprints (by their lowest bits) of more than one stretch, and of stretches that differ."""
+    bit = F.expr("shiftleft(1L, cast(fp & 63 as int))")
+    found = stretches.groupBy("fp").agg(F.count("*").alias("n"), (F.min("win") < F.max("win")).alias("differ")).where("n > 1")
+    found = found.groupBy(F.shiftright(F.col("fp").bitwiseAND(F.lit(MARKS - 1)), 6).cast("int").alias("at")).agg(F.bit_or(bit).alias("shared"), F.bit_or(F.when(F.col("differ"), bit).otherwise(0)).alias("differ"))
+    words = found.toArrow()
+    marks = np.zeros((2, MARKS >> 6), np.uint64)
+    for k, name in enumerate(("shared", "differ")):
+        marks[k, words["at"].to_numpy()] = words[name].to_numpy().view(np.uint64)
+    return marks
 
 
 def repeated_windows(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """``doc_id, tkey, first, last``: windows with an earlier occurrence.
+    """``doc_id, tkey, span``: windows and stretches with an earlier occurrence, as first word * 2**32 + words.
 
-    Earlier is by doc_id, then by line.  ``tkey`` tells texts of one doc_id apart.
+    Earlier is by doc_id, then by word.  ``tkey`` tells texts of one doc_id apart.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tkey"), utf8("text").alias("_text"))
-    found = rows.mapInArrow(lambda b: _fingerprints(b, least), "doc_id long, tkey long, fp long, win long, first int, last int")
-    place = F.struct("doc_id", "tkey", "first")
+    marks = _marks(rows.select("_text").mapInArrow(lambda b: _stretches(b, least), "fp long, win long"))
+    found = rows.mapInArrow(lambda b: _windows(b, least, marks), "doc_id long, tkey long, fp long, win long, span long")
+    place = F.struct("doc_id", "tkey", "span")
     earliest = found.groupBy("fp", "win").agg(F.min(place).alias("place"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return found.join(earliest, ["fp", "win"]).where(place != F.col("place")).select("doc_id", "tkey", "first", "last")
+    return found.join(earliest, ["fp", "win"]).where(place != F.col("place")).select("doc_id", "tkey", "span")
 
 
 def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` with later repeats of runs of at least ``least`` words deleted, and ``lines_deleted``.
+    """``docs`` with later repeats of passages of at least ``least`` words deleted, and ``lines_deleted``.
 
+    A passage may begin and end within a line, and lines may break it elsewhere
+    in each text.  A line that is repeated in part keeps its other words and
+    isn't counted as deleted.
     Every row stays, if with an empty text where all of it has stood before;
     ``n_chars``, where there is one, follows the text.  Shorter repeats stay.
     Null texts and rows without doc_id stay as they are; rows that repeat both
     doc_id and text count as one document.  In a text that repeats itself,
-    occurrences may overlap: each line that a later occurrence covers goes.
+    occurrences may overlap: each word that a later occurrence covers goes.
     Extra columns are kept, whatever their names.
     """
     columns = docs.columns
     names = [c if c in ("doc_id", "text", "n_chars") else f"_keep{i}" for i, c in enumerate(columns)]
     docs = docs.toDF(*names)
-    spans = repeated_windows(docs, least).groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
+    spans = repeated_windows(docs, least).groupBy("doc_id", "tkey").agg(F.collect_list("span").alias("_spans"))
     spans = spans.select(F.col("doc_id").alias("_doc"), F.col("tkey").alias("_tkey"), "_spans")
     joined = docs.join(spans, (docs.doc_id == F.col("_doc")) & (F.xxhash64("text") == F.col("_tkey")), "left")
     others = [n for n in names if n != "text"]
     fields = [f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in others]
     rows = joined.select(*others, F.col("text").isNull().alias("_null"), utf8("text").alias("_text"), "_spans")
-    cut = rows.mapInArrow(_cut, ", ".join([*fields, "_null boolean", "_new string", "_gone long"]))
+    cut = rows.mapInArrow(_cut, ", ".join([*fields, "_null boolean", "_new string", "_gone long", "_less boolean"]))
     out = cut.withColumn("text", F.when(~F.col("_null"), F.col("_new")))
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_gone") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("_less"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*names, F.col("_gone").alias("lines_deleted")).toDF(*columns, "lines_deleted")
 
 
