@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,17 +13,39 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Folders that this process has made, by name: what ``remove_work`` clears.
+_made: dict[str, SparkSession] = {}
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder that the driver and every executor see.
 
-    It lies in ``spark.checkpoint.dir``; only where that is unset (a local
-    session, as in tests) a temporary folder is made and set.
+    It lies in ``spark.checkpoint.dir``.  Only a local session, as in tests, may
+    leave that unset: a temporary folder is made and set.  On a cluster executors
+    would write to their own disks, so there it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="victual-")
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made[path] = spark
+    return path
+
+
+def remove_work() -> int:
+    """Delete the work folders made so far, and say how many there were.
+
+    Results are lazy and read from these folders, so call it when they have
+    been written elsewhere or aren't needed any more.
+    """
+    for path, spark in (gone := dict(_made)).items():
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        del _made[path]
+    return len(gone)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -34,9 +57,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep what one Arrow batch holds small, however long the texts are."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Keep what one Arrow batch holds small, however long the texts are.
+
+    These are settings of the session, as Spark has none for a single operator;
+    smaller ones that the caller has set are left alone.
+    """
+    for key, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 8 << 20)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+        if now is None or not 0 < int(now[1]) <= most:
+            spark.conf.set(key, str(most))
+
+
+def numbered(columns: list[str]) -> list[str]:
+    """Names for columns that clash with nothing, whatever those of the caller's table are."""
+    return [f"_c{i}" for i in range(len(columns))]
 
 
 def utf8(column: str) -> Column:

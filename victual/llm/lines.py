@@ -1,25 +1,30 @@
 """Line dedup: repeated passages, found by winnowing over words.
 
-A text is its words, lower-cased; lines only matter when words are deleted.
-Each run of ``GRAM`` words (half of ``LEAST_WORDS``) is hashed, and from the
-runs within each window of ``LEAST_WORDS`` words the smallest hash is selected,
-as in winnowing.  Two texts that share a passage of that many words share its
-windows, wherever their lines break, and so the windows' minima: fingerprints
-are guaranteed, and they depend on nothing but the passage.
-
-Neighbouring windows with one fingerprint are a stretch.  A fingerprint that stands
-in the same stretch wherever it occurs lies within a repeated passage, and its
-stretches are compared whole.  Where stretches differ, a passage begins or ends
-or a text repeats itself: there each window is compared, by a digest of all its
-words.  Of those that agree the earliest stays, and the words of each other one
-are deleted.  So a match is extended both ways, word by word, as far as it
-goes, into the middle of lines too.  An occurrence is never paired with each
-other one, and no match is lost to an earlier occurrence that agrees in the
-fingerprint alone.  Lines that lose all words go, others keep the rest.
-
-Fingerprints that occur more than once, and those with different stretches, are
-marked in two bitmaps of ``MARKS`` bits, a broadcast of constant size.  A bit that
-stands for a second fingerprint too lets windows be compared in vain; none is missed.
+A text is its words, lower-cased; lines only matter when words are deleted, so
+that a passage is found wherever lines break it.  Each run of ``GRAM`` words
+(half of ``LEAST_WORDS``) is hashed, and of the runs within each window of
+``LEAST_WORDS`` words the smallest hash is selected.  Two texts that share a
+passage of that many words share its windows and so the windows' minima:
+fingerprints are guaranteed, and they depend on nothing but the passage.
+
+1. *Select.*  A selected minimum is kept once for each position, with its stretch:
+   the neighbouring windows that select it.  Fingerprints that occur more than once,
+   and those whose stretches differ, are marked in two bitmaps; only marked ones go on.
+2. *Join positions.*  Occurrences of a fingerprint with equal stretches are joined with a
+   representative, the earliest of them.  All the others are repeated as a whole.
+3. *Extend.*  Where a fingerprint's stretches differ, a passage begins or ends near it, or a
+   text repeats itself.  There the representatives' windows are compared with each other, by
+   digests of all their words, and each but the earliest of equal ones is repeated.  So a match
+   is extended both ways, word by word, as far as it agrees with *any* earlier occurrence, not
+   with the representative alone, and into the middle of lines.
+4. *Delete.*  The words of repeated windows go, and lines that lose all their words.
+
+No occurrence is paired with each other one, and equal stretches and windows are
+aggregated before they are shuffled, so a passage that a third of all texts hold
+is a few rows for each task.  Texts that lose nothing are never shuffled: those
+that lose something are marked in a third bitmap.  A bitmap is a broadcast of
+constant size (``MARKS``, ``HOLDERS`` bits); a bit that stands for something else
+too costs rows that are compared or moved in vain, but none is missed.
 """
 
 from __future__ import annotations
@@ -32,13 +37,14 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table, utf8
+from .common import bounded_batches, numbered, table, utf8, written
 
 LEAST_WORDS = 50
-MARKS = 1 << 27
+#: Bits of the bitmaps: of fingerprints, and of texts that lose words.
+MARKS, HOLDERS = 1 << 27, 1 << 24
 #: An odd number to hash runs of words with, and its inverse.
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -89,6 +95,9 @@ class Passages:
         self._minima, whole = minima, np.flatnonzero(self._whole)
         fps, owner = minima[whole], owner[whole]
         first = np.flatnonzero(np.r_[True, (fps[1:] != fps[:-1]) | (owner[1:] != owner[:-1])][: len(fps)])
+        # Only a text that repeats itself selects one minimum longer than it's near: such a stretch is cut.
+        since = np.arange(len(fps)) - np.repeat(first, np.diff(np.r_[first, len(fps)]))
+        first = np.flatnonzero(since % near == 0)
         self.sizes = np.diff(np.r_[first, len(fps)])
         self.owner, self.fps, self._start, self._text = owner[first], fps[first], whole[first], stops - counts
         self.digests = self._runs(self._start, self._start + self.sizes - 1 + least)
@@ -104,19 +113,21 @@ class Passages:
         fps = self._grams[order]
         return np.unique(fps[1:][(fps[1:] == fps[:-1]) & (np.diff(order) <= self.near)])
 
-    def windows(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the stretches ``of``, each window: its stretch, first word and digest."""
-        sizes = self.sizes[of]
-        stretch = np.repeat(of, sizes)
-        step = np.arange(len(stretch)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        start = self._start[stretch] + step
-        return stretch, self.at[stretch] + step, self._runs(start, start + self.least)
+    def windows(self, of: np.ndarray) -> pa.ListArray:
+        """The digests of the windows of each stretch, null but for those in the mask ``of``."""
+        sizes = np.where(of, self.sizes, 0)
+        step = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        start = np.repeat(self._start, sizes) + step
+        digests = self._runs(start, start + self.least).view(np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(digests), mask=pa.array(~of))
 
 
 def without_words(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
     """The text without the words of the spans (first, how many), and how many lines lost all words."""
     lines = text.split(b"\n")
     counts = [len(x.split()) for x in lines]
+    if not spans:
+        return text, 0
     change = np.zeros(sum(counts) + 1, np.int64)
     first, size = np.array(spans).T
     np.add.at(change, first, 1)
@@ -154,44 +165,49 @@ def _stretches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Rec
         n = len(periodic)
         fps = np.r_[found.fps, periodic, periodic]
         digests = np.r_[found.digests, np.zeros(n, np.uint64), np.ones(n, np.uint64)]
-        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (fps, digests)], names=["fp", "win"])
+        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (fps, digests)], names=["fp", "stretch"])
 
 
-def _windows(batches: Iterator[pa.RecordBatch], least: int, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Marked stretches, or their windows where the fingerprint's stretches differ."""
+_FOUND = "doc_id long, tkey long, at long, stretch long, size int, windows array<long>"
+
+
+def _marked(batches: Iterator[pa.RecordBatch], least: int, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Marked stretches, with the digests of their windows where the fingerprint's stretches differ."""
     for batch in batches:
         found = Passages(_texts(batch.column("_text")), least)
         bits = found.fps & np.uint64(MARKS - 1)
         shared, differ = (marks[:, (bits >> np.uint64(6)).astype(np.int64)] >> (bits & np.uint64(63)) & np.uint64(1)).astype(bool)
-        same = np.flatnonzero(shared & ~differ)
-        stretch, at, digests = found.windows(np.flatnonzero(differ))
-        of = np.r_[same, stretch]
+        windows, of = found.windows(differ), np.flatnonzero(shared)
         rows = pa.array(found.owner[of])
-        spans = np.r_[found.at[same] << 32 | found.sizes[same] - 1 + least, at << 32 | least]
-        columns = [found.fps[of].view(np.int64), np.r_[found.digests[same], digests].view(np.int64), spans]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("tkey").take(rows), *map(pa.array, columns)], names=["doc_id", "tkey", "fp", "win", "span"])
+        columns = [pa.array(found.at[of]), pa.array(found.digests[of].view(np.int64)), pa.array(found.sizes[of].astype(np.int32)), windows.take(pa.array(of))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("tkey").take(rows), *columns], names=["doc_id", "tkey", "at", "stretch", "size", "windows"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, gone, less = [], [], []
+        texts, gone = [], []
         for text, spans in zip(batch.column("_text"), batch.column("_spans").to_pylist()):
-            raw = text.as_buffer().to_pybytes()
-            new, n = without_words(raw, [(s >> 32, s & 0xFFFFFFFF) for s in spans]) if spans else (raw, 0)
+            new, n = without_words(text.as_buffer().to_pybytes(), [(s >> 32, s & 0xFFFFFFFF) for s in spans])
             texts.append(new.decode())
             gone.append(n)
-            less.append(bool(spans))
         names = [n for n in batch.schema.names if n not in ("_text", "_spans")]
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(n) for n in names), pa.array(texts, pa.string()), pa.array(gone, pa.int64()), pa.array(less, pa.bool_())], names=[*names, "_new", "_gone", "_less"]
-        )
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string()), pa.array(gone, pa.int64())], names=[*names, "_new", "_gone"])
+
+
+def _bit(of: str) -> Column:
+    """The bit in its word that stands for a hash."""
+    return F.expr(f"shiftleft(1L, cast({of} & 63 as int))")
+
+
+def _word(of: str, bits: int) -> Column:
+    """Which word of a bitmap of so many bits a hash falls into."""
+    return F.shiftright(F.col(of).bitwiseAND(F.lit(bits - 1)), 6).cast("int")
 
 
 def _marks(stretches: DataFrame) -> np.ndarray:
     """Bitmaps of the fingerprints (by their lowest bits) of more than one stretch, and of stretches that differ."""
-    bit = F.expr("shiftleft(1L, cast(fp & 63 as int))")
-    found = stretches.groupBy("fp").agg(F.count("*").alias("n"), (F.min("win") < F.max("win")).alias("differ")).where("n > 1")
-    found = found.groupBy(F.shiftright(F.col("fp").bitwiseAND(F.lit(MARKS - 1)), 6).cast("int").alias("at")).agg(F.bit_or(bit).alias("shared"), F.bit_or(F.when(F.col("differ"), bit).otherwise(0)).alias("differ"))
+    found = stretches.groupBy("fp").agg(F.count("*").alias("n"), (F.min("stretch") < F.max("stretch")).alias("differ")).where("n > 1")
+    found = found.groupBy(_word("fp", MARKS).alias("at")).agg(F.bit_or(_bit("fp")).alias("shared"), F.bit_or(F.when(F.col("differ"), _bit("fp")).otherwise(0)).alias("differ"))
     words = found.toArrow()
     marks = np.zeros((2, MARKS >> 6), np.uint64)
     for k, name in enumerate(("shared", "differ")):
@@ -206,40 +222,63 @@ def repeated_windows(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """
     bounded_batches(docs.sparkSession)
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tkey"), utf8("text").alias("_text"))
-    marks = _marks(rows.select("_text").mapInArrow(lambda b: _stretches(b, least), "fp long, win long"))
-    found = rows.mapInArrow(lambda b: _windows(b, least, marks), "doc_id long, tkey long, fp long, win long, span long")
-    place = F.struct("doc_id", "tkey", "span")
-    earliest = found.groupBy("fp", "win").agg(F.min(place).alias("place"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return found.join(earliest, ["fp", "win"]).where(place != F.col("place")).select("doc_id", "tkey", "span")
+    marks = _marks(rows.select("_text").mapInArrow(lambda b: _stretches(b, least), "fp long, stretch long"))
+    found = written(rows.mapInArrow(lambda b: _marked(b, least, marks), _FOUND), "stretches")
+    place = F.struct("doc_id", "tkey", "at")
+    span = lambda words: (F.shiftleft("at", 32).bitwiseOR(words)).alias("span")
+
+    def later(rows: DataFrame, by: str) -> DataFrame:
+        """The rows that aren't the earliest of those alike."""
+        first = rows.groupBy(by).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+        return rows.join(first, by).where(place != F.col("first"))
+
+    whole = later(found.select("doc_id", "tkey", "at", "stretch", "size"), "stretch").select("doc_id", "tkey", span((F.col("size") + (least - 1)).cast("long")))
+    ends = found.where("windows is not null").groupBy("stretch").agg(F.min(F.struct("doc_id", "tkey", "at", "windows")).alias("first")).select("first.*")
+    ends = ends.select("doc_id", "tkey", "at", F.posexplode("windows").alias("step", "window")).select("doc_id", "tkey", (F.col("at") + F.col("step")).alias("at"), "window")
+    return whole.unionByName(later(ends, "window").select("doc_id", "tkey", span(F.lit(least).cast("long"))))
 
 
 def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` with later repeats of passages of at least ``least`` words deleted, and ``lines_deleted``.
+    """``docs`` with later repeats of passages of at least ``least`` words deleted, and ``lines_deleted`` as the last column.
 
     A passage may begin and end within a line, and lines may break it elsewhere
     in each text.  A line that is repeated in part keeps its other words and
     isn't counted as deleted.
     Every row stays, if with an empty text where all of it has stood before;
     ``n_chars``, where there is one, follows the text.  Shorter repeats stay.
-    Null texts and rows without doc_id stay as they are; rows that repeat both
-    doc_id and text count as one document.  In a text that repeats itself,
-    occurrences may overlap: each word that a later occurrence covers goes.
-    Extra columns are kept, whatever their names.
+    Of equal passages the one of the smallest doc_id stays (ties, of one doc_id
+    with different texts: of the smallest hash of the text).  Null texts and rows without doc_id
+    stay as they are; rows that repeat both doc_id and text count as one document.
+    In a text that repeats itself, occurrences may overlap: each word that a later
+    occurrence covers goes.  Very long texts are read whole; a task holds about 90
+    bytes for each word of a batch, and a batch is 8 MB or one text.  An empty table
+    gives an empty result.  Extra columns are kept, whatever their names.
     """
     columns = docs.columns
     names = [c if c in ("doc_id", "text", "n_chars") else f"_keep{i}" for i, c in enumerate(columns)]
     docs = docs.toDF(*names)
-    spans = repeated_windows(docs, least).groupBy("doc_id", "tkey").agg(F.collect_list("span").alias("_spans"))
-    spans = spans.select(F.col("doc_id").alias("_doc"), F.col("tkey").alias("_tkey"), "_spans")
-    joined = docs.join(spans, (docs.doc_id == F.col("_doc")) & (F.xxhash64("text") == F.col("_tkey")), "left")
+    # A set, as rows that are alike say the same: a doc_id that is everywhere gathers no more than one text's spans.
+    spans = repeated_windows(docs, least).groupBy("doc_id", "tkey").agg(F.collect_set("span").alias("_spans"))
+    spans = written(spans.select(F.col("doc_id").alias("_doc"), F.col("tkey").alias("_tkey"), "_spans"), "spans")
+    holders = spans.select(F.xxhash64("_doc", "_tkey").alias("_h")).groupBy(_word("_h", HOLDERS).alias("_at")).agg(F.bit_or(_bit("_h")).alias("_bits"))
+    own = F.xxhash64("text")
+    marked = docs.withColumn("_h", F.xxhash64(F.col("doc_id").cast("long"), own)).join(F.broadcast(holders), _word("_h", HOLDERS) == F.col("_at"), "left")
+    hit = F.coalesce(F.col("_bits").bitwiseAND(_bit("_h")) != 0, F.lit(False)) & F.col("text").isNotNull()
+    unchanged = marked.where(~hit).select(*names, F.lit(0).cast("long").alias("_gone"))
+    held = marked.where(hit).select(*names).join(spans, (F.col("doc_id").cast("long") == F.col("_doc")) & (own == F.col("_tkey")), "left")
     others = [n for n in names if n != "text"]
     fields = [f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in others]
-    rows = joined.select(*others, F.col("text").isNull().alias("_null"), utf8("text").alias("_text"), "_spans")
-    cut = rows.mapInArrow(_cut, ", ".join([*fields, "_null boolean", "_new string", "_gone long", "_less boolean"]))
-    out = cut.withColumn("text", F.when(~F.col("_null"), F.col("_new")))
+    rows = held.select(*others, F.col("_spans").isNotNull().alias("_less"), utf8("text").alias("_text"), F.coalesce("_spans", F.array().cast("array<long>")).alias("_spans"))
+    cut = rows.mapInArrow(_cut, ", ".join([*fields, "_less boolean", "_new string", "_gone long"])).withColumnRenamed("_new", "text")
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_less"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*names, F.col("_gone").alias("lines_deleted")).toDF(*columns, "lines_deleted")
+        cut = cut.withColumn("n_chars", F.when(F.col("_less"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return unchanged.unionByName(cut.select(*names, "_gone")).toDF(*columns, "lines_deleted")
+
+
+def without_repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """As ``dedup_lines``, with the columns of ``docs`` alone, whatever their names."""
+    out = dedup_lines(docs, least)
+    return out.toDF(*numbered(out.columns)).select(*numbered(docs.columns)).toDF(*docs.columns)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
