@@ -250,32 +250,62 @@ def test_tokens_equal_the_library(spark):
         assert np.frombuffer(tokens(text), "<u4").tolist() == slow.encode(text, add_special_tokens=False).ids, text
 
 
-@pytest.mark.parametrize("bins", [1, 3, 8192])
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", " \n"])
+def test_long_runs_of_blanks(blank):
+    """They are ids like any other; the faster encoder would use up its stack."""
+    tokens = packing._tokens(None, None)
+    for n in (packing.MOST_BLANKS - 1, 1_000_000, 2_000_000, 5_000_000)[: 4 if blank == " " else 2]:
+        ids = np.frombuffer(tokens("x" + blank * n + "y"), "<u4")
+        assert len(ids) > 2 and ids[0] == np.frombuffer(tokens("x"), "<u4")[0]
+    at = 10_000
+    short = "x" + blank * at + "y"
+    assert tokens.whole(short) == tokens.slow.encode(short, add_special_tokens=False).ids
+
+
+def test_packing_survives_long_runs_of_blanks(spark):
+    rows = packing.pack_documents(docs(spark, (1, "x" + " " * 1_000_000 + "y", "s"), (2, "\n" * 1_000_000, "s"), (3, "a" * 1_000_000, "s"))).collect()
+    assert {r.doc_id for r in rows} == {1, 2, 3} and sum(r.length for r in rows) > 1_000_000
+    assert all(r.length == 1024 for r in rows if r.piece)
+
+
+def slow_pack(lengths, size, most):
+    """Best fit by looking at all open bins; of bins alike the one that got there last."""
+    open_, out, made, filled = [], [], 0, 0  # (space, when it got there, bin)
+    for n in lengths:
+        fit = min((b for b in open_ if b[0] >= n), key=lambda b: (b[0], -b[1]), default=None)
+        if fit:
+            open_.remove(fit)
+        space, _, at = fit or (size, 0, made)
+        made += fit is None
+        out.append((at, size - space))
+        if space > n:
+            open_.append((space - n, filled := filled + 1, at))
+            if len(open_) > most:
+                open_.remove(min(open_, key=lambda b: (b[0], -b[1])))
+    return out
+
+
+@pytest.mark.parametrize("bins", [1, 3, 30, 8192])
 def test_packer(bins):
     draw = random.Random(bins)
     lengths = [draw.randint(1, 100) for _ in range(500)]
     placed = packing.pack(lengths, 100, bins)
+    assert placed == slow_pack(lengths, 100, bins)
     fill = Counter()
     for n, (at, offset) in zip(lengths, placed):
         assert offset == fill[at]
         fill[at] += n
     assert max(fill.values()) <= 100 and sorted(fill) == list(range(len(fill)))
-    # Best fit: the same choices, by looking at all open bins.
-    open_, want, made = {}, [], 0
-    for n in lengths:
-        fit = [s for s in open_.values() if s >= n]
-        space = min(fit) if fit else 100
-        want.append(space - n)
-        got = space
-        if fit:
-            open_.pop(next(k for k in reversed(open_) if open_[k] == space))
-        made += not fit
-        if got - n:
-            open_[len(want)] = got - n
-            if len(open_) > bins:
-                least = min(open_.values())
-                open_.pop(next(k for k in reversed(open_) if open_[k] == least))
-    assert made == len(fill)
+
+
+def test_the_bound_binds(spark):
+    """With few open bins some close early, and the sequences stay near the least possible."""
+    draw = random.Random(5)
+    lengths = [draw.randint(1, 1024) for _ in range(20_000)]
+    waves = [n for at in range(0, len(lengths), packing.WAVE_PIECES) for n in sorted(lengths[at : at + packing.WAVE_PIECES], reverse=True)]
+    made = lambda bins: 1 + max(s for s, _ in packing.pack(waves, 1024, bins))
+    least = -(-sum(lengths) // 1024)
+    assert made(packing.OPEN_BINS) > made(len(lengths)) and made(packing.OPEN_BINS) < 1.02 * least
 
 
 def test_packing_round_trip(spark):

@@ -1,13 +1,16 @@
 """Best-fit packing of tokenised documents into sequences.
 
 Texts are tokenised where they are read; only pieces (id, length, checksum)
-move on.  Pieces are dealt by a hash of their document into buckets of a fixed
-expected number of sequences, and each bucket is packed on its own by
-bounded-space online best-fit: at most ``open_bins`` bins are open, a bitset
-tells which amounts of free space there are, a piece goes to the open bin
-that it leaves fullest, and when one bin too many is open the fullest is closed.
-Pieces come longest first, and a bucket has fewer sequences than bins may be
-open, so in practice nothing is closed before it's full or the bucket ends.
+move on.  Pieces are dealt by a hash into buckets of a fixed expected number of
+sequences, and each bucket is packed on its own by bounded-space online best-fit:
+at most ``open_bins`` bins are open, a bitset tells which amounts of free space
+there are, a piece goes to the open bin that it leaves fullest, and when one bin
+too many is open the fullest is closed for good.
+
+Pieces come in waves that a hash draws, longest first within a wave: what a wave
+leaves open is filled up by the next.  So few bins stay open for long, and the
+bound binds where over a third of a wave's pieces find no room together; it then
+costs little, as the fullest bin has least to lose.
 """
 
 from __future__ import annotations
@@ -28,14 +31,16 @@ from .common import bounded_batches, table, utf8, written
 
 SEQUENCE = 1024
 END = 2
-OPEN_BINS = 8192
-#: Sequences that a bucket is expected to fill.
-BUCKET_SEQUENCES = 4096
+OPEN_BINS = 768
+#: Sequences that a bucket is expected to fill, and pieces that a wave is expected to have.
+BUCKET_SEQUENCES, WAVE_PIECES = 16_384, 2048
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 SPECIAL = "<|endoftext|>"
 #: Chunks whose ids a Python worker remembers.
 MOST_CHUNKS = 400_000
-_TWO_BLANKS = re.compile(r" \s|\s ")
+_TWO_BLANKS, _BLANKS = re.compile(r" \s|\s "), re.compile(r"\s+")
+#: Longer runs of blanks go to ``tokenizers``: looking for their end, the other's pattern uses up its stack.
+MOST_BLANKS = 100_000
 
 
 class Chunks(dict):
@@ -58,8 +63,8 @@ class Tokens:
     The same merges run in ``tiktoken``, which is several times faster.  The
     vocabulary's pattern never joins what stands on either side of a single
     blank between two non-blanks, so such texts are cut there and the ids of
-    frequent chunks remembered.  Texts with the special token's string go to
-    ``tokenizers`` itself.
+    frequent chunks remembered.  Texts with the special token's string or with a
+    run of over ``MOST_BLANKS`` blanks go to ``tokenizers`` itself.
     """
 
     def __init__(self, vocabulary: str, ranks: str):
@@ -74,7 +79,7 @@ class Tokens:
         self.slow = None
 
     def __call__(self, text: str) -> bytes:
-        if SPECIAL in text:
+        if SPECIAL in text or (len(text) > MOST_BLANKS and any(b - a > MOST_BLANKS for a, b in map(re.Match.span, _BLANKS.finditer(text)))):
             if self.slow is None:
                 from tokenizers import Tokenizer
 
@@ -175,21 +180,27 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str | None = None, ranks: str
     return rows.mapInArrow(lambda batches: _pieces(batches, vocabulary, ranks), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack_documents(docs: DataFrame, open_bins: int = OPEN_BINS, bucket_sequences: int = BUCKET_SEQUENCES, vocabulary: str | None = None, ranks: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, open_bins: int = OPEN_BINS, bucket_sequences: int = BUCKET_SEQUENCES, wave_pieces: int = WAVE_PIECES, vocabulary: str | None = None, ranks: str | None = None) -> DataFrame:
     """Where each piece of each document goes.
 
-    A null or empty text is its end token alone.  Repeated rows are packed each
-    (their pieces look alike but for their place); a null doc_id is packed like
+    A null or empty text is its end token alone.  A text of any length is tokenised
+    whole, in the memory of its ids (4 bytes each) and of the library; its pieces then
+    go their own ways.  Repeated rows are packed each (their pieces look alike but for
+    their place, and which gets which is any); a null doc_id is packed like
     any other; an empty table gives an empty result; extra columns are ignored.
     """
     pieces = written(tokenized_pieces(docs, vocabulary, ranks), "pieces")
-    total = pieces.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    total, n = pieces.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
     buckets = max(1, round(total / (SEQUENCE * bucket_sequences)))
-    # Pieces of one document may go to different buckets: a long document is no hot key.
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int")
-    dealt = pieces.withColumn("bucket", bucket).repartition(min(buckets, 100_000), "bucket").sortWithinPartitions("bucket", F.desc("length"), "doc_id", "piece", "ids_crc32")
+    waves = max(1, round(n / buckets / wave_pieces))
+    # Pieces of one document may go to different buckets, and so may rows that are alike: neither is a hot key.
+    drawn = pieces.withColumn("_drawn", F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()))
+    bucket, wave = F.pmod("_drawn", F.lit(buckets)).cast("int"), F.pmod(F.shiftright("_drawn", 32), F.lit(waves)).cast("int")
+    dealt = drawn.withColumns({"bucket": bucket, "wave": wave}).drop("_drawn")
+    dealt = dealt.repartition(min(buckets, 100_000), "bucket").sortWithinPartitions("bucket", "wave", F.desc("length"), "doc_id", "piece", "ids_crc32")
     return dealt.mapInArrow(lambda batches: _packed(batches, open_bins), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places; see ``pack_documents`` for the edge cases."""
     return pack_documents(table(spark, sf_dir, "documents"))
