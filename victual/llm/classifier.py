@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table, utf8
+from .common import bounded_batches, numbered, table, utf8
 
 #: Labelled documents in the sample, those with the smallest hashes of doc_id: a bound on what is broadcast.
 SAMPLE = 6000
@@ -45,7 +45,7 @@ def _shape(word: str) -> int:
     """The hashed shape of a word: runs of letters and digits become one sign, the rest stays."""
     upper = "" if word == word.lower() else "U" if word == word.upper() and len(word) > 2 else "T" if word[:1] != word[:1].lower() else "M"
     rest = "a" if word.isalpha() else _DIGIT.sub("9", _LETTERS.sub("a", word))
-    return zlib.crc32((upper + rest[:12]).encode()) % SHAPE_TERMS
+    return zlib.crc32((upper + rest).encode()) % SHAPE_TERMS
 
 
 class _Cache(dict):
@@ -94,7 +94,7 @@ class Model:
     prior: float
 
     def embed(self, terms: np.ndarray) -> np.ndarray:
-        latent = terms @ self.projection
+        latent = terms.astype(np.float64) @ self.projection
         return latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
 
     def score(self, terms: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
@@ -106,23 +106,35 @@ class Model:
         for at in range(0, len(terms), BLOCK):
             block = terms[at : at + BLOCK]
             some = np.flatnonzero(block.any(axis=1))
-            cosines = self.embed(block[some]) @ self.vectors.T
+            cosines = np.round(self.embed(block[some]) @ self.vectors.T, 9)
             near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-            votes = np.maximum(np.take_along_axis(cosines, near, axis=1), 0).astype(np.float64) ** POWER + 1e-9
-            out[at + some] = (votes * self.labels[near]).sum(axis=1) / votes.sum(axis=1)
-        return np.clip(out, 0.0, 1.0)
+            best = np.take_along_axis(cosines, near, axis=1)
+            labels, last = self.labels[near], best.min(axis=1, keepdims=True)
+            # Of equal cosines some are in and some are out: those that are in vote with the mean of all of them.
+            alike, tied = cosines == last, best == last
+            for row in np.flatnonzero(alike.sum(axis=1) > tied.sum(axis=1)):
+                labels[row, tied[row]] = self.labels[alike[row]].mean()
+            votes = np.maximum(best, 0) ** POWER + 1e-9
+            order = np.argsort(best, axis=1, kind="stable")
+            votes, labels = np.take_along_axis(votes, order, axis=1), np.take_along_axis(labels, order, axis=1)
+            out[at + some] = (votes * labels).sum(axis=1) / votes.sum(axis=1)
+        return np.round(np.clip(out, 0.0, 1.0), 9)
+
+
+def inverse_frequencies(terms: np.ndarray) -> np.ndarray:
+    return np.log((1 + len(terms)) / (1 + (terms > 0).sum(axis=0))) + 1
 
 
 def fit(terms: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS) -> Model:
     """Inverse document frequencies, a truncated SVD (subspace iteration from a fixed start) and the sample's vectors."""
     if not len(labels):
-        return Model(np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
-    idf = (np.log((1 + len(terms)) / (1 + (terms > 0).sum(axis=0))) + 1).astype(np.float32)
-    weighted = terms * idf
+        return Model(np.zeros((TERMS, 1)), np.zeros((0, 1)), np.zeros(0), 0.5)
+    idf = inverse_frequencies(terms)
+    weighted = terms * idf.astype(np.float32)
     basis = np.random.default_rng(7).standard_normal((terms.shape[1], min(dimensions, *terms.shape)), np.float32)
     for _ in range(6):
         basis, _ = np.linalg.qr(weighted.T @ (weighted @ basis))
-    model = Model(idf[:, None] * basis.astype(np.float32), np.zeros((0, 1), np.float32), labels.astype(np.float64), float(labels.mean()))
+    model = Model(idf[:, None] * basis, np.zeros((0, 1)), labels.astype(np.float64), float(labels.mean()))
     model.vectors = model.embed(terms)
     return model
 
@@ -142,15 +154,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     The order of the sample is that of hashes, so reruns give one model.
     Labels other than 0 and 1, and labels without a document, are left out; a
-    doc_id that is labelled twice has its smallest label.
+    doc_id that is labelled twice has its smallest label, one with several texts
+    its smallest text.  What comes to the driver is ``TERMS`` numbers for each of
+    the sample, however long its texts are.
     """
     bounded_batches(docs.sparkSession)
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("label"))
     known = known.join(docs.select("doc_id").where("text is not null").distinct(), "doc_id", "left_semi")
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # SAMPLE rows of two numbers
-    rows = texts.select(F.col("label").cast("long").alias("label"), utf8("text").alias("text"), "doc_id").orderBy("doc_id").select("label", "text")
-    found = rows.mapInArrow(_terms, "label long, terms binary").limit(2 * sample).collect()  # repeated rows at most double it
+    # One text for each labelled doc_id, so that there are no more than ``sample``, however often rows repeat.
+    single = texts.where("text is not null").groupBy("doc_id").agg(F.min("label").cast("long").alias("label"), F.min("text").alias("text"))
+    rows = single.orderBy("doc_id").select("label", utf8("text").alias("text"))
+    found = rows.mapInArrow(_terms, "label long, terms binary").collect()
     terms = np.array([np.frombuffer(r["terms"], np.float32) for r in found]).reshape(-1, TERMS)
     return fit(terms, np.array([r["label"] for r in found], np.float64))
 
@@ -170,20 +186,31 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with a ``score`` in [0, 1] of its whole ``text``.
 
     A null or empty text has no terms and scores the labels' mean (0.5 without
-    labels).  Repeated rows score alike, an empty table gives an empty result,
-    extra columns are kept, whatever their names.
+    labels).  Neighbours with equal cosines at the last place share it, so scores
+    don't depend on the order of the sample.  A text of any length becomes one vector
+    of ``TERMS`` numbers, in memory of some 100 bytes a word.  Repeated rows score
+    alike, an empty table gives an empty result, extra columns are kept, whatever
+    their names; ``score`` is the last column.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    names = [f"_c{i}" for i in range(len(docs.columns))]
+    names = numbered(docs.columns)
     rows = docs.toDF(*names).withColumn("_text", utf8(names[docs.columns.index("text")]))
     fields = [f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema)]
     scored = rows.mapInArrow(lambda batches: _score(shared, batches), ", ".join([*fields, "score double"]))
     return scored.toDF(*docs.columns, "score")
 
 
+def keep_good(docs: DataFrame, model: Model, least: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more, with its columns alone, whatever their names."""
+    scored = score_documents(docs, model)
+    names = numbered(scored.columns)
+    return scored.toDF(*names).where(F.col(names[-1]) >= least).select(*names[:-1]).toDF(*docs.columns)
+
+
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score and label; see ``train`` and ``score_documents`` for the edge cases."""
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
     scored = score_documents(docs.select("doc_id", "text"), model)

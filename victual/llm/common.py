@@ -74,6 +74,32 @@ def numbered(columns: list[str]) -> list[str]:
     return [f"_c{i}" for i in range(len(columns))]
 
 
+def bit(of: str) -> Column:
+    """The bit in its word that stands for a hash."""
+    return F.expr(f"shiftleft(1L, cast({of} & 63 as int))")
+
+
+def word(of: str, bits: int) -> Column:
+    """Which word of a bitmap of so many bits a hash falls into."""
+    return F.shiftright(F.col(of).bitwiseAND(F.lit(bits - 1)), 6).cast("int")
+
+
+#: Bits of the bitmap of rows that need a join.
+HOLDERS = 1 << 24
+
+
+def may_be_in(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, Column]:
+    """``rows``, and a condition on them: false only where ``key`` is none of ``keys(_h)``, both hashes.
+
+    A bitmap of ``HOLDERS`` bits is broadcast, at most ``HOLDERS / 64`` rows of it
+    whatever there is to mark.  It tells which rows needn't be shuffled to be joined;
+    a bit that stands for another hash too only costs the shuffle of a row.
+    """
+    bitmap = keys.groupBy(word("_h", HOLDERS).alias("_at")).agg(F.bit_or(bit("_h")).alias("_bits"))
+    marked = rows.withColumn("_h", key).join(F.broadcast(bitmap), word("_h", HOLDERS) == F.col("_at"), "left")
+    return marked, F.coalesce(F.col("_bits").bitwiseAND(bit("_h")) != 0, F.lit(False))
+
+
 def utf8(column: str) -> Column:
     """The column's UTF-8 bytes, null as empty."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))

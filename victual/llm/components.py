@@ -29,6 +29,13 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("hi > lo").distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node is below one other at most, and none has nodes both above and below."""
+    ends = edges.select(F.col("hi").alias("node"), F.lit(1).alias("above"), F.lit(0).alias("below")).union(edges.select("lo", F.lit(0), F.lit(1)))
+    around = ends.groupBy("node").agg(F.sum("above").alias("above"), F.max("below").alias("below"))
+    return around.where("above > 1 or (above > 0 and below > 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` of longs -> ``(node, root)``: each node's smallest reachable node.
 
@@ -38,12 +45,7 @@ def components(edges: DataFrame) -> DataFrame:
     state = written(
         edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges"
     )
-    sign = None
-    while True:
-        now = state.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first()
-        if tuple(now) == sign or not now[0]:
-            break
-        sign = tuple(now)
+    while not _are_stars(state):
         state = written(_stars(_stars(state, True), False), "edges")
     roots = state.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     return roots.union(state.select("lo", "lo").distinct())

@@ -23,7 +23,7 @@ No occurrence is paired with each other one, and equal stretches and windows are
 aggregated before they are shuffled, so a passage that a third of all texts hold
 is a few rows for each task.  Texts that lose nothing are never shuffled: those
 that lose something are marked in a third bitmap.  A bitmap is a broadcast of
-constant size (``MARKS``, ``HOLDERS`` bits); a bit that stands for something else
+constant size; a bit that stands for something else
 too costs rows that are compared or moved in vain, but none is missed.
 """
 
@@ -40,11 +40,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, numbered, table, utf8, written
+from .common import bit, bounded_batches, may_be_in, numbered, table, utf8, word, written
 
 LEAST_WORDS = 50
-#: Bits of the bitmaps: of fingerprints, and of texts that lose words.
-MARKS, HOLDERS = 1 << 27, 1 << 24
+#: Bits of the bitmaps of fingerprints.
+MARKS = 1 << 27
 #: An odd number to hash runs of words with, and its inverse.
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -194,20 +194,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string()), pa.array(gone, pa.int64())], names=[*names, "_new", "_gone"])
 
 
-def _bit(of: str) -> Column:
-    """The bit in its word that stands for a hash."""
-    return F.expr(f"shiftleft(1L, cast({of} & 63 as int))")
-
-
-def _word(of: str, bits: int) -> Column:
-    """Which word of a bitmap of so many bits a hash falls into."""
-    return F.shiftright(F.col(of).bitwiseAND(F.lit(bits - 1)), 6).cast("int")
-
-
 def _marks(stretches: DataFrame) -> np.ndarray:
     """Bitmaps of the fingerprints (by their lowest bits) of more than one stretch, and of stretches that differ."""
     found = stretches.groupBy("fp").agg(F.count("*").alias("n"), (F.min("stretch") < F.max("stretch")).alias("differ")).where("n > 1")
-    found = found.groupBy(_word("fp", MARKS).alias("at")).agg(F.bit_or(_bit("fp")).alias("shared"), F.bit_or(F.when(F.col("differ"), _bit("fp")).otherwise(0)).alias("differ"))
+    found = found.groupBy(word("fp", MARKS).alias("at")).agg(F.bit_or(bit("fp")).alias("shared"), F.bit_or(F.when(F.col("differ"), bit("fp")).otherwise(0)).alias("differ"))
     words = found.toArrow()
     marks = np.zeros((2, MARKS >> 6), np.uint64)
     for k, name in enumerate(("shared", "differ")):
@@ -260,12 +250,11 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     # A set, as rows that are alike say the same: a doc_id that is everywhere gathers no more than one text's spans.
     spans = repeated_windows(docs, least).groupBy("doc_id", "tkey").agg(F.collect_set("span").alias("_spans"))
     spans = written(spans.select(F.col("doc_id").alias("_doc"), F.col("tkey").alias("_tkey"), "_spans"), "spans")
-    holders = spans.select(F.xxhash64("_doc", "_tkey").alias("_h")).groupBy(_word("_h", HOLDERS).alias("_at")).agg(F.bit_or(_bit("_h")).alias("_bits"))
     own = F.xxhash64("text")
-    marked = docs.withColumn("_h", F.xxhash64(F.col("doc_id").cast("long"), own)).join(F.broadcast(holders), _word("_h", HOLDERS) == F.col("_at"), "left")
-    hit = F.coalesce(F.col("_bits").bitwiseAND(_bit("_h")) != 0, F.lit(False)) & F.col("text").isNotNull()
+    marked, found = may_be_in(docs, F.xxhash64(F.col("doc_id").cast("long"), own), spans.select(F.xxhash64("_doc", "_tkey").alias("_h")))
+    hit = found & F.col("text").isNotNull()
     unchanged = marked.where(~hit).select(*names, F.lit(0).cast("long").alias("_gone"))
-    held = marked.where(hit).select(*names).join(spans, (F.col("doc_id").cast("long") == F.col("_doc")) & (own == F.col("_tkey")), "left")
+    held = marked.where(hit).select(*names).join(spans.hint("merge"), (F.col("doc_id").cast("long") == F.col("_doc")) & (own == F.col("_tkey")), "left")
     others = [n for n in names if n != "text"]
     fields = [f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in others]
     rows = held.select(*others, F.col("_spans").isNotNull().alias("_less"), utf8("text").alias("_text"), F.coalesce("_spans", F.array().cast("array<long>")).alias("_spans"))

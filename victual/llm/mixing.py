@@ -7,8 +7,10 @@ no Python touches a row.
 
 No source is sorted in one place.  Keys fall into ``BUCKETS`` ranges; words are
 summed by source and range, these sums are prefix-summed, and only the range
-in which a source's budget runs out is sorted by document.  What is joined
-back to the documents is one row for each source.
+in which a source's budget runs out is looked at further.  While it holds over
+``SORTED`` documents of some source it is split into as many ranges again, so
+that keys that crowd, as those of low weights do, are no hot range; then it is
+sorted by document.  What is joined back to the documents is one row for each source.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_EPOCHS = 2.0
 BUCKETS = 4096
+#: Documents of a source that are sorted in one task.
+SORTED = 100_000
 #: Source tables up to this many rows are broadcast; beyond that they are joined by shuffle.
 BROADCAST_SOURCES = 50_000
 
@@ -82,35 +86,56 @@ def _slim(docs: DataFrame, seed: str) -> DataFrame:
     key = _key(seed)
     sized = docs.withColumn("size", _size()).withColumn("skey", _source_key())
     keyed = sized.select("doc_id", "skey", "size", key.alias("key"))
-    # The key's own distribution is nearly even in 1 - exp(-key).
+    # Keys of weight 1 are even in 1 - exp(-key); those of low weights crowd into the last ranges, see ``plan_mix``.
     bucket = F.least(F.floor((1.0 - F.exp(-F.col("key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
     return keyed.withColumn("bucket", bucket)
 
 
-def plan_mix(slim: DataFrame, **parameters) -> DataFrame:
+def _ending(ranges: DataFrame, budgets: DataFrame) -> DataFrame:
+    """Of ``ranges(skey, bucket, words, n, low, high)``, each source's in which its budget ends, and what is ``left`` of it there."""
+    before = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = ranges.withColumn("upto", F.sum("words").over(before)).join(budgets, "skey")
+    return summed.where("budget > upto - words and budget <= upto").select("skey", "low", "high", "n", (F.col("budget") - (F.col("upto") - F.col("words"))).alias("left"))
+
+
+def _joined(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows with those of a written table of sources: broadcast if it has few rows."""
+    if plan.count() <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(plan), "skey")
+    return rows.join(plan, "skey")
+
+
+def _range() -> list[Column]:
+    return [F.sum("size").alias("words"), F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")]
+
+
+def plan_mix(slim: DataFrame, most: int = SORTED, **parameters) -> DataFrame:
     """One row for each source: its size, target, epochs, and where its fractional selection ends.
 
     ``slim`` has ``doc_id, skey, size, key, bucket``.  Documents before
     ``(end_key, end_doc, end_size)`` are taken once more; those at it, one
     document or rows that are alike in all three, take ``end_words`` each.
     """
-    ranges = written(slim.groupBy("skey", "bucket").agg(F.sum("size").alias("words")), "ranges")
+    ranges = written(slim.groupBy("skey", "bucket").agg(*_range()), "ranges")
     sizes = ranges.groupBy("skey").agg(F.sum("words").alias("source_size"))
     goal = targets(sizes, **parameters)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goal = goal.withColumn("epochs", epochs).withColumn("budget", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
     goal = written(goal, "targets")
-    before = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = ranges.withColumn("upto", F.sum("words").over(before)).join(goal.select("skey", "budget"), "skey")
-    ending = summed.where("budget > upto - words and budget <= upto").select("skey", "bucket", (F.col("budget") - (F.col("upto") - F.col("words"))).alias("left"))
-    groups = slim.join(ending, ["skey", "bucket"]).groupBy("skey", "left", "key", "doc_id", "size").agg(F.count("*").alias("n"))
+    ending = written(_ending(ranges, goal.select("skey", "budget")), "ending")
+    # Rows whose keys are one are alike and are counted, not sorted.
+    while not ending.where((F.col("n") > most) & (F.col("low") < F.col("high"))).isEmpty():
+        part = F.least(F.floor((F.col("key") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-300)) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+        inside = _joined(slim.drop("bucket"), ending).where("key between low and high").select("skey", "size", "key", part.alias("bucket"))
+        ending = written(_ending(inside.groupBy("skey", "bucket").agg(*_range()), ending.select("skey", F.col("left").alias("budget"))), "ending")
+    groups = _joined(slim.drop("bucket"), ending).where("key between low and high").groupBy("skey", "left", "key", "doc_id", "size").agg(F.count("*").alias("n"))
     order = Window.partitionBy("skey").orderBy("key", F.col("doc_id").asc_nulls_last(), "size")
     placed = groups.withColumn("upto", F.sum(F.col("size") * F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     end = placed.where(F.col("left").between(F.col("upto") - F.col("size") * F.col("n") + 1, F.col("upto"))).select(
         "skey", F.col("key").alias("end_key"), F.col("doc_id").alias("end_doc"), F.col("size").alias("end_size"),
         F.floor((F.col("left") - (F.col("upto") - F.col("size") * F.col("n"))) / F.col("n")).cast("long").alias("end_words"),
     )
-    return goal.join(end, "skey", "left")
+    return written(goal.join(end, "skey", "left"), "plan")
 
 
 def _taken(docs_plan: DataFrame) -> DataFrame:
@@ -124,13 +149,6 @@ def _taken(docs_plan: DataFrame) -> DataFrame:
     return docs_plan.withColumn("taken", (F.col("epochs") * F.col("size") + part).cast("long"))
 
 
-def _joined(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    plan = written(plan, "plan")
-    if plan.count() <= BROADCAST_SOURCES:
-        return rows.join(F.broadcast(plan), "skey")
-    return rows.join(plan, "skey")
-
-
 def mix_sizes(docs: DataFrame, seed: str = "mix", **parameters) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` of each row of ``docs(doc_id, text, source)``.
 
@@ -168,6 +186,7 @@ def mix_documents(docs: DataFrame, seed: str = "mix", **parameters) -> DataFrame
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document; see ``mix_sizes`` for the edge cases."""
     return mix_sizes(table(spark, sf_dir, "documents"))
 
 

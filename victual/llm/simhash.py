@@ -6,6 +6,10 @@ The index therefore lists fingerprints by what stands at byte positions; for
 each pair that meets in a list the shared positional bytes are tallied, pairs
 below the guaranteed four are dropped, and the rest are verified by their bits.
 
+The tally is the number of equal bytes of two whole fingerprints: each of the
+pair's postings is there, so it's what adding up the lists that they share would
+give, without a row for each pair and list.
+
 Lists of a single position and byte would be a 256th of everything, and their
 pairs quadratic.  A list here is the conjunction of three positions: ``TRIPLES``
 are 20 sets of three positions such that any four positions contain one of them
@@ -29,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table, utf8, written
+from .common import bounded_batches, may_be_in, table, utf8, written
 from .components import components
 
 BITS = 4
@@ -69,10 +73,10 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint's bits as a long) of each row of ``docs(doc_id, text)``."""
+    """``doc_id, tkey, fp`` of each row of ``docs(doc_id, text)``: a hash of the text, and the fingerprint's bits as a long."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("_text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tkey"), utf8("text").alias("_text"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, tkey long, fp long")
 
 
 def _pairs(fps: np.ndarray, left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
@@ -187,20 +191,26 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.mapInArrow(_links, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, prints: DataFrame | None = None) -> DataFrame:
+def _placed(rows: DataFrame) -> DataFrame:
+    """``fp, least, root`` of each distinct fingerprint: its smallest doc_id, and the component's smallest fingerprint."""
+    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    roots = components(links(classes.select("fp")))
+    return classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of each row of ``docs(doc_id, text)``.
 
     The fingerprint is 16 lower-case hex digits, the component_id the smallest
     doc_id reachable over links of at most four differing bits.  Null and empty
     texts have fingerprint zero and link like any other; a null doc_id gets a
-    component like the rest but is never the smallest unless alone.  Repeated
-    rows each keep their row; an empty table gives an empty result; extra
-    columns are ignored.
+    component like the rest but is never the smallest unless alone.  A very long
+    text is read whole, 32,768 shingles at a time.  Bits that half of the shingles
+    have are 0.  Repeated rows each keep their row; an empty table gives an empty
+    result; extra columns are ignored.
     """
-    rows = prints if prints is not None else written(fingerprints(docs), "fingerprints")
-    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(links(classes.select("fp")))
-    placed = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rows = written(fingerprints(docs), "fingerprints")
+    placed = _placed(rows)
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     members = placed.join(smallest, "root").select(F.col("fp").alias("of"), "component_id")
     joined = rows.join(members, rows.fp == members.of)
@@ -208,21 +218,38 @@ def near_duplicates(docs: DataFrame, prints: DataFrame | None = None) -> DataFra
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each near-duplicate component, that of the smallest doc_id.
+    """``docs`` with one row of each near-duplicate component: the smallest doc_id's, of its texts that of the smallest hash.
+
+    Rows that repeat that doc_id and text are reduced to one, the smallest by its
+    other columns' hash.  Rows without doc_id stay.  Null and empty texts are one
+    component.  Extra columns are kept, whatever their names.
 
-    Rows that share that doc_id are reduced to one, the smallest text.  Rows
-    without doc_id stay.
+    Only rows that go or repeat are marked, in a bitmap of constant size; the others
+    aren't shuffled.
     """
-    found = near_duplicates(docs).groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.expr("doc_id = component_id")).alias("first"))
-    found = written(found.where("first").select("doc_id", "n"), "kept")
-    # The kept ids grow with the documents: they're merged at every size, never broadcast.
-    kept = docs.join(found.select("doc_id").hint("merge"), "doc_id", "left_semi")
-    repeated = found.where("n > 1").select("doc_id")
-    if not repeated.isEmpty():
-        rest = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text", F.xxhash64(*docs.columns))).alias("row"))
-        kept = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(rest.select("row.*"))
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    columns = docs.columns
+    names = [c if c in ("doc_id", "text") else f"_keep{i}" for i, c in enumerate(columns)]
+    docs = docs.toDF(*names)
+    rows = written(fingerprints(docs), "fingerprints").where("doc_id is not null")
+    roots = _placed(rows).select(F.col("fp").alias("of"), "root")
+    texts = rows.groupBy("doc_id", "tkey", "fp").agg(F.count("*").alias("n")).join(roots, F.col("fp") == F.col("of"))
+    texts = written(texts.select("doc_id", "tkey", "root", "n"), "texts")
+    first = texts.groupBy("root").agg(F.min(F.struct("doc_id", "tkey")).alias("first"))
+    judged = texts.join(first, "root").withColumn("_kept", F.struct("doc_id", "tkey") == F.col("first"))
+    judged = written(judged.where("not _kept or n > 1").select(F.col("doc_id").alias("_doc"), F.col("tkey").alias("_tkey"), "_kept"), "judged")
+    own = F.xxhash64("text")
+    key = F.xxhash64(F.col("doc_id").cast("long"), own)
+    marked, found = may_be_in(docs, key, judged.select(F.xxhash64("_doc", "_tkey").alias("_h")))
+    hit = found & F.col("doc_id").isNotNull()
+    held = marked.where(hit).select(*names).join(judged.hint("merge"), (F.col("doc_id").cast("long") == F.col("_doc")) & (own == F.col("_tkey")), "left")
+    kept = marked.where(~hit).select(*names).unionByName(held.where("_kept is null").select(*names))
+    if not judged.where("_kept").isEmpty():
+        again = held.where("_kept").select(*names)
+        rest = again.groupBy("doc_id", F.xxhash64("text")).agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("row"))
+        kept = kept.unionByName(rest.select("row.*"))
+    return kept.toDF(*columns)
 
 
 def op8_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; see ``near_duplicates`` for the edge cases."""
     return near_duplicates(table(spark, sf_dir, "documents"))
