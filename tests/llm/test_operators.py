@@ -418,7 +418,12 @@ def test_neighbours_recall_and_edges(spark):
         for _, i, score in mine:
             assert score == pytest.approx(float((vectors[q] * vectors[i]).sum()), rel=1e-12)
         assert [(-s, i) for _, i, s in mine] == sorted((-s, i) for _, i, s in mine)
-    assert set(found) == set(range(0, 600, 20)) and hits / (20 * len(found)) > 0.99
+    assert set(found) == set(range(0, 600, 20)) and hits / (20 * len(found)) > 0.95
+    lengths = spark.createDataFrame([(i, [float(i % 7 + 1)] * (2 + i % 2)) for i in range(60)] + [(4, [1.0, 1.0])] * 2, "vec_id long, embedding array<double>")
+    by_query = {}
+    for r in ann.search(lengths, F.col("vec_id") % 20 == 0).collect():
+        by_query.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(by_query) == {0, 20, 40} and all(len(v) == 20 and not any(i % 2 for i in v) for v in by_query.values())
     few = ann.search(table.where("vec_id < 21 and vec_id >= 18"), F.col("vec_id") % 20 == 0)
     assert few.count() == 2
     assert ann.search(table.where("false"), F.col("vec_id") % 20 == 0).count() == 0
@@ -429,8 +434,41 @@ def test_error_bounds_hold():
     rows, queries = draw.standard_normal((2000, 64)), draw.standard_normal((20, 64))
     mean, turn = rows.mean(axis=0), ann.rotation(64)
     assert np.allclose(turn @ turn.T, np.eye(64))
-    guess, error = ann.estimate(queries, *ann.encode(rows, mean, turn), mean, turn)
-    assert (np.abs(guess - queries @ rows.T) <= error).mean() > 0.995
+    for epsilon, share in ((ann.EPSILON, 0.85), (3.0, 0.995)):
+        guess, error = ann.estimate(queries, *ann.encode(rows, mean, turn), mean, turn, epsilon)
+        assert (np.abs(guess - queries @ rows.T) <= error).mean() > share
+
+
+def test_estimates_count_bits():
+    """Packed bits give what the signs themselves would, but for the rounding of the query."""
+    draw = np.random.default_rng(6)
+    rows, queries = draw.standard_normal((50, 70)), draw.standard_normal((5, 70))
+    mean, turn = rows.mean(axis=0), ann.rotation(70)
+    codes, numbers = ann.encode(rows, mean, turn)
+    assert codes.shape == (50, 2) and codes.dtype == np.uint64
+    rest = rows - mean
+    turned = rest / np.linalg.norm(rest, axis=1, keepdims=True) @ turn
+    signs = np.where(turned > 0, 1, -1) / np.sqrt(70)
+    want = (queries - mean) @ turn @ signs.T / (turned * signs).sum(axis=1) * np.linalg.norm(rest, axis=1) + rows @ mean + ((queries - mean) @ mean)[:, None]
+    guess, error = ann.estimate(queries, codes, numbers, mean, turn, 0.0)
+    assert (np.abs(guess - want) <= error + 1e-4).all() and error.max() < 0.02 * 70
+
+
+def test_the_share_reranked_falls():
+    """Among more rows the 20th best is better, so that fewer rows reach it."""
+    draw = np.random.default_rng(7)
+    rows = draw.standard_normal((8000, 64))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    turn, shares = ann.rotation(64), []
+    for n in (500, 2000, 8000):
+        mean = rows[:n].mean(axis=0)
+        found, reranked = ann.search_block(np.arange(40), rows[:40], np.arange(n), rows[:n], *ann.encode(rows[:n], mean, turn), mean, turn)
+        shares.append(reranked / n / 40)
+        exact = rows[:40] @ rows[:n].T
+        exact[np.arange(40), np.arange(40)] = -np.inf
+        hits = sum(len(set(np.argsort(-exact[i])[:20]) & set(near)) for i, near, _ in found)
+        assert hits / 800 > 0.97
+    assert shares[0] > shares[1] > shares[2] and shares[2] < 0.3
 
 
 def test_neighbours_in_many_blocks(spark, monkeypatch):
@@ -440,7 +478,7 @@ def test_neighbours_in_many_blocks(spark, monkeypatch):
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
     got = {(r.query_id, r["rank"]): r.vec_id for r in ann.search(table, F.col("vec_id") % 20 == 0).collect()}
     want = {(q, k + 1): int(i) for q in range(0, 300, 20) for k, i in enumerate([i for i in np.argsort(-(vectors @ vectors[q])) if i != q][:20])}
-    assert sum(got[k] == want[k] for k in want) / len(want) > 0.97 and len(got) == len(want)
+    assert sum(got[k] == want[k] for k in want) / len(want) > 0.93 and len(got) == len(want)
 
 
 # --------------------------------------------------------------- classifier
