@@ -4,6 +4,7 @@ import gzip
 import io
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -613,18 +614,43 @@ def test_trie_against_brute_force():
 
 
 def test_licences(spark):
-    mit = licences._MIT
+    mit = licences.text_of("MIT")
     variants = [
         mit, mit.upper().replace('"', "'"), "Copyright 2020 Someone, Ltd.\n(c) 1999 x\n" + mit.replace("\n", "\r\n"), mit.replace("noninfringement".upper(), "NON-INFRINGEMENT").replace("sublicense", "sublicence"),
-        mit + " and more", "prose\nReleased under the MIT licence!\nmore", "All rights   reserved", None, "", "...\n...", "Copyright 2020",
+        mit + " and more", "prose\nReleased under the MIT licence!\nmore", "All rights   reserved", None, "", "...\n...", "Copyright 2020", "Copyright 2020 X. All rights reserved.",
     ]
-    table = clashing(docs(spark, *[(i, t, "s") for i, t in enumerate(variants)], (6, "All rights reserved", "s")))
+    table = clashing(docs(spark, *[(i, t, "s") for i, t in enumerate(variants)], (6, "All rights reserved", "s"), (20, ("prose " * 10 + "\n") * 100_000 + "Licensed under CC BY 4.0.", "s")))
     got = {(r.doc_id, r.license, r.scope): r.hits for r in licences.scan_licenses(table).collect()}
     want = {(i, "MIT", "document"): 1 for i in range(4)} | {(5, "MIT", "line"): 1, (6, "all-rights-reserved", "document"): 2, (6, "all-rights-reserved", "line"): 2}
-    assert got == want
+    assert got == want | {(11, "all-rights-reserved", s): 1 for s in ("document", "line")} | {(20, "CC-BY-4.0", "line"): 1}
     assert licences.scan_licenses(docs(spark)).count() == 0
 
 
+def test_whole_licence_texts(spark):
+    """Each known text, unwrapped and wrapped anew, under its titles, with curly quotes, and without its appendix."""
+    # A copyright line ends with its line, so it isn't joined with the next.
+    wrap = lambda text, n: "\n\n".join(p if "Copyright (C)" in p else textwrap.fill(" ".join(p.split()), n) for p in text.split("\n\n"))
+    curly = lambda text: re.sub('"([^"]*)"', "\u201c\\1\u201d", text).replace("'", "\u2019").replace("- ", "\u2013 ")
+    cases = {}
+    for name, titles in licences.TITLES.items():
+        text = licences.text_of(name)
+        for k, shape in enumerate((text, wrap(text, 60), wrap(text, 10_000), curly(text))):
+            cases[len(cases)] = (name, shape)
+        for title in titles:
+            cases[len(cases)] = (name, f"{title}\n\nCopyright (c) 2021-2023, Jane Doe <jane@example.org>\nAll rights reserved.\n\n{text}")
+            cases[len(cases)] = (name, f"# {title}\n\nCopyright \u00a9 2021 The Project Authors\n\n{wrap(text, 72)}")
+        if licences.END in text:
+            cases[len(cases)] = (name, text[: text.index(licences.END)])
+    cases[len(cases)] = (None, licences.text_of("ISC").replace("without fee", "for a fee"))
+    got = licences.scan_licenses(docs(spark, *[(i, t, "s") for i, (_, t) in cases.items()])).where("scope = 'document'").collect()
+    assert {r.doc_id: r.license for r in got} == {i: n for i, (n, _) in cases.items() if n}
+
+
+def test_two_licences_with_one_text(spark):
+    found = licences.scan_licenses(docs(spark, (1, "the same words", "s")), [("b", "The same: words."), ("a", "the SAME words")])
+    assert [(r.license, r.scope, r.hits) for r in found.orderBy("scope").collect()] == [("a", "document", 1), ("a", "line", 1)]
+
+
 # ---------------------------------------------------------------------- warc
 
 

@@ -1,8 +1,8 @@
 """License scans: canonical digests of whole texts, joined to known licences.
 
 A text is canonical when it is lower-cased, its copyright lines are gone,
-equivalent spellings are one, and all that isn't a letter or digit is a single
-space.  Texts are compared whole, by the SHA-256 of their canonical form: the
+equivalent spellings are one, and all that isn't a letter or digit (of any
+script) is a single space, so that wrapping, quotes and dashes don't matter.  Texts are compared whole, by the SHA-256 of their canonical form: the
 text of a document, and each of its lines, as notices mostly are a line.
 Everything is built-in expressions; the catalogue is broadcast, and its size
 is checked.
@@ -11,6 +11,7 @@ is checked.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,61 +21,107 @@ from .common import table
 #: A larger catalogue is joined by shuffle instead of broadcast.
 BROADCAST_TEXTS = 100_000
 
-_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-
-The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
-
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
-_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
-
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
-_BSD2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
-
-1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
-
-2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
-
-THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
-
-#: (licence, text).  Fixed values: public licence texts and the notices in common use.
-CATALOGUE = (
-    ("MIT", _MIT),
-    ("MIT", "MIT License\n\nCopyright (c) <year> <holder>\n\n" + _MIT),
-    ("ISC", _ISC),
-    ("BSD-2-Clause", _BSD2),
+#: Licence texts of the folder ``texts`` and the titles that are often put before them.
+#: Public licence texts and titles in common use.
+TITLES = {
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"),
+    "Apache-2.0": (),
+    "Artistic-1.0": (),
+    "BSD-2-Clause": ("BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "The BSD 2-Clause License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "The BSD 3-Clause License", "New BSD License"),
+    "BSL-1.0": (),
+    "CC0-1.0": (),
+    "GPL-1.0": (),
+    "GPL-2.0": (),
+    "GPL-3.0": (),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "LGPL-2.0": (),
+    "LGPL-2.1": (),
+    "LGPL-3.0": (),
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT", "MIT License (MIT)"),
+    "MPL-1.1": (),
+    "MPL-2.0": (),
+    "Unlicense": ("The Unlicense",),
+    "Zlib": ("zlib License", "The zlib License"),
+}
+#: What ends the terms, before an appendix that is often left out.
+END = "END OF TERMS AND CONDITIONS"
+RESERVED = "All rights reserved."
+#: (licence, notice).  Fixed values: notices in common use.
+NOTICES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "Licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("Unlicense", "SPDX-License-Identifier: Unlicense"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
-    ("all-rights-reserved", "All rights reserved."),
+    ("all-rights-reserved", RESERVED),
 )
-#: (pattern, replacement), in order, over lower-cased text: copyright lines, then all but letters
-#: and digits.  Java's and RE2's engines read them alike.
+#: (pattern, replacement), in order, over lower-cased text.  Java's and RE2's engines read them alike.
 PATTERNS = (
-    (r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*", " "),
-    (r"[^a-z0-9\x{80}-\x{10FFFF}]+", " "),
+    # The notice at a copyright line's end stays.
+    (r"all rights reserved", "\nall rights reserved"),
+    # The foundation's address, which moved.
+    (r"[0-9]+\s+(franklin\s+st|temple\s+pl)[^.;]{0,80}?usa", " "),
+    # Copyright lines: the word or a sign, then a sign, a year, a placeholder or holders that are named as such.
+    # "Copyright notice" and a point (c) of a list are no copyright line.
+    (
+        r"(^|\n)[^\p{L}\p{N}\n(©]*((copyright|\(c\)|©)[ \t,:]*(\(c\)|©|[0-9]{4}|[\[<{]|by[ \t]|the[ \t][^\n]*(authors|contributors|foundation|regents))|©)[^\n]*",
+        " ",
+    ),
+    (r"[^\p{L}\p{N}]+", " "),
 )
 #: (spelling, equivalent), in order, over words between single spaces.  Fixed values: spellings
 #: that licence texts use for each other.
 SPELLINGS = (
     ("licenc", "licens"),
+    (" sub licens", " sublicens"),
     (" non commercial", " noncommercial"),
     (" non infringement", " noninfringement"),
     ("merchantib", "merchantab"),
     ("copyright owner", "copyright holder"),
+    ("acknowledgement", "acknowledgment"),
+    ("organis", "organiz"),
+    ("recognis", "recogniz"),
+    ("favour", "favor"),
+    (" https ", " http "),
     (" version ", " v "),
 )
 
 
+def text_of(name: str) -> str:
+    """A licence's text in the folder ``texts``, which may be in a zip."""
+    return files(__package__).joinpath("texts", f"{name}.txt").read_text("utf-8")
+
+
+def variants(name: str, text: str, titles: Iterable[str] = ()) -> list[tuple[str, str]]:
+    """(licence, text) with and without titles, "all rights reserved" below them, and the appendix."""
+    bodies = [text] + ([text[: text.index(END)], text[: text.index(END) + len(END)]] if END in text else [])
+    return [(name, f"{title}\n{reserved}\n{body}") for body in bodies for title in ("", *titles) for reserved in ("", RESERVED)]
+
+
+def catalogue() -> list[tuple[str, str]]:
+    """(licence, text) of all known texts and notices."""
+    texts = [v for name, titles in TITLES.items() for v in variants(name, text_of(name), titles)]
+    # An older wording.
+    texts += variants("ISC", text_of("ISC").replace("and/or distribute", "and distribute"), TITLES["ISC"])
+    return [*texts, *NOTICES]
+
+
 def canonical(text: Column) -> Column:
+    """Lower-cased words between single spaces, without copyright lines, in one of equivalent spellings."""
     out = F.lower(text)
     for pattern, replacement in PATTERNS:
         out = F.regexp_replace(out, pattern, replacement)
@@ -89,23 +136,26 @@ def _digest(form: Column) -> Column:
     return F.coalesce(F.sha2(form.cast("binary"), 256), F.lit(""))
 
 
-def known_digests(spark: SparkSession, catalogue: Iterable[tuple[str, str]] = CATALOGUE) -> DataFrame:
+def known_digests(spark: SparkSession, known: Iterable[tuple[str, str]]) -> DataFrame:
     """``license, digest``: of a digest that two licences share, the first by name."""
-    texts = spark.createDataFrame(list(catalogue), "license string, text string").select("license", canonical(F.col("text")).alias("form"))
+    texts = spark.createDataFrame(list(known), "license string, text string").select("license", canonical(F.col("text")).alias("form"))
     return texts.where("form <> ''").groupBy(_digest(F.col("form")).alias("digest")).agg(F.min("license").alias("license"))
 
 
-def scan_licenses(docs: DataFrame, catalogue: Iterable[tuple[str, str]] = CATALOGUE) -> DataFrame:
+def scan_licenses(docs: DataFrame, texts: Iterable[tuple[str, str]] | None = None) -> DataFrame:
     """``doc_id, license, scope, hits``: licences that each document is or holds as a line.
 
-    ``scope`` is ``document`` where the whole text is a licence's, ``line``
-    where a line of it is.  Null and empty texts match nothing, nor do lines
-    without letters or digits.  Rows that repeat a doc_id are counted together;
-    an empty table gives an empty result; extra columns are ignored.
+    ``texts`` are (licence, text), those of ``catalogue`` if not given.  ``scope`` is
+    ``document`` where the whole text is a licence's, ``line`` where a line of it is;
+    a licence that stands within a longer text is found by its notice only.  Null and
+    empty texts match nothing, nor do lines without letters or digits.  A text of any
+    length is read whole.  Of two licences with one text the first by name is given.
+    Rows that repeat a doc_id are counted together; an empty table gives an empty
+    result; extra columns are ignored.
     """
-    catalogue = list(catalogue)
-    known = known_digests(docs.sparkSession, catalogue)
-    if len(catalogue) <= BROADCAST_TEXTS:
+    texts = catalogue() if texts is None else list(texts)
+    known = known_digests(docs.sparkSession, texts)
+    if len(texts) <= BROADCAST_TEXTS:
         known = F.broadcast(known)
     text = F.coalesce("text", F.lit(""))
     whole = docs.select("doc_id", text.alias("unit"), F.lit("document").alias("scope"))
@@ -116,6 +166,7 @@ def scan_licenses(docs: DataFrame, catalogue: Iterable[tuple[str, str]] = CATALO
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The known licences of every document; see ``scan_licenses`` for the edge cases."""
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
@@ -129,10 +180,26 @@ def _canonical_sql(text: str) -> str:
     return f"trim({out})"
 
 
-_VALUES = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in CATALOGUE)
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: Texts once each; their variants are made by joins, as ``variants`` makes them.
+_TEXTS = [(n, text_of(n)) for n in TITLES] + [("ISC", text_of("ISC").replace("and/or distribute", "and distribute"))]
+_TITLED = ", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, titles in TITLES.items() for t in ("", *titles))
 OP7_SQL = f"""
-WITH k AS (
-  SELECT sha256({_canonical_sql('text')}) AS digest, min(license) AS license FROM (VALUES {_VALUES}) v(license, text) GROUP BY 1
+WITH x AS (
+  SELECT * FROM (VALUES {", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in _TEXTS)}) v(license, body)
+), y AS (
+  SELECT license, body FROM x UNION ALL
+  SELECT license, left(body, strpos(body, '{END}') - 1) FROM x WHERE contains(body, '{END}') UNION ALL
+  SELECT license, left(body, strpos(body, '{END}') + {len(END) - 1}) FROM x WHERE contains(body, '{END}')
+), z AS (
+  SELECT y.license, title || chr(10) || reserved || chr(10) || body AS text
+  FROM y JOIN (VALUES {_TITLED}) t(license, title) ON t.license = y.license, (VALUES (''), ('{RESERVED}')) r(reserved)
+  UNION ALL SELECT * FROM (VALUES {", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in NOTICES)})
+), k AS (
+  SELECT sha256({_canonical_sql('text')}) AS digest, min(license) AS license FROM z GROUP BY 1
 ), u AS (
   SELECT doc_id, 'document' AS scope, coalesce(text, '') AS unit FROM documents
   UNION ALL
