@@ -1,6 +1,7 @@
 """Operators against brute force, and their edge cases."""
 
 import gzip
+import hashlib
 import io
 import random
 import re
@@ -664,7 +665,7 @@ def test_warc_round_trip(spark):
         spark, (5, "http://a/\r\nX: y", long_), (3, None, long_), (9, "http://c", long_), (1, "u", "short"), (2, "u", "short"), (7, "u", None), (8, "u", ""), (10, "u", "x" * 100), (11, "u", "x" * 100), (11, "u", "x" * 100), (12, "u", "y" * 99), (13, "u", "y" * 99),
     ).withColumn("block", F.lit(1))
     path = shared_folder(spark, "warc")
-    warc.write_archives(table, path, warc.find_revisits(warc.payload_headers(table)))
+    warc.write_archives(table, path)
     records = warc.read_archives(spark, path, with_payload=True)
     resolved = sorted(warc.resolve_revisits(records.drop("payload")).collect(), key=lambda r: r.page_id)
     got = [(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in resolved]
@@ -678,13 +679,60 @@ def test_warc_round_trip(spark):
     assert {r.page_id: r.url for r in records.collect()}[5] == "http://a/%0D%0AX: y"
     again = shared_folder(spark, "warc")
     warc.deduplicate_archives(spark, path, again)
-    assert warc.read_archives(spark, again).where("record_type = 'response'").count() == len(payloads)
+    # As many records as before, of the same kinds, and revisits still know their originals.
+    twice = warc.resolve_revisits(warc.read_archives(spark, again)).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in twice) == sorted(got)
+    for folder in (path, again):
+        names = [r.record for r in warc.read_archives(spark, folder).collect()]
+        assert len(set(names)) == len(names) == 12
+
+
+def raw_archive(*records):
+    out = b""
+    for fields, block in records:
+        lines = "".join(f"{k}: {v}\r\n" for k, v in {**fields, "Content-Length": len(block)}.items())
+        out += gzip.compress(f"WARC/1.0\r\n{lines}\r\n".encode() + block + b"\r\n\r\n")
+    return out
+
+
+def test_archives_from_elsewhere(spark, tmp_path):
+    """Other ids, digests of another kind, bytes that are no text, headers of their own, revisits with and without originals."""
+    page, other = b"\xff\xfe\x00" * 60, b"y" * 150
+    http = b"HTTP/1.1 404 Not Found\r\nX-Own: 1\r\n\r\n"
+    sha = lambda b: "sha256:" + hashlib.sha256(b).hexdigest()
+    fields = lambda kind, n, digest, **more: {"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{n}>", "WARC-Date": f"2020-01-0{n}T00:00:00Z", "WARC-Target-URI": f"http://h/{n}", "WARC-Payload-Digest": digest} | more
+    records = [
+        ({"WARC-Type": "warcinfo"}, b"software: x"),
+        (fields("response", 1, sha(page)), http + page), (fields("response", 2, "sha1:ABC"), http + page), (fields("response", 3, sha(other)), http + other),
+        (fields("revisit", 4, sha(page), **{"WARC-Refers-To": "<urn:uuid:2>"}), http), (fields("revisit", 5, sha(b"gone" * 50), **{"WARC-Refers-To": "<urn:uuid:lost>"}), http),
+        (fields("revisit", 6, sha(other)), http), (fields("response", 7, sha(b"s")), http + b"s"), (fields("response", 8, sha(b"s")), http + b"s"),
+    ]
+    (tmp_path / "raw.warc.gz").write_bytes(raw_archive(*records))
+    clean = shared_folder(spark, "clean")
+    warc.deduplicate_archives(spark, str(tmp_path), clean)
+    got = {r.record[10:-1]: r for r in warc.read_archives(spark, clean, with_payload=True).collect()}
+    assert {k: (r.record_type, r.refers_to_record) for k, r in got.items()} == {
+        "1": ("response", None), "2": ("revisit", "<urn:uuid:1>"), "3": ("response", None), "4": ("revisit", "<urn:uuid:1>"), "5": ("revisit", "<urn:uuid:lost>"),
+        "6": ("revisit", "<urn:uuid:3>"), "7": ("response", None), "8": ("response", None),
+    }
+    assert bytes(got["1"].payload) == page and all(bytes(r.http) == http and r.date == f"2020-01-0{k}T00:00:00Z" for k, r in got.items())
+    assert {r.page_id for r in got.values()} == {None}
+
+
+def test_archives_are_bounded(spark):
+    table = pages(spark, *[(i, f"u{i}", "x" * (1000 + i)) for i in range(60)], (99, "big", "long " * 400_000))
+    path = shared_folder(spark, "warc")
+    warc.write_records(warc.page_records(table.coalesce(1)), path, records_per_archive=7, date="2001-02-03T04:05:06Z")
+    found = warc.read_archives(spark, path, with_payload=True)
+    assert found.inputFiles().__len__() == 9 and found.count() == 61 and {r.date for r in found.select("date").collect()} == {"2001-02-03T04:05:06Z"}
+    assert len(found.where("page_id = 99").first().payload) == 2_000_000
+    assert warc.records_per_archive(warc.headers(warc.page_records(table)), 100_000) == 2
 
 
 def test_raw_archives_are_deduplicated(spark):
     table = pages(spark, *[(i, f"u{i}", "same " * 40) for i in range(6)], (9, "v", "z"))
     raw, clean = shared_folder(spark, "raw"), shared_folder(spark, "clean")
-    warc.write_archives(table, raw)
+    warc.write_records(warc.page_records(table), raw)
     assert warc.read_archives(spark, raw).where("record_type = 'response'").count() == 7
     warc.deduplicate_archives(spark, raw, clean)
     kinds = Counter((r.record_type, r.refers_to) for r in warc.read_archives(spark, clean).collect())
@@ -705,11 +753,11 @@ def test_warc_parser():
 def test_warc_edges(spark):
     empty = pages(spark)
     path = shared_folder(spark, "warc")
-    warc.write_archives(empty, path, warc.find_revisits(warc.payload_headers(empty)))
+    warc.write_archives(empty, path)
     assert warc.read_archives(spark, path).count() == 0
     table = pages(spark, (None, "u", "n" * 200), (4, "u", "n" * 200), (None, "u", "k" * 200), (None, None, None))
     path = shared_folder(spark, "warc")
-    warc.write_archives(table, path, warc.find_revisits(warc.payload_headers(table)))
+    warc.write_archives(table, path)
     got = Counter((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.resolve_revisits(warc.read_archives(spark, path)).collect())
     assert got == {(4, "response", None, 200): 1, (None, "revisit", 4, 200): 1, (None, "response", None, 200): 1, (None, "response", None, 0): 1}
 
