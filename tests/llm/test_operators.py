@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from victual.llm import ann, classifier, components, licences, lines, mixing, packing, rules, simhash, urls, warc
+from victual.llm import ann, classifier, common, components, licences, lines, mixing, packing, rules, simhash, urls, warc
 from victual.llm.common import shared_folder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -36,6 +36,52 @@ def prose(seed, n):
     return " ".join("".join(draw.choices("abcdefgh", k=draw.randint(2, 7))) for _ in range(n))
 
 
+# -------------------------------------------------------------------- common
+
+
+def test_work_folders(spark, monkeypatch):
+    table = common.written(spark.range(3).toDF("id"), "three")
+    assert table.count() == 3
+    path = next(p for p in common._made if "/three-" in p)
+    kept = {p: s for p, s in common._made.items() if p != path}
+    for p in kept:
+        del common._made[p]
+    assert common.remove_work() == 1 and path not in common._made
+    common._made.update(kept)
+    with pytest.raises(Exception, match="(?i)PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(path)
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master, getCheckpointDir = "spark://host:7077", staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(Cluster, "x")
+
+
+def test_batches_are_only_made_smaller(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    for now, after in (("10000", "2000"), ("0", "2000"), ("50", "50")):
+        spark.conf.set(key, now)
+        common.bounded_batches(spark)
+        assert spark.conf.get(key) == after
+    spark.conf.set(key, before)
+
+
+def test_marked_rows_are_never_missed(spark):
+    rows = spark.range(3000).toDF("id")
+    keys = rows.where("id % 7 = 0").select(F.xxhash64("id").alias("_h"))
+    marked, found = common.may_be_in(rows, F.xxhash64("id"), keys)
+    hits = {r.id for r in marked.where(found).collect()}
+    assert hits >= set(range(0, 3000, 7)) and len(hits) < 500
+    marked, found = common.may_be_in(rows, F.xxhash64("id"), keys.where("false"))
+    assert marked.where(found).count() == 0 and marked.where(~found).count() == 3000
+
+
 # ---------------------------------------------------------------- components
 
 
@@ -102,6 +148,13 @@ def test_near_duplicates_against_brute_force(spark):
     assert simhash.near_duplicates(docs(spark)).count() == 0
 
 
+def test_fingerprint_of_a_very_long_text():
+    """Over 32,768 shingles, so in several slices."""
+    draw = random.Random(12)
+    text = " ".join(draw.choices(["a", "b", "cd", "e"], k=80_000))
+    assert simhash.fingerprint(text.encode()) == slow_fingerprint(text)
+
+
 @pytest.mark.parametrize("block", [3, 1024])
 def test_links_of_crowded_lists(spark, block):
     """Fingerprints that agree in many bytes: long lists, cut into blocks or not."""
@@ -135,6 +188,14 @@ def test_keep_one(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 9), (True, 0)]
 
 
+def test_keep_one_of_repeated_ids(spark):
+    """Rows that share an id but not their text are of different components."""
+    a, b = prose(1, 60), prose(2, 60)
+    table = docs(spark, (3, b, "s"), (5, a, "s"), (5, b, "s"), (7, a, "s"), (8, None, "s"), (9, "", "s"))
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_one(table).collect()) == sorted([(3, b), (5, a), (8, None)], key=str)
+    assert simhash.keep_one(docs(spark)).count() == 0
+
+
 # ---------------------------------------------------------------- line dedup
 
 
@@ -238,6 +299,15 @@ def test_line_dedup_edges(spark):
     assert lines.dedup_lines(docs(spark)).count() == 0
 
 
+def test_line_dedup_of_very_long_texts(spark):
+    """A text that repeats itself over and over, and a long one that another holds within."""
+    long_ = prose(3, 60_000)
+    table = docs(spark, (1, "spam " * 300_000, "s"), (2, long_, "s"), (3, f"{prose(4, 30)} {long_}\n{prose(5, 30)}", "s"), (4, "spam " * 60, "s"))
+    left = {r.doc_id: r for r in lines.dedup_lines(table).collect()}
+    assert left[1].text.split() == ["spam"] and left[2].text == long_ and left[4].text == ""
+    assert left[3].text == f"{prose(4, 30)}\n{prose(5, 30)}"
+
+
 # ------------------------------------------------------------------- packing
 
 
@@ -392,6 +462,23 @@ def test_mixed_documents(spark):
     assert mixing.mix_sizes(docs(spark)).count() == 0 and mixing.mix_documents(docs(spark)).count() == 0
 
 
+def test_crowded_keys_are_split(spark):
+    """A source of symbols has low weights, so long keys that crowd: ranges are split until few are sorted, with the same result."""
+    draw = random.Random(8)
+    rows = [(i, " ".join(w + "#" * draw.randint(2, 9) for w in prose(i, draw.randint(1, 30)).split()), "code") for i in range(1500)] + [(9000 + i, prose(i, 9), "prose") for i in range(200)]
+    rows += [(20_000, "one doc again", "code")] * 40
+    slim = mixing._slim(docs(spark, *rows), "mix")
+    crowded = slim.where("skey = '1code'").groupBy("bucket").count().agg(F.max("count")).first()[0]
+    assert crowded > 600  # the last range holds most of the source
+    got = {k: sorted(map(tuple, mixing.mix_sizes(docs(spark, *rows), most=k).collect()), key=repr) for k in (5, 10**9)}
+    assert got[5] == got[10**9]
+
+
+def test_mixing_of_a_very_long_text(spark):
+    (long_, _) = mixing.mix_sizes(docs(spark, (1, "word " * 1_000_000, "a"), (2, "b c", "b"))).orderBy("doc_id").collect()
+    assert long_.size == 1_000_000 and 0 < long_.taken <= 2_000_000
+
+
 def test_mixing_plan_is_native(spark):
     plan = mixing.mix_sizes(docs(spark, (1, "a b", "s")))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -520,6 +607,70 @@ def test_held_out_labels_do_not_matter(spark):
     assert len(classifier.train(table, labels, sample=10).labels) == 10
 
 
+def slow_terms(text):
+    """A text's terms, counted word by word."""
+    words = text.split()
+    out = [0.0] * classifier.TERMS
+    if not words:
+        return out
+    n, kinds = len(words), len(set(words))
+    for w in words:
+        upper = "" if w == w.lower() else "U" if w == w.upper() and len(w) > 2 else "T" if w[0] != w[0].lower() else "M"
+        shape = re.sub(r"\d+", "9", re.sub(r"[^\W\d_]+", "a", w))
+        out[zlib.crc32(w.lower().encode()) % 512] += 1 / n
+        out[512 + zlib.crc32((upper + shape).encode()) % 512] += 1 / n
+    out[:1024] = [x**0.5 * (0.25 if k < 512 else 1) for k, x in enumerate(out[:1024])]
+    for k, lag in enumerate((1, 2, 3, 4, 5)):
+        share = sum(a == b for a, b in zip(words, words[lag:])) / n
+        out[1024 + 2 * k : 1026 + 2 * k] = share**0.5, (1 - share) ** 0.5 / 5
+    out[-2:] = (n - kinds) / n / (1 + np.log(n)), 1 / (1 + np.log(n)) / 4
+    return out
+
+
+def test_terms_against_brute_force():
+    texts = ["", " \n", "a", "A b B12 x_9 ###! iPhone NASA Ab", "spam " * 50, prose(3, 200), "long" * 30 + "-" * 20, "É é 漢字 12.5%", "a-b.c/d_e:f;g,h!i?j 1-2.3/4"]
+    for text in texts:
+        assert np.allclose(classifier.term_vector(text), slow_terms(text), atol=1e-6), text
+    assert classifier.term_vector("word other " * 1_000_000).any()
+
+
+def test_frequencies_and_latent_vectors_against_brute_force():
+    """The truncated SVD keeps the cosines of an exact one, where the spectrum falls."""
+    draw = np.random.default_rng(9)
+    terms = np.abs(draw.standard_normal((120, 6)) @ np.diag([90, 60, 40, 2, 1, 1]) @ draw.standard_normal((6, classifier.TERMS))).astype(np.float32)
+    terms[:, :20] = 0
+    idf = [np.log(121 / (1 + sum(row[k] > 0 for row in terms))) + 1 for k in range(classifier.TERMS)]
+    assert np.allclose(classifier.inverse_frequencies(terms), idf)
+    model = classifier.fit(terms, np.ones(120), 3)
+    weighted = terms * np.array(idf)
+    left, values, _ = np.linalg.svd(weighted, full_matrices=False)
+    exact = left[:, :3] * values[:3]
+    exact /= np.linalg.norm(exact, axis=1, keepdims=True)
+    assert np.abs(model.vectors @ model.vectors.T - exact @ exact.T).max() < 5e-3
+
+
+def test_ties_at_the_last_place():
+    """Neighbours alike share the last places, in whatever order the sample comes."""
+    vectors = np.array([[1.0, 0], [0, 1], [0, 1], [0, 1], [0, 1]])
+    labels = np.array([1.0, 1, 0, 0, 0])
+    query = np.zeros((1, classifier.TERMS), np.float32)
+    query[0, :2] = 0.6, 0.8
+    projection = np.eye(classifier.TERMS, 2)
+    scores = set()
+    for order in ([0, 1, 2, 3, 4], [4, 3, 2, 1, 0], [2, 1, 0, 4, 3]):
+        scores.add(float(classifier.Model(projection, vectors[order], labels[order], 0.5).score(query, 3)[0]))
+    near, far = 0.8**classifier.POWER + 1e-9, 0.6**classifier.POWER + 1e-9
+    assert scores == {round(0.25, 9)} and near > far
+
+
+def test_a_sample_document_that_is_everywhere(spark):
+    """Rows that repeat a labelled doc_id count once, so none of the sample is cut off."""
+    rows = [(1, prose(1, 30), "s")] * 60 + [(i, prose(i, 30), "s") for i in range(2, 20)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 20)], "doc_id long, quality int")
+    model = classifier.train(docs(spark, *rows), labels)
+    assert len(model.labels) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(1, 20))
+
+
 def test_votes_against_brute_force():
     draw = np.random.default_rng(3)
     terms = np.abs(draw.standard_normal((300, classifier.TERMS))).astype(np.float32)

@@ -110,6 +110,20 @@ def test_run_equals_its_stages(spark, folder, stages):
     assert digest(corpus_pipeline.run(spark, folder).collect()) == digest(stages[-1][1])
 
 
+def test_extra_columns_of_any_name(spark, folder, tmp_path):
+    """Those that operators use inside, and names that expressions must quote."""
+    names = ("score", "lines_deleted", "taken", "size", "key", "skey", "fp", "n", "row", "label", "_text", "_h", "_kept", "_gone", "_c0", "a.b", "a b", "x`y")
+    table = spark.read.parquet(f"{folder}/documents.parquet")
+    table.withColumns({n: F.lit("x") for n in names}).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{folder}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    places = lambda rows: sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
+    assert places(corpus_pipeline.run(spark, str(tmp_path)).collect()) == places(corpus_pipeline.run(spark, folder).collect())
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and all(r[-1] == "x" for r in out.collect())
+
+
 def test_empty_corpus(spark, folder, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{folder}/{name}.parquet").where(F.lit(False)).write.parquet(str(tmp_path / f"{name}.parquet"))
