@@ -184,3 +184,22 @@ def test_backups(spark):
     assert again["settings"].first().mealNames == DEFAULT_SETTINGS["mealNames"] and again["foods"].count() == 0
     assert backup.validate(spark.createDataFrame([('{"version": 999}',)], "backup string")).first().error == backup.UNSUPPORTED
     assert backup.validate(spark.createDataFrame([(None,)], "backup string")).first().error == backup.INVALID
+
+
+@pytest.mark.parametrize(
+    "change, error",
+    [
+        ({"version": "1"}, backup.UNSUPPORTED), ({"version": True}, backup.UNSUPPORTED), ({"version": 1.0}, None), ({"settings": "settings"}, backup.NO_SETTINGS), ({"foods": "[]"}, backup.INCOMPLETE),
+        ({"foods": [{"id": "1", "name": "x", "nutritionBasis": "", "nutrition": {}}]}, backup.BAD_FOOD), ({"foods": [{"id": "1", "name": "x", "nutritionBasis": {}, "nutrition": 0}]}, backup.BAD_FOOD),
+        ({"foods": [{"id": "1", "name": "x", "nutritionBasis": {}, "nutrition": False}]}, backup.BAD_FOOD), ({"foods": [{"id": 0, "name": "x", "nutritionBasis": {}, "nutrition": {}}]}, backup.BAD_FOOD),
+        ({"foods": [{"id": 1, "name": "x", "nutritionBasis": {}, "nutrition": {}}]}, None), ({"diaryEntries": [1, None]}, None),
+    ],
+)
+def test_backups_are_checked_with_types(spark, change, error):
+    good = {"version": 1, "settings": {"id": "settings"}, "foods": [], "diaryEntries": [], "weightEntries": []}
+    assert backup.validate(spark.createDataFrame([(json.dumps({**good, **change}),)], "backup string")).first().error == error
+
+
+def test_a_list_is_an_object_without_version(spark):
+    rows = spark.createDataFrame([("[]",), ("null",), ("3",)], "backup string")
+    assert {r.backup: r.error for r in backup.validate(rows).collect()} == {"[]": backup.UNSUPPORTED, "null": backup.INVALID, "3": backup.INVALID}

@@ -34,3 +34,9 @@ def test_rounding(spark, number, digits, rounded):
 @pytest.mark.parametrize("number, locale, digits, text", [(1234.5, "pt-BR", 2, "1.234,50"), (2.5, "en-US", 0, "3"), (None, "pt-BR", 0, "—"), (float("nan"), "pt-BR", 0, "—"), (1e6, "en-US", 1, "1,000,000.0")])
 def test_formatting(spark, number, locale, digits, text):
     assert value(spark, numbers.format_decimal(F.lit(number).cast("double"), locale, digits)) == text
+
+
+@pytest.mark.parametrize("number, text", [(0.125, "0.13"), (1.115, "1.11"), (1.005, "1.00"), (0.285, "0.28"), (93.0, "93.00"), (2.375, "2.38"), (100.0, "100.00"), (1.25, "1.25"), (0.0, "0.00"), (2.675, "2.67")])
+def test_fixed(spark, number, text):
+    """As the exact binary value rounds, with exact halves up."""
+    assert value(spark, numbers.fixed(F.lit(number))) == text

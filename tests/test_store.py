@@ -3,13 +3,17 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from victual.operators import catalog, products
-from victual.schemas import schema
+from victual.operators import catalog, forms, products
+from victual.plans.queries import QUERIES
+from victual.schemas import NUTRIENTS, schema
 from victual.sources import backup
-from victual.sources.store import Store, default_settings, save_foods, save_weights, with_defaults
+from victual.sources.store import Store, default_settings, save_foods, save_settings, save_weights, with_defaults
 from tests.test_golden import food, settings, weights
 
 
+CREAM_KEYS = NUTRIENTS
+
+
 def now():
     return F.lit("2026-08-20").cast("timestamp")
 
@@ -32,14 +36,52 @@ def test_logging_is_insert_only(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     row = spark.createDataFrame([(1, "e", dt.date(2026, 8, 20), "Lunch", None, "x", 1.0, "kcal", "kcal", None, None, None, None)], schema("diaryEntries"))
     store.log_foods(row)
-    with pytest.raises(ValueError, match="diary entry e exists"):
+    with pytest.raises(ValueError, match="diaryEntries e exists"):
         store.log_foods(row)
 
 
+def test_appending_writes_new_rows_only(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.replace(foods=food(spark), diaryEntries=spark.createDataFrame([(1, "a", dt.date(2026, 8, 20), "Lunch", None, "x", 1.0, "kcal", "kcal", None, None, None, None)], schema("diaryEntries")))
+    before = {p.name for p in (tmp_path / "store" / "data").iterdir()}
+    more = spark.createDataFrame([(1, i, dt.date(2026, 8, 1), "Lunch", None, "y", 2.0, "kcal", "kcal", None, None, None, None) for i in ("c", "b")], schema("diaryEntries"))
+    store.append("diaryEntries", more)
+    assert len({p.name for p in (tmp_path / "store" / "data").iterdir()} - before) == 1 and store.version() == 2
+    assert [r.id for r in store.read("diaryEntries", ordered=True).collect()] == ["b", "c", "a"] and store.read("foods").count() == 1
+    with pytest.raises(ValueError, match="diaryEntries d exists"):
+        store.append("diaryEntries", more.withColumn("id", F.lit("d")))
+
+
+def test_scans_are_ordered(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = QUERIES["food_scan"](spark, sf).collect()
+    assert [(r.name, r.id) for r in rows] == sorted((r.name, r.id) for r in rows)
+    rows = QUERIES["diary_scan"](spark, sf).collect()
+    assert [(r.owner_id, r.id) for r in rows] == [(r.owner_id, r.id) for r in sorted(sorted(rows, key=lambda r: r.id, reverse=True), key=lambda r: r.owner_id)]
+
+
+def test_of_two_changes_one_stays(spark):
+    twice = food(spark, name="first").withColumn("_seq", F.lit(1)).unionByName(food(spark, name="last").withColumn("_seq", F.lit(2)))
+    assert [r.name for r in save_foods(food(spark), twice, now(), "_seq").collect()] == ["last"]
+    assert [r.name for r in save_foods(food(spark), twice.drop("_seq"), now()).collect()] == ["last"]  # the greatest row
+    changes = weights(spark, ("2026-08-20", 80)).withColumn("_seq", F.lit(1)).unionByName(weights(spark, ("2026-08-20", 70)).withColumn("_seq", F.lit(2)))
+    saved, synced = save_weights(weights(spark, ("2026-08-01", 83)), settings(spark), changes, F.lit("2026-08-20").cast("date"), now(), "_seq")
+    assert [r.kg for r in saved.collect()] == [70] and synced.first().profile.currentWeightKg == 70
+
+
+def test_settings_are_stamped(spark):
+    today = F.lit("2026-08-20").cast("date")
+    out = save_settings(settings(spark), settings(spark, dailyCalorieTarget=1.0), now()).first()
+    assert (out.dailyCalorieTarget, out.updatedAt) == (1.0, dt.datetime(2026, 8, 20))
+    for date, stamp in (("2026-08-20", dt.datetime(2026, 8, 20)), ("2026-08-19", dt.datetime(2026, 8, 1))):
+        _, synced = save_weights(weights(spark), settings(spark), weights(spark, (date, 80)), today, now())
+        assert synced.first().updatedAt == stamp
+
+
 def test_weigh_in_of_today_reaches_the_profile(spark):
     today = F.lit("2026-08-20").cast("date")
     for date, expected in (("2026-08-20", 80.0), ("2026-08-19", None)):
-        saved, synced = save_weights(weights(spark, ("2026-08-01", 83)), settings(spark), weights(spark, (date, 80)), today)
+        saved, synced = save_weights(weights(spark, ("2026-08-01", 83)), settings(spark), weights(spark, (date, 80)), today, now())
         assert saved.count() == 1 and saved.first().kg == 80 and synced.first().profile.currentWeightKg == expected
 
 
@@ -96,6 +138,35 @@ def test_export_import_and_restore(spark, tmp_path):
     assert store.version() == 1
 
 
+def test_entries_of_one_moment(spark):
+    """Recent foods go by the latest entry, and those of one moment by its date and id, not by the food's id."""
+    at = dt.datetime(2026, 8, 20)
+    rows = [(1, "3", dt.date(2026, 8, 20), "a", at), (1, "2", dt.date(2026, 8, 20), "b", at), (1, "9", dt.date(2026, 8, 19), "c", at), (1, "1", dt.date(2026, 8, 1), "a", dt.datetime(2026, 8, 1))]
+    diary = spark.createDataFrame(rows, "owner_id long, id string, date date, foodId string, createdAt timestamp")
+    foods = spark.createDataFrame([(f, f) for f in "abc"], "id string, name string")
+    assert [r.foodId for r in catalog.recent_foods(diary, foods).orderBy("rank").collect()] == ["c", "b", "a"]
+
+
+def test_a_draft_keeps_its_provenance(spark):
+    """From a label's draft through the form to a saved food; an edited food keeps its own."""
+    draft = food(spark, id="new", name="Draft", source="label-ocr", sourceMetadata='{"confidence": "high"}').drop("createdAt", "updatedAt")
+    edited = food(spark, createdAt=dt.datetime(2020, 1, 1), nutrition={**{n: None for n in CREAM_KEYS}, "kcal": 5.0})
+    filled = forms.prefill(edited, draft.unionByName(draft.withColumn("id", F.lit("f"))))
+    typed = filled.select(
+        "id", "name", "brand", "barcode", F.col("nutritionBasis.type").alias("basisType"), F.lit("100").alias("basisAmount"), F.create_map(F.lit("kcal"), F.col("nutrition.kcal").cast("string")).alias("nutrients"),
+        F.array().cast("array<struct<id:string,singular:string,plural:string,quantity:string,grams:string,ml:string>>").alias("servingUnits"), "source", "sourceMetadata", "createdAt",
+    )
+    saved = {r.id: r for r in forms.clean_foods(typed, now()).collect()}
+    assert (saved["new"].source, saved["new"].sourceMetadata, saved["new"].createdAt) == ("label-ocr", '{"confidence": "high"}', dt.datetime(2026, 8, 20))
+    assert (saved["f"].source, saved["f"].createdAt, saved["f"].updatedAt, saved["f"].nutrition.kcal) == ("manual", dt.datetime(2020, 1, 1), dt.datetime(2026, 8, 20), 5.0)
+
+
+def test_exports_are_dated(spark, tmp_path):
+    rows = spark.createDataFrame([(1, '{"exportedAt": "2026-08-20T10:00:00Z"}'), (2, "{}")], "owner_id long, backup string")
+    backup.export_files(rows, str(tmp_path / "out"))
+    assert {p.parent.name + "/" + p.name for p in (tmp_path / "out").glob("owner_id=*/exported=*")} == {"owner_id=1/exported=2026-08-20", "owner_id=2/exported=undated"}
+
+
 def test_the_last_row_of_an_id_is_read(spark):
     document = '{"version": 1, "settings": {"id": "settings"}, "foods": [], "diaryEntries": [], "weightEntries": [{"id": "w", "kg": 1}, {"id": "v", "kg": 2}, {"id": "w", "kg": 3}]}'
     tables = backup.read(spark.createDataFrame([(1, document)], "owner_id long, backup string"))

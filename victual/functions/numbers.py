@@ -11,14 +11,10 @@ EPSILON = 2.220446049250313e-16
 MISSING = "—"
 
 
-def finite(value: Column) -> Column:
-    """Null where the value isn't finite."""
-    return F.when(F.isnotnull(value) & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), value)
-
-
 def _decimal(text: Column) -> Column:
-    dotted = F.regexp_replace(text, "^([^,]*),", "$1.")
-    return finite(F.when(dotted.rlike(DECIMAL), dotted.try_cast("double")))
+    """The text is named once, so that long expressions in its place are computed once."""
+    number = F.regexp_extract(F.regexp_replace(text, "^([^,]*),", "$1."), DECIMAL, 0).try_cast("double")
+    return F.get(F.filter(F.array(number), lambda x: F.abs(x) < F.lit(float("inf"))), F.lit(0))
 
 
 def parse_decimal(text: Column) -> Column:
@@ -44,6 +40,13 @@ def round_display(value: Column, digits: int = 2) -> Column:
     return F.floor((value + F.lit(EPSILON)) * scale + 0.5) / scale
 
 
+def fixed(value: Column, digits: int = 2) -> Column:
+    """The digits of the exact binary value, halves up, ungrouped; of values that aren't negative."""
+    # Only odd multiples of 1/8 lie halfway between hundredths; the formatter would round them to even.
+    half = (value * 8) % 2 == 1 if digits == 2 else F.lit(False)
+    return F.replace(F.format_number(F.when(half, value + 0.001).otherwise(value), digits), F.lit(","), F.lit(""))
+
+
 def format_decimal(value: Column, locale: str = "pt-BR", digits: int = 0) -> Column:
     """Fixed digits and grouped thousands; a dash for null and NaN."""
     text = F.format_number(F.round(value, digits), digits)

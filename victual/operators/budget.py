@@ -40,9 +40,10 @@ def weekly_summary(diary: DataFrame, settings: DataFrame, as_of: Column) -> Data
     inside = F.when(F.col("date").between(F.col("week_start"), F.col("week_end")), F.col("kcal"))
     out = joined.groupBy("owner_id", "weekStartsOn", "week_start", "week_end", "target").agg(F.coalesce(F.sum(inside), F.lit(0.0)).alias("consumed"))
     remaining, days = F.col("target") - F.col("consumed"), days_remaining(as_of, F.col("weekStartsOn"))
+    percent = ratio_percent(F.col("consumed"), F.col("target"))
     return out.select(
         "owner_id", "week_start", "week_end", "target", "consumed", remaining.alias("remaining"), days.alias("remaining_days"),
-        (remaining / days).alias("average_available_per_remaining_day"),
+        (remaining / days).alias("average_available_per_remaining_day"), percent.alias("percent"), clamp(percent).alias("bar"),
     )
 
 
@@ -77,7 +78,7 @@ def last_days_totals(diary: DataFrame, owners: DataFrame, as_of: Column, days: i
 
 
 #: The nutrients of the day card and which of them have a target.
-CARD = (("proteinG", "proteinG"), ("carbsG", "carbsG"), ("fatG", "fatG"), ("fiberG", None), ("sugarsG", None), ("sodiumMg", None))
+CARD = (("proteinG", "proteinG"), ("carbsG", "carbsG"), ("fatG", "fatG"), ("sugarsG", None), ("fiberG", None), ("sodiumMg", None))
 
 
 def macro_progress(diary: DataFrame, settings: DataFrame, as_of: Column) -> DataFrame:

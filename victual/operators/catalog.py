@@ -18,9 +18,9 @@ def _of_foods(ranked: DataFrame, foods: DataFrame) -> DataFrame:
 
 
 def recent_foods(diary: DataFrame, foods: DataFrame, top: int = TOP) -> DataFrame:
-    """The foods last logged, by their latest entry; aggregated before they are ranked."""
-    last = _used(diary).groupBy("owner_id", "foodId").agg(F.max("createdAt").alias("at"))
-    order = Window.partitionBy("owner_id").orderBy(F.desc("at"), "foodId")
+    """The foods last logged, by their latest entry; of entries of one moment the first by date and id counts."""
+    last = _used(diary).groupBy("owner_id", "foodId").agg(F.max("createdAt").alias("at"), F.min_by(F.struct("date", "id"), F.struct(F.coalesce(-F.unix_micros("createdAt"), F.lit(1 << 62)), F.col("date"), F.col("id"))).alias("first"))
+    order = Window.partitionBy("owner_id").orderBy(F.desc("at"), "first")
     return _of_foods(last.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top), foods)
 
 
@@ -50,6 +50,19 @@ def search(foods: DataFrame, needle: str) -> DataFrame:
     return foods.where(matches(F.lit(needle)))
 
 
+def log_search(needle: str, diary: DataFrame, foods: DataFrame, top: int = TOP) -> DataFrame:
+    """What the log screen lists, as ``owner_id, section, rank, foodId, name``: suggestions for an empty needle, else found foods of all owners (null)."""
+    if not needle.strip():
+        return suggestions(diary, foods, top)
+    null = lambda kind: F.lit(None).cast(kind)
+    return search(foods, needle).select(null("long").alias("owner_id"), null("int").alias("section"), null("int").alias("rank"), F.col("id").alias("foodId"), "name")
+
+
+def by_id(table: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """The rows of a table with the keys of ``wanted``; unknown keys give none."""
+    return table.join(wanted.select(*keys), list(keys), "left_semi")
+
+
 def by_barcode(foods: DataFrame, codes: DataFrame) -> DataFrame:
     """The first food (by name, then id) of each of ``codes(barcode)``."""
     first = foods.where("barcode is not null").groupBy("barcode").agg(F.min(F.struct("name", "id")).alias("f"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import parse_decimal
 from ..schemas import NUTRIENTS, UNIT
 
+#: How labels write numbers, the base amount, the serving, and what hints at one.
 _N = r"(\d+(?:[,.]\d+)?)"
 #: How labels name the nutrients, and the unit that follows the number.
 NAMES = {

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import product_number
 from ..schemas import NUTRIENTS, UNIT
 
-PRODUCT = "product_name string, brands string, code string, serving_quantity string, serving_quantity_unit string, nutriments map<string,string>"
+PRODUCT = "product_name string, brands string, nutriments map<string,string>"
 #: The keys of the nutrients; sodium has two.
 KEYS = {
     "kcal": "energy-kcal_100g",
@@ -21,6 +21,8 @@ KEYS = {
     "transFatG": "trans-fat_100g",
     "fiberG": "fiber_100g",
 }
+#: The column of the response's status code, where it's known, and the error where that isn't 2xx.
+HTTP, UNAVAILABLE = "http_status", "product-service-unavailable"
 SODIUM_G, SODIUM_MG = "sodium_100g", "sodium_mg_100g"
 
 
@@ -44,12 +46,19 @@ def normalize(rows: DataFrame, json: str = "json", barcode: str = "barcode") ->
 
 
 def from_responses(rows: DataFrame, response: str = "response", barcode: str = "barcode") -> DataFrame:
-    """Foods of API responses: those with status 1 and a product."""
+    """Foods of API responses: those with status 1 and a product.  Failed ones have none; see ``failed_responses``."""
+    if HTTP in rows.columns:
+        rows = rows.where(F.col(HTTP).between(200, 299))
     read = rows.withColumn("_r", F.from_json(response, "status int, product string"))
     found = read.where("_r.status = 1 and _r.product is not null").select(F.col(barcode), F.col("_r.product").alias("json"))
     return normalize(found, "json", barcode)
 
 
+def failed_responses(rows: DataFrame, barcode: str = "barcode") -> DataFrame:
+    """``barcode, error`` of responses whose ``http_status`` isn't 2xx."""
+    return rows.where(~F.coalesce(F.col(HTTP).between(200, 299), F.lit(False))).select(barcode, F.lit(UNAVAILABLE).alias("error"))
+
+
 def lookup_path(barcode: Column) -> Column:
     """The path of a product's JSON below a product API, with the code escaped."""
     return F.concat(F.lit("/api/v2/product/"), F.replace(F.url_encode(barcode), F.lit("+"), F.lit("%20")), F.lit(".json"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import fixed
+
 _ORDER = ("date", "id")
 
 
@@ -14,6 +16,11 @@ def moving_average(weights: DataFrame, window: int = 7) -> DataFrame:
     return weights.withColumn("trendKg", F.avg("kg").over(frame))
 
 
+def current_trend(weights: DataFrame, window: int = 7) -> DataFrame:
+    """Each owner's last ``trendKg``."""
+    return moving_average(weights, window).groupBy("owner_id").agg(F.max_by("trendKg", F.struct(*_ORDER)).alias("trendKg"))
+
+
 def latest(weights: DataFrame) -> DataFrame:
     """Each owner's last entry, future dates included."""
     last = F.max_by(F.struct("id", "date", "kg"), F.struct(*_ORDER)).alias("last")
@@ -37,26 +44,26 @@ def goal_remaining(weights: DataFrame, settings: DataFrame) -> DataFrame:
     return latest(weights).join(goals, "owner_id").select("owner_id", "kg", "goal", (F.col("kg") - F.col("goal")).alias("remaining"))
 
 
-def chart_points(weights: DataFrame) -> DataFrame:
-    """``x`` and ``y`` in a 100 x 100 box of each entry; owners with one entry have none."""
+def chart_points(weights: DataFrame, value: str = "kg") -> DataFrame:
+    """``x`` and ``y`` in a 100 x 100 box of each entry's ``value``; owners with one entry have none."""
     mine = Window.partitionBy("owner_id")
     rows = weights.withColumns(
         {
             "index": F.row_number().over(mine.orderBy(*_ORDER)) - 1,
             "n": F.count("*").over(mine),
-            "low": F.min("kg").over(mine),
-            "high": F.max("kg").over(mine),
+            "low": F.min(value).over(mine),
+            "high": F.max(value).over(mine),
         }
     ).where("n > 1")
     spread = F.when(F.col("high") == F.col("low"), F.lit(1.0)).otherwise(F.col("high") - F.col("low"))
     x = F.col("index") / (F.col("n") - 1) * 100
-    y = F.lit(100.0) - (F.col("kg") - F.col("low")) / spread * 86 - 7
+    y = F.lit(100.0) - (F.col(value) - F.col("low")) / spread * 86 - 7
     return rows.select("owner_id", "index", x.alias("x"), y.alias("y"))
 
 
-def line_path(weights: DataFrame) -> DataFrame:
+def line_path(weights: DataFrame, value: str = "kg") -> DataFrame:
     """Each owner's points as one path, ``M`` to the first and ``L`` to the others; empty below two points."""
-    step = F.concat(F.when(F.col("index") == 0, "M").otherwise("L"), F.format_string("%.2f %.2f", "x", "y"))
-    paths = chart_points(weights).groupBy("owner_id").agg(F.array_sort(F.collect_list(F.struct("index", step.alias("step")))).alias("steps"))
+    step = F.concat(F.when(F.col("index") == 0, "M").otherwise("L"), fixed(F.col("x")), F.lit(" "), fixed(F.col("y")))
+    paths = chart_points(weights, value).groupBy("owner_id").agg(F.array_sort(F.collect_list(F.struct("index", step.alias("step")))).alias("steps"))
     paths = paths.select("owner_id", F.array_join(F.transform("steps", lambda s: s["step"]), " ").alias("path"))
     return weights.select("owner_id").distinct().join(paths, "owner_id", "left").fillna("", ["path"])

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from ..operators.budget import CARD
+import json
+
 from ..operators.labels import BASIS, FEW, MENTIONS, NAMES, NO_BASIS, NO_UNIT, SERVING
 from ..schemas import ACTIVITY, NUTRIENTS
 from ..sources.fixtures import AS_OF
 
 _DAY = f"DATE '{AS_OF}'"
-_KNOWN = ("kcal", "carbsG", "proteinG", "fatG", "sodiumMg")
+_ALL = ", ".join(NUTRIENTS)
 
 
 def _r(expression: str, name: str | None = None) -> str:
@@ -16,7 +17,7 @@ def _r(expression: str, name: str | None = None) -> str:
 
 
 def _known(prefix: str = "", function: str = "") -> str:
-    return ", ".join(_r(f"{function}({prefix}{n})", n) for n in _KNOWN)
+    return ", ".join(_r(f"{function}({prefix}{n})", n) for n in NUTRIENTS)
 
 
 _TABLES = {
@@ -24,7 +25,9 @@ _TABLES = {
   SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, p_brand AS brand, '789' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS barcode,
          p_partkey % 4 = 3 AS volume, (p_partkey % 4 = 3) <> (p_partkey % 13 = 5) AS in_ml, p_partkey AS k, CAST(p_size AS DOUBLE) AS size,
          p_retailprice / 10 AS kcal, CASE WHEN p_partkey % 7 <> 0 THEN CAST(p_size AS DOUBLE) END AS carbsG, CAST(p_partkey % 30 AS DOUBLE) AS proteinG,
-         CAST(p_partkey % 23 AS DOUBLE) AS fatG, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey % 900 AS DOUBLE) END AS sodiumMg FROM part""",
+         CAST(p_partkey % 23 AS DOUBLE) AS fatG, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey % 900 AS DOUBLE) END AS sodiumMg,
+         CAST(p_partkey % 11 AS DOUBLE) AS sugarsG, CASE WHEN p_partkey % 4 <> 0 THEN CAST(p_partkey % 5 AS DOUBLE) END AS addedSugarsG, CAST(p_partkey % 13 AS DOUBLE) AS saturatedFatG,
+         CASE WHEN p_partkey % 6 = 0 THEN 0.5::DOUBLE END AS transFatG, CAST(p_partkey % 17 AS DOUBLE) AS fiberG FROM part""",
     "food": "SELECT * FROM food_all WHERE k % 10 <> 9",
     "intake0": """
   SELECT event_id AS e, user_id AS owner_id, CAST(ts AS DATE) AS date, event_type AS meal, value AS amount, ts AS created,
@@ -32,20 +35,18 @@ _TABLES = {
     "intake": """
   SELECT e, CAST(e AS VARCHAR) AS id, owner_id, date, meal, amount, created, CASE WHEN e % 11 <> 0 THEN CAST(f AS VARCHAR) END AS foodId,
          CASE WHEN e % 17 = 3 THEN 'cup' WHEN e % 2 = 0 THEN CASE WHEN f % 4 = 3 THEN 'ml' ELSE 'g' END ELSE 'unit' END AS unitId FROM intake0""",
-    "resolved": """
+    "resolved": f"""
   SELECT i.id, owner_id, date, meal, foodId, amount, created, unitId, fa.name AS foodName, fa.k, fa.k % 10 <> 9 AS alive, volume,
          CASE WHEN unitId = 'g' THEN amount WHEN unitId = 'unit' AND NOT in_ml THEN amount * (size / 4.75) END AS grams,
          CASE WHEN unitId = 'ml' THEN amount WHEN unitId = 'unit' AND in_ml THEN amount * (size / 4.75) END AS ml,
          CASE WHEN unitId IN ('g', 'ml') THEN unitId WHEN unitId = 'unit' THEN CASE WHEN abs(amount) = 1 THEN 'unidade' ELSE 'unidades' END END AS label,
-         fa.kcal, carbsG, proteinG, fatG, sodiumMg
+         {_ALL}
   FROM intake i LEFT JOIN food_all fa ON fa.id = i.foodId WHERE i.foodId IS NOT NULL""",
-    "scaled": """
-  SELECT * EXCLUDE (kcal, carbsG, proteinG, fatG, sodiumMg), CASE WHEN volume THEN ml ELSE grams END / 100 AS factor, kcal * (CASE WHEN volume THEN ml ELSE grams END / 100) AS kcal,
-         carbsG * (CASE WHEN volume THEN ml ELSE grams END / 100) AS carbsG, proteinG * (CASE WHEN volume THEN ml ELSE grams END / 100) AS proteinG,
-         fatG * (CASE WHEN volume THEN ml ELSE grams END / 100) AS fatG, sodiumMg * (CASE WHEN volume THEN ml ELSE grams END / 100) AS sodiumMg FROM resolved""",
-    "diary": """
-  SELECT owner_id, id, date, meal, foodId, foodName, created, kcal, carbsG, proteinG, fatG, sodiumMg FROM scaled WHERE factor IS NOT NULL
-  UNION ALL SELECT owner_id, id, date, meal, NULL, 'Quick calories', created, amount, NULL, NULL, NULL, NULL FROM intake WHERE foodId IS NULL""",
+    "scaled": f"""
+  SELECT * EXCLUDE ({_ALL}), CASE WHEN volume THEN ml ELSE grams END / 100 AS factor, {", ".join(f"{n} * (CASE WHEN volume THEN ml ELSE grams END / 100) AS {n}" for n in NUTRIENTS)} FROM resolved""",
+    "diary": f"""
+  SELECT owner_id, id, date, meal, foodId, foodName, created, amount, unitId, label AS unitLabel, grams, ml, {_ALL} FROM scaled WHERE factor IS NOT NULL
+  UNION ALL SELECT owner_id, id, date, meal, NULL, 'Quick calories', created, amount, 'kcal', 'kcal', NULL, NULL, amount{", NULL" * 9} FROM intake WHERE foodId IS NULL""",
     "weight": "SELECT user_id AS owner_id, CAST(event_id AS VARCHAR) AS id, CAST(ts AS DATE) AS date, 50 + value / 10 AS kg FROM events WHERE event_type = 'signup'",
     "settings": """
   SELECT c_custkey AS owner_id, c_custkey % 2 AS starts, c_custkey % 3 = 0 AS weekly, CAST(1800 + c_custkey % 10 * 50 AS DOUBLE) AS daily,
@@ -90,7 +91,7 @@ def _found(pattern: str, group: int = 1) -> str:
 
 _RANKED = """
 SELECT r.owner_id, CAST(rank AS INTEGER) AS rank, foodId, name FROM r JOIN food ON food.id = foodId WHERE rank <= 8"""
-_RECENT = "SELECT owner_id, foodId, row_number() OVER (PARTITION BY owner_id ORDER BY max(created) DESC, foodId) AS rank FROM diary WHERE foodId IS NOT NULL GROUP BY owner_id, foodId"
+_RECENT = "SELECT owner_id, foodId, row_number() OVER (PARTITION BY owner_id ORDER BY max(created) DESC, min((date, id)) FILTER (WHERE created = latest)) AS rank FROM (SELECT *, max(created) OVER (PARTITION BY owner_id, foodId) AS latest FROM diary WHERE foodId IS NOT NULL) GROUP BY owner_id, foodId"
 _FREQUENT = "SELECT owner_id, foodId, row_number() OVER (PARTITION BY owner_id ORDER BY count(*) DESC, min((date, id))) AS rank FROM diary WHERE foodId IS NOT NULL GROUP BY owner_id, foodId"
 _PRIOR = lambda days: _with(
     f"""SELECT owner_id, {_r('arg_max(kg, (date, id)) - arg_max(kg, (date, id)) FILTER (WHERE date <= ' + _DAY + f' - {days})', 'change')} FROM weight GROUP BY owner_id""", "weight"
@@ -98,14 +99,15 @@ _PRIOR = lambda days: _with(
 _MULTIPLIER = " ".join(f"WHEN '{k}' THEN {v}" for k, v in ACTIVITY.items())
 _AGE = f"(year({_DAY}) - year(birth) - CASE WHEN (month({_DAY}), day({_DAY})) < (month(birth), day(birth)) THEN 1 ELSE 0 END)"
 _CARD = " UNION ALL ".join(
-    f"SELECT owner_id, {k} AS position, '{n}' AS nutrient, coalesce({n}, 0.0) AS value, {f't_{t}' if t else 'CAST(NULL AS DOUBLE)'} AS target FROM j" for k, (n, t) in enumerate(CARD)
+    f"SELECT owner_id, {k} AS position, '{n}' AS nutrient, coalesce({n}, 0.0) AS value, {f't_{t}' if t else 'CAST(NULL AS DOUBLE)'} AS target FROM j" for k, (n, t) in enumerate([("proteinG", "proteinG"), ("carbsG", "carbsG"), ("fatG", "fatG"), ("sugarsG", None), ("fiberG", None), ("sodiumMg", None)])
 )
 _PRODUCT = """
   SELECT p_partkey AS k, '789' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS barcode, CASE WHEN p_partkey % 9 = 0 THEN 'Produto 789' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') ELSE p_name END AS name,
          p_brand AS brand, CAST(p_size AS DOUBLE) AS kcal, CAST(p_size || '.5' AS DOUBLE) AS carbsG,
-         CASE p_partkey % 4 WHEN 0 THEN 0.0 WHEN 1 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS proteinG, CAST(NULL AS DOUBLE) AS fatG,
+         CASE p_partkey % 4 WHEN 0 THEN 0.0 WHEN 1 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS proteinG, CAST(p_partkey % 11 AS DOUBLE) AS sugarsG, 1.5::DOUBLE AS addedSugarsG,
+         10.0::DOUBLE AS saturatedFatG, 0.0::DOUBLE AS transFatG, 0.0::DOUBLE AS fiberG, CAST(NULL AS DOUBLE) AS fatG,
          CASE WHEN p_partkey % 2 = 0 THEN CAST('0.' || p_size AS DOUBLE) * 1000 ELSE CAST(p_size AS DOUBLE) END AS sodiumMg FROM part"""
-_CODES = "SELECT '789' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS barcode FROM part WHERE p_partkey % 5 = 4 UNION ALL SELECT '0'"
+_CODES = "SELECT '789' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS barcode FROM part UNION ALL SELECT '0'"
 _LABEL = f"""
 , n AS (SELECT k, text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM label
 ), p AS (
@@ -120,10 +122,56 @@ _LABEL = f"""
          CASE WHEN NOT has_unit AND regexp_matches(t, '(?i){MENTIONS}') THEN '{NO_UNIT}' END) AS warnings FROM b
 )"""
 
+_FIXED = "format('{{:.2f}}', {0} + CASE WHEN ({0} * 8) % 2 = 1 THEN 0.001 ELSE 0 END)"
+
+
+def _path(rows: str) -> str:
+    return _with(
+        f""", p AS (SELECT owner_id, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY owner_id) AS n, v, min(v) OVER (PARTITION BY owner_id) AS lo, max(v) OVER (PARTITION BY owner_id) AS hi
+  FROM ({rows}) WINDOW w AS (PARTITION BY owner_id ORDER BY date, id)
+), q AS (SELECT owner_id, i, n, i / (n - 1) * 100 AS x, 100.0::DOUBLE - (v - lo) / CASE WHEN hi = lo THEN 1.0::DOUBLE ELSE hi - lo END * 86 - 7 AS y FROM p)
+SELECT owner_id, CASE WHEN count(*) > 1 THEN string_agg(CASE WHEN i = 0 THEN 'M' ELSE 'L' END || {_FIXED.format('x')} || ' ' || {_FIXED.format('y')}, ' ' ORDER BY i) ELSE '' END AS path FROM q GROUP BY owner_id""",
+        "weight",
+    )
+
+
+def backup_cases() -> list[str]:
+    """Documents, good and bad: each check fails for some, and values of other types stand where a type counts."""
+    good = {"version": 1, "settings": {"id": "settings"}, "foods": [], "diaryEntries": [], "weightEntries": []}
+    food = {"id": "1", "name": "x", "nutritionBasis": {"type": "mass"}, "nutrition": {}}
+    whole = [good, [], None, 3, "text", False, {}, {k: v for k, v in good.items() if k != "diaryEntries"}]
+    whole += [{**good, "version": v} for v in (999, "1", True, 1.0, 1.5, None)]
+    whole += [{**good, "settings": v} for v in ({"id": "x"}, {}, None, "settings", {"id": 7})]
+    whole += [{**good, "foods": v} for v in ({}, None, "[]", [food], [None], [food, "x"])]
+    whole += [{**good, "foods": [food, {**food, **v}]} for v in ({"name": ""}, {"nutritionBasis": ""}, {"nutrition": 0}, {"nutrition": False}, {"nutrition": True}, {"id": 0}, {"id": 5}, {"name": None}, {"name": []})]
+    whole += [{**good, "foods": [{k: v for k, v in food.items() if k != "nutrition"}]}, {**good, "diaryEntries": [1], "weightEntries": [None]}]
+    return [*map(json.dumps, whole), "not json", ""]
+
+
+def _truthy(value: str) -> str:
+    return f"coalesce(CASE json_type({value}) WHEN 'NULL' THEN false WHEN 'VARCHAR' THEN {value}->>'$' <> '' WHEN 'BOOLEAN' THEN {value}->>'$' = 'true' WHEN 'OBJECT' THEN true WHEN 'ARRAY' THEN true ELSE CAST({value}->>'$' AS DOUBLE) <> 0 END, false)"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_VALIDATION = f"""
+WITH c AS (SELECT unnest(range({len(backup_cases())})) AS k, unnest([{", ".join(map(_quoted, backup_cases()))}]) AS d
+), j AS (SELECT k, CASE WHEN json_valid(d) THEN CAST(d AS JSON) END AS j FROM c
+), e AS (
+  SELECT k, CASE WHEN j IS NULL OR json_type(j) NOT IN ('OBJECT', 'ARRAY') THEN 'invalid'
+    WHEN coalesce(json_type(j, '$.version'), 'NULL') NOT IN ('UBIGINT', 'BIGINT', 'DOUBLE') OR CAST(j->>'$.version' AS DOUBLE) <> 1 THEN 'unsupported-version'
+    WHEN coalesce(json_type(j, '$.settings.id'), 'NULL') <> 'VARCHAR' OR j->>'$.settings.id' <> 'settings' THEN 'no-settings'
+    WHEN coalesce(json_type(j, '$.foods'), 'NULL') <> 'ARRAY' OR coalesce(json_type(j, '$.diaryEntries'), 'NULL') <> 'ARRAY' OR coalesce(json_type(j, '$.weightEntries'), 'NULL') <> 'ARRAY' THEN 'incomplete'
+    WHEN len(list_filter(json_extract(j, '$.foods[*]'), lambda f: NOT ({" AND ".join(_truthy(f"json_extract(f, '$.{n}')") for n in ("id", "name", "nutritionBasis", "nutrition"))}))) > 0 THEN 'invalid-food' END AS error FROM j
+)
+SELECT c_custkey AS owner_id, error FROM customer JOIN e ON k = c_custkey % {len(backup_cases())}"""
+
 SQL: dict[str, str] = {
     "portion_resolution": _with(
         f"""SELECT id, foodId, unitId, {_r('CASE WHEN alive THEN grams END', 'grams')}, {_r('CASE WHEN alive THEN ml END', 'ml')},
-       CASE WHEN alive THEN label END AS label, {", ".join(_r(f'CASE WHEN alive THEN {n} END', n) for n in _KNOWN)},
+       CASE WHEN alive THEN label END AS label, {", ".join(_r(f'CASE WHEN alive THEN {n} END', n) for n in NUTRIENTS)},
        CASE WHEN NOT coalesce(alive, false) THEN 'food-not-found' WHEN unitId = 'cup' THEN 'unit-not-found' WHEN factor IS NULL THEN 'dimension-mismatch' END AS error FROM scaled""", "scaled"),
     "diary_snapshot": _with(f"SELECT owner_id, id, date, meal, foodId, foodName, {_r('amount')}, unitId, label AS unitLabel, {_r('grams')}, {_r('ml')}, {_known()} FROM scaled WHERE factor IS NOT NULL", "scaled"),
     "quick_calories": _with(f"SELECT owner_id, id, date, meal, 'Quick calories' AS foodName, 'kcal' AS unitId, 'kcal' AS unitLabel, {_r('amount', 'kcal')}, CAST(NULL AS DOUBLE) AS carbsG FROM intake WHERE foodId IS NULL", "intake"),
@@ -153,7 +201,7 @@ SELECT owner_id, position, meal, {_r('kcal')} FROM e""", "diary", "settings"),
 ), e AS (SELECT s.owner_id, s.date, sum(kcal) AS kcal FROM s LEFT JOIN diary d ON d.owner_id = s.owner_id AND d.date = s.date GROUP BY ALL)
 SELECT owner_id, date, {_r('kcal')} FROM e""", "diary"),
     "macro_progress": _with(
-        f""", d AS (SELECT owner_id, sum(proteinG) AS proteinG, sum(carbsG) AS carbsG, sum(fatG) AS fatG, CAST(NULL AS DOUBLE) AS fiberG, CAST(NULL AS DOUBLE) AS sugarsG, sum(sodiumMg) AS sodiumMg FROM diary WHERE date = {_DAY} GROUP BY owner_id
+        f""", d AS (SELECT owner_id, sum(proteinG) AS proteinG, sum(carbsG) AS carbsG, sum(fatG) AS fatG, sum(fiberG) AS fiberG, sum(sugarsG) AS sugarsG, sum(sodiumMg) AS sodiumMg FROM diary WHERE date = {_DAY} GROUP BY owner_id
 ), j AS (SELECT s.owner_id, t_proteinG, t_carbsG, t_fatG, d.* EXCLUDE (owner_id) FROM settings s LEFT JOIN d ON d.owner_id = s.owner_id
 ), m AS ({_CARD})
 SELECT owner_id, position, nutrient, {_r('value')}, {_r('target')}, {_r('value / target * 100', 'percent')} FROM m""", "diary", "settings"),
@@ -169,12 +217,33 @@ SELECT l.owner_id, {_r('l.kg', 'kg')}, {_r('goal')}, {_r('l.kg - goal', 'remaini
         f""", p AS (SELECT owner_id, row_number() OVER (PARTITION BY owner_id ORDER BY date, id) - 1 AS i, count(*) OVER (PARTITION BY owner_id) AS n,
        kg, min(kg) OVER (PARTITION BY owner_id) AS lo, max(kg) OVER (PARTITION BY owner_id) AS hi FROM weight)
 SELECT owner_id, CAST(i AS INTEGER) AS index, {_r('i / (n - 1) * 100', 'x')}, {_r('100.0 - (kg - lo) / CASE WHEN hi = lo THEN 1.0 ELSE hi - lo END * 86 - 7', 'y')} FROM p WHERE n > 1""", "weight"),
-    "weight_chart_path": _with("SELECT owner_id, CAST(CASE WHEN count(*) > 1 THEN count(*) + 1 ELSE 1 END AS INTEGER) AS points, CASE WHEN count(*) > 1 THEN 'M' ELSE '' END AS first FROM weight GROUP BY owner_id", "weight"),
+    "weight_chart_path": _path("SELECT owner_id, date, id, kg AS v FROM weight"),
+    "weight_trend_path": _path("SELECT owner_id, date, id, avg(kg) OVER (PARTITION BY owner_id ORDER BY date, id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS v FROM weight"),
+    "weight_current_trend": _with(f"""SELECT owner_id, {_r('arg_max(t, (date, id))', 'trendKg')} FROM (SELECT owner_id, date, id, avg(kg) OVER (PARTITION BY owner_id ORDER BY date, id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS t FROM weight) GROUP BY owner_id""", "weight"),
+    "weight_history": _with(f"SELECT owner_id, CAST(row_number() OVER (PARTITION BY owner_id ORDER BY date, id) AS INTEGER) AS position, id, date, {_r('kg')} FROM weight", "weight"),
+    "diary_history": _with("SELECT owner_id, CAST(row_number() OVER (PARTITION BY owner_id ORDER BY date, id) AS INTEGER) AS position, id, date, foodName FROM diary", "diary"),
+    "week_progress": _with(
+        f""", c AS (
+  SELECT w.owner_id, coalesce(sum(kcal), 0.0) / (CASE WHEN weekly THEN weekly_target ELSE daily * 7 END) * 100 AS p
+  FROM weeks w LEFT JOIN diary d ON d.owner_id = w.owner_id AND d.date BETWEEN s AND s + 6 GROUP BY w.owner_id, weekly, weekly_target, daily
+) SELECT owner_id, {_r('p', 'percent')}, {_r('least(100, greatest(0, p))', 'bar')} FROM c""", "diary", "weeks"),
+    "food_by_id": _with("SELECT id, name FROM food WHERE id IN (SELECT foodId FROM diary)", "diary", "food"),
+    "settings_by_key": _with(f"SELECT owner_id, {_r('daily')} FROM settings WHERE owner_id IN (SELECT owner_id FROM diary)", "diary", "settings"),
+    "log_guards": f"SELECT event_id, {_r('event_id + 0.5::DOUBLE', 'amount')} FROM events WHERE event_id % 3 = 0",
+    "product_paths": "SELECT b AS barcode, '/api/v2/product/' || b || '%20%C3%A9%2F%2B.json' AS path FROM (SELECT '789' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS b FROM part)",
+    "product_failures": "SELECT '789' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS barcode, CASE WHEN p_partkey % 10 > 1 THEN 'product-service-unavailable' END AS error FROM part",
+    "save_settings": _with(f"SELECT owner_id, {_r('CASE WHEN owner_id % 3 = 0 THEN 2.0 ELSE daily END', 'daily')}, CASE WHEN owner_id % 3 = 0 THEN {_DAY} ELSE DATE '2024-01-01' END AS updated FROM settings", "settings"),
+    "store_append": _with(f"SELECT owner_id, id, date, meal, foodName, {_known()} FROM diary", "diary"),
+    "backup_entries": _with(f"SELECT d.owner_id, id, date, meal, foodId, foodName, {_r('amount')}, unitId, unitLabel, {_r('grams')}, {_r('ml')}, {_known()}, CAST(created AS DATE) AS created FROM diary d JOIN settings s ON s.owner_id = d.owner_id", "diary", "settings"),
     "recent_foods": _with(f", r AS ({_RECENT}){_RANKED}", "diary", "food"),
     "frequent_foods": _with(f", r AS ({_FREQUENT}){_RANKED}", "diary", "food"),
     "food_suggestions": _with(
         f""", r AS ({_RECENT}), a AS ({_RANKED}), q AS ({_FREQUENT}), b AS ({_RANKED.replace('r.', 'q.').replace('FROM r ', 'FROM q ')})
 SELECT owner_id, 0 AS section, rank, foodId, name FROM a UNION ALL SELECT owner_id, 1, rank, foodId, name FROM b WHERE (owner_id, foodId) NOT IN (SELECT (owner_id, foodId) FROM a)""", "diary", "food"),
+    "log_search": _with(
+        f""", r AS ({_RECENT}), a AS ({_RANKED}), q AS ({_FREQUENT}), b AS ({_RANKED.replace('r.', 'q.').replace('FROM r ', 'FROM q ')})
+SELECT owner_id, 0 AS section, rank, foodId, name FROM a UNION ALL SELECT owner_id, 1, rank, foodId, name FROM b WHERE (owner_id, foodId) NOT IN (SELECT (owner_id, foodId) FROM a)
+UNION ALL SELECT NULL, NULL, NULL, id, name FROM food WHERE contains(lower(name), 'ring') OR contains(lower(brand), 'ring')""", "diary", "food"),
     "food_search": _with("SELECT id, name FROM food WHERE contains(lower(name), 'ring') OR contains(lower(brand), 'ring') UNION ALL SELECT id, name FROM food WHERE contains(barcode, '7890000000012')", "food"),
     "food_scan": _with("SELECT id, name FROM food", "food"),
     "barcode_lookup": _with(f", c AS ({_CODES}) SELECT c.barcode, id, name FROM c JOIN food ON food.barcode = c.barcode", "food"),
@@ -204,7 +273,10 @@ SELECT k AS label_id, CASE kind WHEN 'g' THEN 'mass' WHEN 'ml' THEN 'volume' END
        {", ".join(_r(n) for n in NUTRIENTS)}, CASE WHEN has_unit THEN CASE WHEN lower(raw) LIKE '%es' THEN left(raw, length(raw) - 2) WHEN lower(raw) LIKE '%s' THEN left(raw, length(raw) - 1) ELSE raw END END AS singular,
        CASE WHEN has_unit THEN raw END AS plural, {_r('CASE WHEN has_unit THEN quantity END', 'quantity')}, {_r("CASE WHEN has_unit AND unit = 'g' THEN amount END", 'unit_g')}, {_r("CASE WHEN has_unit AND unit = 'ml' THEN amount END", 'unit_ml')},
        warnings, CASE WHEN warnings = '' THEN 'high' WHEN known >= 3 THEN 'medium' ELSE 'low' END AS confidence FROM w""", "label"),
-    "label_food_drafts": _with(f"{_LABEL} SELECT 'label-ocr' AS source, 'Produto OCR' AS name, CASE WHEN warnings = '' THEN 'high' WHEN known >= 3 THEN 'medium' ELSE 'low' END AS confidence, count(*) AS n FROM w GROUP BY ALL", "label"),
+    "label_food_drafts": _with(
+        f"""{_LABEL}
+SELECT 'label-ocr' AS source, 'Produto ' || k AS name, CASE kind WHEN 'g' THEN 'mass' WHEN 'ml' THEN 'volume' END AS basis, {_r("CASE WHEN kind = 'g' THEN bsize END", 'basis_g')}, {_r("CASE WHEN kind = 'ml' THEN bsize END", 'basis_ml')},
+       {", ".join(_r(n) for n in NUTRIENTS)}, CAST(has_unit AS INTEGER) AS units, CASE WHEN warnings = '' THEN 'high' WHEN known >= 3 THEN 'medium' ELSE 'low' END AS confidence, label.text AS "rawText" FROM w JOIN label USING (k)""", "label"),
     "product_json_normalize": f"WITH p AS ({_PRODUCT}) SELECT name, brand, barcode, 100.0::DOUBLE AS basis_g, {_known()}, 'open-food-facts' AS source FROM p",
     "product_responses": f"WITH p AS ({_PRODUCT}) SELECT barcode, name, {_r('kcal')} FROM p WHERE k % 10 NOT IN (3, 5)",
     "upsert_foods": _with(
@@ -214,7 +286,7 @@ UNION ALL SELECT 'new' || id, name, {_DAY}, {_DAY} FROM food WHERE k % 700 = 0""
     "barcode_conflicts": _with("SELECT barcode, CAST(2 AS BIGINT) AS n FROM food WHERE k % 50 = 0", "food"),
     "weight_sync_profile": _with(
         f""", f AS (SELECT owner_id, arg_max(kg, id) + 1 AS fresh FROM weight WHERE CAST(id AS BIGINT) % 3 = 0 AND date = {_DAY} GROUP BY owner_id)
-SELECT s.owner_id, {_r('coalesce(fresh, kg)', 'kg')} FROM settings s LEFT JOIN f ON f.owner_id = s.owner_id""", "weight", "settings"),
+SELECT s.owner_id, {_r('coalesce(fresh, kg)', 'kg')}, CASE WHEN fresh IS NULL THEN DATE '2024-01-01' ELSE {_DAY} END AS updated FROM settings s LEFT JOIN f ON f.owner_id = s.owner_id""", "weight", "settings"),
     "upsert_weights": _with(f"SELECT owner_id, id, date, {_r('CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN kg + 1 ELSE kg END', 'kg')} FROM weight", "weight"),
     "settings_derived": _with(
         f"""SELECT owner_id, {_r('owner_id + 0.5::DOUBLE', 'daily')}, {_r('CASE WHEN NOT weekly THEN (owner_id + 0.5::DOUBLE) * 7 WHEN owner_id % 2 = 0 THEN 0 ELSE 9000 END', 'weekly')},
@@ -224,19 +296,21 @@ SELECT s.owner_id, {_r('coalesce(fresh, kg)', 'kg')} FROM settings s LEFT JOIN f
        4 AS meals, 4 AS reminders, CASE WHEN owner_id % 2 = 0 THEN level ELSE 'moderate' END AS level FROM settings""", "settings"),
     "food_forms": f"""
 WITH t AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE p_name END AS name, p_partkey % 4 = 3 AS v, CASE WHEN p_partkey % 13 <> 0 THEN 100.0::DOUBLE END AS amount, p_size + 0.25::DOUBLE AS kcal FROM part)
-SELECT CAST(k AS VARCHAR) AS id, name, CAST(NULL AS VARCHAR) AS brand, {_r('CASE WHEN NOT v THEN amount END', 'basis_g')}, {_r('CASE WHEN v THEN amount END', 'basis_ml')}, {_r('kcal')}, CAST(NULL AS DOUBLE) AS "fatG",
+SELECT CAST(CASE WHEN k % 7 = 0 THEN 64 ELSE 1 END AS INTEGER) AS unit_id, CASE WHEN k % 2 = 0 THEN 'label-ocr' ELSE 'manual' END AS source, CASE WHEN k % 2 = 0 THEN '{{}}' END AS "sourceMetadata",
+       CASE WHEN k % 2 = 0 THEN {_DAY} ELSE DATE '2023-12-01' END AS created, {_DAY} AS updated, CAST(k AS VARCHAR) AS id, name, CAST(NULL AS VARCHAR) AS brand, {_r('CASE WHEN NOT v THEN amount END', 'basis_g')}, {_r('CASE WHEN v THEN amount END', 'basis_ml')}, {_r('kcal')}, CAST(NULL AS DOUBLE) AS "fatG",
        CASE WHEN k % 3 = 0 THEN 'fatia' ELSE 'unidade' END AS singular, CASE WHEN k % 3 = 0 THEN 'fatias' ELSE 's' END AS plural, {_r('CASE WHEN NOT v THEN 30.0 END', 'unit_g')}, {_r('CASE WHEN v THEN 20.0 END', 'unit_ml')},
        CASE WHEN amount IS NULL THEN 'basis-required' WHEN k % 5 = 0 THEN 'unit-incomplete' WHEN name = '' THEN 'name-required' END AS error FROM t""",
     "food_prefill": _with(
         f""", p AS ({_PRODUCT})
 SELECT CAST(p.k AS VARCHAR) AS id, CASE WHEN f.id IS NOT NULL AND f.k % 2 = 0 THEN f.name ELSE p.name END AS name, p.barcode,
-       {_r('CASE WHEN f.id IS NULL OR NOT f.volume THEN 100.0 END', 'basis_g')}, {_r('coalesce(f.kcal, p.kcal)', 'kcal')}, {_r('coalesce(f.fatG, p.fatG)', 'fatG')} FROM p LEFT JOIN food f ON f.k = p.k""", "food"),
+       {_r('CASE WHEN f.id IS NULL OR NOT f.volume THEN 100.0 END', 'basis_g')}, {", ".join(_r(f'CASE WHEN f.id IS NULL THEN p.{n} ELSE f.{n} END', n) for n in NUTRIENTS)},
+       CASE WHEN f.id IS NULL THEN 'open-food-facts' ELSE 'manual' END AS source, 'Open Food Facts' AS provider FROM p LEFT JOIN food f ON f.k = p.k""", "food"),
     "backup_roundtrip": _with(
         f""", d AS (SELECT owner_id, count(*) AS entries, sum(kcal) AS kcal FROM diary GROUP BY owner_id
 ), w AS (SELECT owner_id, count(*) AS weights, sum(kg) AS kg FROM weight GROUP BY owner_id
 ), f AS (SELECT owner_id, count(DISTINCT foodId) AS foods FROM diary JOIN food ON food.id = foodId GROUP BY owner_id)
 SELECT s.owner_id, {_r('daily')}, coalesce(entries, 0) AS entries, {_r('kcal')}, coalesce(weights, 0) AS weights, {_r('w.kg', 'kg')}, coalesce(foods, 0) AS foods
 FROM settings s LEFT JOIN d ON d.owner_id = s.owner_id LEFT JOIN w ON w.owner_id = s.owner_id LEFT JOIN f ON f.owner_id = s.owner_id""", "diary", "weight", "food", "settings"),
-    "backup_validation": "SELECT c_custkey AS owner_id, CASE c_custkey % 10 WHEN 1 THEN 'invalid' WHEN 2 THEN 'invalid' WHEN 3 THEN 'unsupported-version' WHEN 4 THEN 'no-settings' WHEN 5 THEN 'incomplete' WHEN 7 THEN 'invalid-food' WHEN 8 THEN 'incomplete' WHEN 9 THEN 'invalid-food' END AS error FROM customer",
+    "backup_validation": _VALIDATION,
     "streaming_daily_totals": f"SELECT user_id AS owner_id, CAST(ts AS DATE) AS date, {_r('sum(value)', 'kcal')} FROM events WHERE event_type <> 'signup' AND event_id % 11 = 0 GROUP BY ALL",
 }

@@ -5,18 +5,18 @@ Doubles are rounded to six digits on both sides, as sums depend on their order.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, numbers
 from ..operators import budget, catalog, energy, forms, labels, portions, products, weight
 from ..schemas import NUTRIENTS
 from ..sources import backup, fixtures as fx, store
+from ..sources.work import shared_folder
 from ..streaming import daily
-from .oracles import SQL as ORACLE_SQL  # noqa: F401
+from .oracles import SQL as ORACLE_SQL, backup_cases  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -32,8 +32,7 @@ def _r(column: str | Column, name: str | None = None) -> Column:
 
 
 def _nutrients(of: str = "") -> list[Column]:
-    """The nutrients that the fixtures know."""
-    return [_r(F.col(of + n), n) for n in ("kcal", "carbsG", "proteinG", "fatG", "sodiumMg")]
+    return [_r(F.col(of + n), n) for n in NUTRIENTS]
 
 
 @query
@@ -111,6 +110,19 @@ def diary_scan(spark, sf):
     return rows.orderBy("owner_id", F.desc("date"), F.desc("id")).select("owner_id", "id", "meal", "foodName")
 
 
+@query
+def diary_history(spark, sf):
+    """Each owner's entries in their order."""
+    place = F.row_number().over(Window.partitionBy("owner_id").orderBy(*store.ORDER["diaryEntries"]))
+    return fx.diary(spark, sf).select("owner_id", place.alias("position"), "id", "date", "foodName")
+
+
+@query
+def week_progress(spark, sf):
+    out = budget.weekly_summary(fx.diary(spark, sf), fx.settings(spark, sf), fx.as_of())
+    return out.select("owner_id", _r("percent"), _r("bar"))
+
+
 @query
 def weight_moving_average(spark, sf):
     return weight.moving_average(fx.weights(spark, sf)).select("owner_id", "id", "date", _r("kg"), _r("trendKg"))
@@ -143,8 +155,24 @@ def weight_chart_points(spark, sf):
 
 @query
 def weight_chart_path(spark, sf):
-    paths = weight.line_path(fx.weights(spark, sf))
-    return paths.select("owner_id", F.size(F.split("path", "[ML]")).alias("points"), F.left("path", F.lit(1)).alias("first"))
+    return weight.line_path(fx.weights(spark, sf)).select("owner_id", "path")
+
+
+@query
+def weight_trend_path(spark, sf):
+    return weight.line_path(weight.moving_average(fx.weights(spark, sf)), "trendKg").select("owner_id", "path")
+
+
+@query
+def weight_current_trend(spark, sf):
+    return weight.current_trend(fx.weights(spark, sf)).select("owner_id", _r("trendKg"))
+
+
+@query
+def weight_history(spark, sf):
+    """Each owner's weigh-ins in their order."""
+    place = F.row_number().over(Window.partitionBy("owner_id").orderBy(*store.ORDER["weightEntries"]))
+    return fx.weights(spark, sf).select("owner_id", place.alias("position"), "id", "date", _r("kg"))
 
 
 @query
@@ -173,8 +201,36 @@ def food_scan(spark, sf):
 
 
 def _codes(spark, sf):
-    """Scanned codes: known, deleted, and unknown ones."""
-    return fx.all_foods(spark, sf).where(F.col("id").try_cast("long") % 5 == 4).select("barcode").union(spark.createDataFrame([("0",)], "barcode string"))
+    """Scanned codes: all that are known, deleted ones too, and an unknown one."""
+    return fx.all_foods(spark, sf).select("barcode").union(spark.createDataFrame([("0",)], "barcode string"))
+
+
+@query
+def food_by_id(spark, sf):
+    """The foods that diaries name and that are still there."""
+    named = fx.diary(spark, sf).where("foodId is not null").select(F.col("foodId").alias("id")).distinct()
+    return catalog.by_id(fx.foods(spark, sf), named, "id").select("id", "name")
+
+
+@query
+def settings_by_key(spark, sf):
+    """The settings of owners with entries."""
+    wanted = fx.diary(spark, sf).select("owner_id", F.lit("settings").alias("id")).distinct()
+    return catalog.by_id(fx.settings(spark, sf), wanted, "owner_id", "id").select("owner_id", _r("dailyCalorieTarget", "daily"))
+
+
+@query
+def log_search(spark, sf):
+    diary, foods = fx.diary(spark, sf), fx.foods(spark, sf)
+    return catalog.log_search("  ", diary, foods).unionByName(catalog.log_search(" rING", diary, foods))
+
+
+@query
+def log_guards(spark, sf):
+    """Events whose typed amounts are numbers."""
+    e = F.col("event_id")
+    typed = fx.table(spark, sf, "events").withColumn("typed", F.when(e % 3 == 0, F.concat(e.cast("string"), F.lit(",5"))).when(e % 3 == 1, "x"))
+    return forms.given(typed, "typed", "amount").select("event_id", _r("amount"))
 
 
 @query
@@ -240,8 +296,12 @@ def label_text_parse(spark, sf):
 
 @query
 def label_food_drafts(spark, sf):
-    drafts = labels.food_drafts(labels.parse_labels(fx.labels(spark, sf)), F.lit("Produto OCR"))
-    return drafts.groupBy("source", "name", F.get_json_object("sourceMetadata", "$.confidence").alias("confidence")).agg(F.count("*").alias("n"))
+    drafts = labels.food_drafts(labels.parse_labels(fx.labels(spark, sf)), F.concat(F.lit("Produto "), F.col("label_id").cast("string")))
+    said = lambda key: F.get_json_object("sourceMetadata", f"$.{key}").alias(key)
+    return drafts.select(
+        "source", "name", F.col("nutritionBasis.type").alias("basis"), _r("nutritionBasis.grams", "basis_g"), _r("nutritionBasis.ml", "basis_ml"), *_nutrients("nutrition."),
+        F.size("servingUnits").alias("units"), said("confidence"), said("rawText"),
+    )
 
 
 @query
@@ -250,6 +310,20 @@ def product_json_normalize(spark, sf):
     return out.select("name", "brand", "barcode", _r("nutritionBasis.grams", "basis_g"), *_nutrients("nutrition."), "source")
 
 
+@query
+def product_paths(spark, sf):
+    return fx.products(spark, sf).select("barcode", products.lookup_path(F.concat("barcode", F.lit(" é/+"))).alias("path"))
+
+
+@query
+def product_failures(spark, sf):
+    """Responses that failed, and foods of those that didn't."""
+    n = F.substring("barcode", -1, 1).cast("int")
+    rows = fx.products(spark, sf).select("barcode", F.concat(F.lit('{"status": 1, "product": '), "json", F.lit("}")).alias("response"), (F.lit(200) + n * 50).alias("http_status"))
+    good = products.from_responses(rows).select("barcode", F.lit(None).cast("string").alias("error"))
+    return good.unionByName(products.failed_responses(rows))
+
+
 @query
 def product_responses(spark, sf):
     rows = fx.products(spark, sf).withColumn("_n", F.substring("barcode", -1, 1))
@@ -288,14 +362,15 @@ def barcode_conflicts(spark, sf):
 @query
 def weight_sync_profile(spark, sf):
     changes = fx.weights(spark, sf).where((F.col("id").try_cast("long") % 3 == 0)).withColumn("kg", F.col("kg") + 1)
-    _, synced = store.save_weights(fx.weights(spark, sf), fx.settings(spark, sf), changes, fx.as_of())
-    return synced.select("owner_id", _r("profile.currentWeightKg", "kg"))
+    _, synced = store.save_weights(fx.weights(spark, sf), fx.settings(spark, sf), changes, fx.as_of(), fx.as_of().cast("timestamp"))
+    return synced.select("owner_id", _r("profile.currentWeightKg", "kg"), F.to_date("updatedAt").alias("updated"))
 
 
 @query
 def upsert_weights(spark, sf):
     changes = fx.weights(spark, sf).where((F.col("id").try_cast("long") % 3 == 0)).withColumn("kg", F.col("kg") + 1)
-    saved, _ = store.save_weights(fx.weights(spark, sf), fx.settings(spark, sf), changes, fx.as_of())
+    twice = changes.withColumn("_seq", F.lit(2)).unionByName(changes.withColumns({"kg": F.lit(999.0), "_seq": F.lit(1)}))
+    saved, _ = store.save_weights(fx.weights(spark, sf), fx.settings(spark, sf), twice, fx.as_of(), fx.as_of().cast("timestamp"), "_seq")
     return saved.select("owner_id", "id", "date", _r("kg"))
 
 
@@ -306,6 +381,25 @@ def settings_derived(spark, sf):
     return forms.derive_settings(typed).select("owner_id", _r("dailyCalorieTarget", "daily"), _r("weeklyCalorieTarget", "weekly"), _r("macroTargets.kcal", "macro_kcal"), F.array_join("mealNames", "|").alias("meals"))
 
 
+@query
+def save_settings(spark, sf):
+    """Every third owner changes the target twice."""
+    base = fx.settings(spark, sf).where("owner_id % 3 = 0")
+    changes = base.withColumns({"dailyCalorieTarget": F.lit(1.0), "_seq": F.lit(1)}).unionByName(base.withColumns({"dailyCalorieTarget": F.lit(2.0), "_seq": F.lit(2)}))
+    out = store.save_settings(fx.settings(spark, sf), changes, fx.as_of().cast("timestamp"), "_seq")
+    return out.select("owner_id", _r("dailyCalorieTarget", "daily"), F.to_date("updatedAt").alias("updated"))
+
+
+@query
+def store_append(spark, sf):
+    """A store's diary, written whole up to today and appended to for what comes then."""
+    diary = fx.diary(spark, sf)
+    kept = store.Store(spark, shared_folder(spark, "store"))
+    kept.replace(diaryEntries=diary.where(F.col("date") < fx.as_of()))
+    kept.append("diaryEntries", diary.where(F.col("date") >= fx.as_of()))
+    return kept.read("diaryEntries").select("owner_id", "id", "date", "meal", "foodName", *_nutrients("nutritionSnapshot."))
+
+
 @query
 def settings_defaults(spark, sf):
     have = fx.settings(spark, sf).where("owner_id % 2 = 0")
@@ -316,22 +410,23 @@ def settings_defaults(spark, sf):
 @query
 def food_forms(spark, sf):
     k = F.col("p_partkey")
-    unit = F.struct(F.lit("u").alias("id"), F.when(k % 3 == 0, " fatia ").otherwise("").alias("singular"), F.lit("").alias("plural"), F.when(k % 5 == 0, "").otherwise("2,5").alias("quantity"), F.lit("30").alias("grams"), F.lit("20").alias("ml"))
+    unit = F.struct(F.when(k % 7 != 0, "u").otherwise("").alias("id"), F.when(k % 3 == 0, " fatia ").otherwise("").alias("singular"), F.lit("").alias("plural"), F.when(k % 5 == 0, "").otherwise("2,5").alias("quantity"), F.lit("30").alias("grams"), F.lit("20").alias("ml"))
     typed = fx.table(spark, sf, "part").select(
         k.cast("string").alias("id"), F.when(k % 11 == 0, "  ").otherwise(F.concat(F.lit(" "), "p_name")).alias("name"), F.lit(" ").alias("brand"), F.lit(None).cast("string").alias("barcode"),
         F.when(k % 4 == 3, "volume").otherwise("mass").alias("basisType"), F.when(k % 13 == 0, "x").otherwise("100").alias("basisAmount"),
         F.create_map(F.lit("kcal"), F.concat(F.col("p_size").cast("string"), F.lit(",25")), F.lit("fatG"), F.lit("")).alias("nutrients"), F.array(unit).alias("servingUnits"),
+        F.when(k % 2 == 0, "label-ocr").alias("source"), F.when(k % 2 == 0, "{}").alias("sourceMetadata"), F.when(k % 2 == 1, F.lit("2023-12-01").cast("timestamp")).alias("createdAt"),
     )
     unit = F.get("servingUnits", F.lit(0))
-    out = forms.clean_foods(typed)
-    return out.select("id", "name", "brand", _r("nutritionBasis.grams", "basis_g"), _r("nutritionBasis.ml", "basis_ml"), _r("nutrition.kcal", "kcal"), _r("nutrition.fatG", "fatG"), unit["singular"].alias("singular"), unit["plural"].alias("plural"), _r(unit["grams"], "unit_g"), _r(unit["ml"], "unit_ml"), "error")
+    out = forms.clean_foods(typed, fx.as_of().cast("timestamp"))
+    return out.select("source", "sourceMetadata", F.to_date("createdAt").alias("created"), F.to_date("updatedAt").alias("updated"), F.length(unit["id"]).alias("unit_id"), "id", "name", "brand", _r("nutritionBasis.grams", "basis_g"), _r("nutritionBasis.ml", "basis_ml"), _r("nutrition.kcal", "kcal"), _r("nutrition.fatG", "fatG"), unit["singular"].alias("singular"), unit["plural"].alias("plural"), _r(unit["grams"], "unit_g"), _r(unit["ml"], "unit_ml"), "error")
 
 
 @query
 def food_prefill(spark, sf):
-    existing = fx.foods(spark, sf).select("id", F.when(F.col("id").try_cast("long") % 2 == 0, F.col("name")).alias("name"), "brand", "barcode", "nutritionBasis", "nutrition", "servingUnits")
+    existing = fx.foods(spark, sf).select("id", F.when(F.col("id").try_cast("long") % 2 == 0, F.col("name")).alias("name"), "brand", "barcode", "nutritionBasis", "nutrition", "servingUnits", "source", "sourceMetadata", "createdAt")
     drafts = products.normalize(fx.products(spark, sf)).withColumn("id", F.regexp_replace(F.substring("barcode", 4, 10), "^0+(?=[0-9])", ""))
-    return forms.prefill(existing, drafts).select("id", "name", "barcode", _r("nutritionBasis.grams", "basis_g"), _r("nutrition.kcal", "kcal"), _r("nutrition.fatG", "fatG"))
+    return forms.prefill(existing, drafts).select("id", "name", "barcode", _r("nutritionBasis.grams", "basis_g"), *_nutrients("nutrition."), "source", F.get_json_object("sourceMetadata", "$.provider").alias("provider"))
 
 
 def _documents(spark, sf):
@@ -352,17 +447,17 @@ def backup_roundtrip(spark, sf):
     return out.select("owner_id", _r("dailyCalorieTarget", "daily"), F.coalesce("entries", F.lit(0)).alias("entries"), _r("kcal"), F.coalesce("weights", F.lit(0)).alias("weights"), _r("kg"), F.coalesce("foods", F.lit(0)).alias("foods"))
 
 
+@query
+def backup_entries(spark, sf):
+    """The diary as it's read again from documents."""
+    diary = backup.read(_documents(spark, sf))["diaryEntries"]
+    return diary.select("owner_id", "id", "date", "meal", "foodId", "foodName", _r("amount"), "unitId", "unitLabel", _r("grams"), _r("ml"), *_nutrients("nutritionSnapshot."), F.to_date("createdAt").alias("created"))
+
+
 @query
 def backup_validation(spark, sf):
     """Each check fails for some owners."""
-    good = {"version": 1, "settings": {"id": "settings"}, "foods": [], "diaryEntries": [], "weightEntries": []}
-    food = {"id": "1", "name": "x", "nutritionBasis": {"type": "mass"}, "nutrition": {}}
-    cases = [
-        json.dumps(good), "[]", "not json", json.dumps({**good, "version": 999}), json.dumps({**good, "settings": {"id": "x"}}), json.dumps({**good, "foods": {}}),
-        json.dumps({**good, "foods": [food]}), json.dumps({**good, "foods": [food, {**food, "name": ""}]}), json.dumps({k: v for k, v in good.items() if k != "diaryEntries"}),
-        json.dumps({**good, "foods": [{k: v for k, v in food.items() if k != "nutrition"}]}),
-    ]
-    documents = F.element_at(F.array(*[F.lit(c) for c in cases]), (F.col("owner_id") % len(cases) + 1).cast("int"))
+    documents = F.element_at(F.array(*[F.lit(c) for c in backup_cases()]), (F.col("owner_id") % len(backup_cases()) + 1).cast("int"))
     return backup.validate(fx.owners(spark, sf).select("owner_id", documents.alias("backup"))).select("owner_id", "error")
 
 

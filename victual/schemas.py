@@ -10,19 +10,6 @@ from pyspark.sql import types as T
 
 #: The nutrients in their canonical order.
 NUTRIENTS = ("kcal", "carbsG", "sugarsG", "addedSugarsG", "proteinG", "fatG", "saturatedFatG", "transFatG", "fiberG", "sodiumMg")
-#: Their labels.
-NUTRIENT_LABELS = {
-    "kcal": "Calorias",
-    "carbsG": "Carboidratos",
-    "sugarsG": "Açúcares",
-    "addedSugarsG": "Açúcares adicionados",
-    "proteinG": "Proteínas",
-    "fatG": "Gorduras totais",
-    "saturatedFatG": "Gorduras saturadas",
-    "transFatG": "Gorduras trans",
-    "fiberG": "Fibra",
-    "sodiumMg": "Sódio",
-}
 #: Energy factors of the activity levels.
 ACTIVITY = {"sedentary": 1.2, "light": 1.375, "moderate": 1.55, "active": 1.725, "very-active": 1.9}
 

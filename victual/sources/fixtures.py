@@ -38,7 +38,8 @@ def all_foods(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("789"), F.lpad(k.cast("string"), 10, "0")).alias("barcode"), basis.alias("nutritionBasis"),
         nutrition(
             kcal=F.col("p_retailprice") / 10, carbsG=F.when(k % 7 != 0, size), proteinG=(k % 30).cast("double"), fatG=(k % 23).cast("double"),
-            sodiumMg=F.when(k % 3 == 0, (k % 900).cast("double")),
+            sodiumMg=F.when(k % 3 == 0, (k % 900).cast("double")), sugarsG=(k % 11).cast("double"), addedSugarsG=F.when(k % 4 != 0, (k % 5).cast("double")),
+            saturatedFatG=(k % 13).cast("double"), transFatG=F.when(k % 6 == 0, 0.5), fiberG=(k % 17).cast("double"),
         ).alias("nutrition"),
         F.array(unit).alias("servingUnits"), F.lit("manual").alias("source"), F.lit(None).cast("string").alias("sourceMetadata"),
         F.lit("2023-12-01").cast("timestamp").alias("createdAt"), F.lit("2023-12-01").cast("timestamp").alias("updatedAt"),
@@ -120,6 +121,7 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('{"product_name": "'), F.when(k % 9 == 0, F.lit("")).otherwise(F.col("p_name")), F.lit('", "brands": "'), F.col("p_brand"),
         F.lit('", "nutriments": {"energy-kcal_100g": '), size, F.lit(', "carbohydrates_100g": "'), size, F.lit(',5", "proteins_100g": "'),
         F.when(k % 4 == 0, F.lit("")).when(k % 4 == 1, F.lit("x1")).otherwise(size), F.lit('", '),
-        F.when(k % 2 == 0, F.concat(F.lit('"sodium_100g": 0.'), size)).otherwise(F.concat(F.lit('"sodium_mg_100g": "'), size, F.lit('"'))), F.lit("}}"),
+        F.when(k % 2 == 0, F.concat(F.lit('"sodium_100g": 0.'), size)).otherwise(F.concat(F.lit('"sodium_mg_100g": "'), size, F.lit('"'))),
+        F.lit(', "sugars_100g": '), (k % 11).cast("string"), F.lit(', "added-sugars_100g": " 1,5 ", "saturated-fat_100g": "1e1", "trans-fat_100g": 0, "fiber_100g": " "}}'),
     )
     return table(spark, sf_dir, "part").select(F.concat(F.lit("789"), F.lpad(k.cast("string"), 10, "0")).alias("barcode"), json.alias("json"))

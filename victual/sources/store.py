@@ -1,13 +1,14 @@
 """Tables as Parquet folders: scans, keyed upserts and deletes, replacement.
 
-A change never edits files in place.  The new state is written beside the old
-one under a new version, and one rename makes it current, so a reader or a
-lost job sees a whole version or none.
+A change never edits files in place.  New rows are written beside the old ones,
+and one rename makes them current, so a reader or a lost job sees a whole version
+or none.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,14 +18,19 @@ from ..schemas import DEFAULT_SETTINGS, FIELDS, KEYS, SETTINGS_FIELDS, schema
 ORDER = {"foods": ("name", "id"), "diaryEntries": ("date", "id"), "weightEntries": ("date", "id"), "settings": ("owner_id",)}
 
 
+def survivors(changes: DataFrame, keys: tuple[str, ...], sequence: str | None = None) -> DataFrame:
+    """Of changes with one key the last by ``sequence``; without one, and of ties, the greatest row, so that reruns agree."""
+    columns = [c for c in changes.columns if c != sequence]
+    order = Window.partitionBy(*keys).orderBy(*([F.desc(sequence)] if sequence else []), F.struct(*columns).desc())
+    return changes.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*columns)
+
+
 def upsert(table: DataFrame, changes: DataFrame, keys: tuple[str, ...], sequence: str | None = None) -> DataFrame:
-    """``table`` with ``changes`` put over it by key; of changes with one key the last by ``sequence`` stays.
+    """``table`` with ``changes`` put over it by key, one row for each; see ``survivors``.
 
     The table itself is only anti-joined, so rows that don't change aren't sorted.
     """
-    if sequence:
-        order = Window.partitionBy(*keys).orderBy(F.desc(sequence))
-        changes = changes.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", sequence)
+    changes = survivors(changes, keys, sequence)
     return table.join(changes.select(*keys), list(keys), "left_anti").select(*table.columns).unionByName(changes.select(*table.columns))
 
 
@@ -44,12 +50,28 @@ def barcode_conflicts(foods: DataFrame) -> DataFrame:
     return foods.where("barcode is not null").groupBy("barcode").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def save_weights(weights: DataFrame, settings: DataFrame, changes: DataFrame, today: Column) -> tuple[DataFrame, DataFrame]:
-    """Upsert of weigh-ins; today's also becomes the profile's current weight."""
-    fresh = changes.where(F.col("date") == today).groupBy("owner_id").agg(F.max_by("kg", "id").alias("_kg"))
-    current = F.coalesce("_kg", "profile.currentWeightKg")
-    synced = settings.join(fresh, "owner_id", "left").withColumn("profile", F.col("profile").withField("currentWeightKg", current))
-    return upsert(weights, changes, KEYS["weightEntries"]), synced.select(*settings.columns)
+def save_settings(settings: DataFrame, changes: DataFrame, now: Column, sequence: str | None = None) -> DataFrame:
+    """Upsert of whole settings rows; ``updatedAt`` is now."""
+    return upsert(settings, changes.withColumn("updatedAt", now), KEYS["settings"], sequence)
+
+
+def save_weights(weights: DataFrame, settings: DataFrame, changes: DataFrame, today: Column, now: Column, sequence: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Upsert of weigh-ins; today's also becomes the profile's current weight, with ``updatedAt`` now.
+
+    Of several of today the last by ``sequence`` counts (without one, and of ties, the greatest id), among those that are saved.
+    """
+    last = F.struct(*([F.col(sequence)] if sequence else []), F.col("id"))
+    ordered = changes.withColumn("_last", last)
+    saved = survivors(ordered, KEYS["weightEntries"], sequence)
+    fresh = saved.where(F.col("date") == today).groupBy("owner_id").agg(F.max_by("kg", "_last").alias("_kg"))
+    joined = settings.join(fresh, "owner_id", "left")
+    synced = joined.withColumns(
+        {
+            "profile": F.col("profile").withField("currentWeightKg", F.coalesce("_kg", "profile.currentWeightKg")),
+            "updatedAt": F.when(F.col("_kg").isNotNull(), now).otherwise(F.col("updatedAt")),
+        }
+    )
+    return upsert(weights, saved.drop("_last"), KEYS["weightEntries"]), synced.select(*settings.columns)
 
 
 def default_settings(owners: DataFrame, now: Column) -> DataFrame:
@@ -66,7 +88,12 @@ def with_defaults(settings: DataFrame, owners: DataFrame, now: Column) -> DataFr
 
 
 class Store:
-    """The four tables under one folder, on any file system that Spark knows."""
+    """The four tables under one folder, on any file system that Spark knows.
+
+    A version is a list of the folders that each table's rows are in.  A change
+    writes new folders and a new list, so tables that don't change, and rows that
+    are there already when some are appended, aren't written again.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -84,27 +111,54 @@ class Store:
         names = [s.getPath().getName() for s in fs.listStatus(path(self.path))]
         return max([int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit()], default=0)
 
+    def _folders(self, version: int) -> dict[str, list[str]]:
+        if not version:
+            return {name: [] for name in FIELDS}
+        return json.loads(self.spark.read.text(f"{self.path}/v{version}/folders.json", wholetext=True).first()[0])
+
+    def _make_current(self, version: int, folders: dict[str, list[str]]) -> None:
+        """One rename makes a list current, so a reader or a lost job sees a whole version or none."""
+        path, fs = self._fs()
+        staged = f"{self.path}/_staged-{uuid.uuid4().hex}"
+        out = fs.create(path(f"{staged}/folders.json"), False)
+        out.write(bytearray(json.dumps(folders), "utf-8"))
+        out.close()
+        if fs.exists(path(f"{self.path}/v{version}")) or not fs.rename(path(staged), path(f"{self.path}/v{version}")):
+            raise OSError(f"version {version} of {self.path} could not be made current")
+
+    def _written(self, name: str, rows: DataFrame) -> str:
+        folder = f"{name}-{uuid.uuid4().hex}"
+        rows.select(*schema(name).names).write.parquet(f"{self.path}/data/{folder}")
+        return folder
+
     def read(self, name: str, ordered: bool = False) -> DataFrame:
         """A table of the current version (empty if there is none), by name or date if ``ordered``."""
-        if not (version := self.version()):
+        folders = self._folders(self.version())[name]
+        if not folders:
             return self.spark.createDataFrame([], schema(name))
-        out = self.spark.read.schema(schema(name)).parquet(f"{self.path}/v{version}/{name}")
+        out = self.spark.read.schema(schema(name)).parquet(*[f"{self.path}/data/{f}" for f in folders])
         return out.orderBy(*ORDER[name]) if ordered else out
 
     def replace(self, **tables: DataFrame) -> None:
-        """Write the given tables, and the others as they are, as the next version, and make it current at once.
+        """Write the given tables whole as the next version, beside the others as they are.
 
         Barcodes must be unique among foods.
         """
         if "foods" in tables and (clash := barcode_conflicts(tables["foods"]).first()):
             raise ValueError(f"barcode {clash['barcode']} belongs to {clash['n']} foods")
-        version = self.version() + 1
-        staged = f"{self.path}/_staged_v{version}"
-        for name in FIELDS:
-            tables.get(name, self.read(name)).select(*schema(name).names).write.mode("overwrite").parquet(f"{staged}/{name}")
-        path, fs = self._fs()
-        if not fs.rename(path(staged), path(f"{self.path}/v{version}")):
-            raise OSError(f"version {version} of {self.path} could not be made current")
+        version = self.version()
+        new = {name: [self._written(name, rows)] for name, rows in tables.items()}
+        self._make_current(version + 1, {**self._folders(version), **new})
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        """Add rows to a table; none of what is there is written again.  A key that is there already, or comes twice, is an error."""
+        keys = list(KEYS[name])
+        version = self.version()
+        twice = rows.groupBy(*keys).count().where("count > 1").select(*keys)
+        if clash := rows.select(*keys).join(self.read(name).select(*keys), keys, "left_semi").unionByName(twice).first():
+            raise ValueError(f"{name} {clash['id']} exists")
+        folders = self._folders(version)
+        self._make_current(version + 1, {**folders, name: [*folders[name], self._written(name, rows)]})
 
     def erase(self, owners: DataFrame, now: Column) -> None:
         """Empty tables, and default settings."""
@@ -113,7 +167,4 @@ class Store:
 
     def log_foods(self, snapshots: DataFrame) -> None:
         """Append diary rows; a row whose id is there already is an error."""
-        diary = self.read("diaryEntries")
-        if clash := snapshots.join(diary, list(KEYS["diaryEntries"]), "left_semi").first():
-            raise ValueError(f"diary entry {clash['id']} exists")
-        self.replace(diaryEntries=diary.unionByName(snapshots.select(*diary.columns)))
+        self.append("diaryEntries", snapshots)

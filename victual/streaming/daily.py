@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import round_display
+from ..sources.work import shared_folder
 
 
 def daily_energy(entries: DataFrame, time: str = "at", late: str = "2 days") -> DataFrame:
-    """Energy by ``owner_id`` and day of a stream (or table) of ``owner_id, at, kcal``; later rows than ``late`` are dropped."""
+    """Energy by ``owner_id`` and day of a stream (or table) of ``owner_id, at, kcal``.
+
+    In append or update mode a day's state goes when the stream has passed it by
+    ``late``, and rows that come later than that are dropped.
+    """
     return entries.withWatermark(time, late).groupBy("owner_id", F.window(time, "1 day")).agg(F.sum("kcal").alias("kcal"))
 
 
@@ -27,18 +29,18 @@ def quick_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     single = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isFile()
     stream = source.option("pathGlobFilter", name).parquet(folder) if single else source.parquet(path)
     rows = stream.where("event_type <> 'signup' and event_id % 11 = 0").select(F.col("user_id").alias("owner_id"), F.col("ts").cast("timestamp").alias("at"), F.col("value").alias("kcal"))
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="victual-")
-    place = f"{root.rstrip('/')}/daily-{uuid.uuid4().hex}"
-    batches: list[int] = []
+    place = shared_folder(spark, "daily")
+    folders: list[str] = []
 
     def keep(batch: DataFrame, number: int) -> None:
-        """The whole result of each micro-batch, in a folder of its own; a retried one overwrites it."""
-        batch.write.mode("overwrite").parquet(f"{place}/batch-{number}")
-        batches.append(number)
+        """The days that a micro-batch has changed, in a folder of its own; a retried one overwrites it."""
+        folders.append(f"{place}/batch-{number}")
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(folders[-1])
 
-    running = daily_energy(rows).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    running = daily_energy(rows).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     running.awaitTermination()
-    if not batches:
+    if not folders:
         return spark.createDataFrame([], "owner_id long, date date, kcal double")
-    result = spark.read.parquet(f"{place}/batch-{batches[-1]}")
-    return result.select("owner_id", F.to_date("window.start").alias("date"), round_display(F.col("kcal"), 6).alias("kcal"))
+    days = spark.read.parquet(*folders)
+    last = days.groupBy("owner_id", "window.start").agg(F.max_by("kcal", "batch").alias("kcal"))
+    return last.select("owner_id", F.to_date("start").alias("date"), round_display(F.col("kcal"), 6).alias("kcal"))
