@@ -37,7 +37,8 @@ LAGS = (1, 2, 3, 4, 5)
 TERMS = WORD_TERMS + SHAPE_TERMS + 2 * len(LAGS) + 2
 #: What the groups of terms weigh in a vector.
 GROUP_WEIGHTS = (0.25, 1.0, 1.0)
-BLOCK = 256
+#: Documents that are compared with the sample at once.
+BLOCK = 64
 _LETTERS, _DIGIT = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 
 

@@ -62,7 +62,7 @@ def bounded_batches(spark: SparkSession) -> None:
     These are settings of the session, as Spark has none for a single operator;
     smaller ones that the caller has set are left alone.
     """
-    for key, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 8 << 20)):
+    for key, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 4 << 20)):
         key = f"spark.sql.execution.arrow.{key}"
         now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
         if now is None or not 0 < int(now[1]) <= most:

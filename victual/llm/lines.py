@@ -36,13 +36,17 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bit, bounded_batches, may_be_in, numbered, table, utf8, word, written
 
 LEAST_WORDS = 50
+#: Bytes of text whose words are in memory at once.
+PART = 1 << 20
 #: Bits of the bitmaps of fingerprints.
 MARKS = 1 << 27
 #: An odd number to hash runs of words with, and its inverse.
@@ -153,14 +157,19 @@ def _without(line: bytes, cut: list[bool]) -> bytes:
     return line[: spans[0][0]] + b"".join(line[a:stop] for (a, _), stop, c in zip(spans, stops, cut) if not c) + tail
 
 
-def _texts(column: pa.Array) -> list[bytes]:
-    return [t.as_buffer().to_pybytes() for t in column]
+def _parts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[pa.RecordBatch, Passages]]:
+    """Slices of the batches of about ``PART`` bytes of text, or of one text, and their stretches."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column("_text")).to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero(np.diff(np.cumsum(sizes) // PART, prepend=-1)).tolist()
+        for start, stop in zip(edges, [*edges[1:], len(sizes)]):
+            part = batch.slice(start, stop - start)
+            yield part, Passages([t.as_buffer().to_pybytes() for t in part.column("_text")], least)
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Each stretch; and two that differ for a fingerprint that stands near itself."""
-    for batch in batches:
-        found = Passages(_texts(batch.column("_text")), least)
+    for _, found in _parts(batches, least):
         periodic = found.periodic()
         n = len(periodic)
         fps = np.r_[found.fps, periodic, periodic]
@@ -171,12 +180,11 @@ def _stretches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Rec
 _FOUND = "doc_id long, tkey long, at long, stretch long, size int, windows array<long>"
 
 
-def _marked(batches: Iterator[pa.RecordBatch], least: int, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _marked(batches: Iterator[pa.RecordBatch], least: int, marks: Broadcast) -> Iterator[pa.RecordBatch]:
     """Marked stretches, with the digests of their windows where the fingerprint's stretches differ."""
-    for batch in batches:
-        found = Passages(_texts(batch.column("_text")), least)
+    for batch, found in _parts(batches, least):
         bits = found.fps & np.uint64(MARKS - 1)
-        shared, differ = (marks[:, (bits >> np.uint64(6)).astype(np.int64)] >> (bits & np.uint64(63)) & np.uint64(1)).astype(bool)
+        shared, differ = (marks.value[:, (bits >> np.uint64(6)).astype(np.int64)] >> (bits & np.uint64(63)) & np.uint64(1)).astype(bool)
         windows, of = found.windows(differ), np.flatnonzero(shared)
         rows = pa.array(found.owner[of])
         columns = [pa.array(found.at[of]), pa.array(found.digests[of].view(np.int64)), pa.array(found.sizes[of].astype(np.int32)), windows.take(pa.array(of))]
@@ -212,7 +220,7 @@ def repeated_windows(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """
     bounded_batches(docs.sparkSession)
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tkey"), utf8("text").alias("_text"))
-    marks = _marks(rows.select("_text").mapInArrow(lambda b: _stretches(b, least), "fp long, stretch long"))
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(rows.select("_text").mapInArrow(lambda b: _stretches(b, least), "fp long, stretch long")))
     found = written(rows.mapInArrow(lambda b: _marked(b, least, marks), _FOUND), "stretches")
     place = F.struct("doc_id", "tkey", "at")
     span = lambda words: (F.shiftleft("at", 32).bitwiseOR(words)).alias("span")
@@ -240,8 +248,8 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     with different texts: of the smallest hash of the text).  Null texts and rows without doc_id
     stay as they are; rows that repeat both doc_id and text count as one document.
     In a text that repeats itself, occurrences may overlap: each word that a later
-    occurrence covers goes.  Very long texts are read whole; a task holds about 90
-    bytes for each word of a batch, and a batch is 8 MB or one text.  An empty table
+    occurrence covers goes.  Very long texts are read whole; a task holds some 200
+    bytes for each word of ``PART`` bytes of texts, or of one text.  An empty table
     gives an empty result.  Extra columns are kept, whatever their names.
     """
     columns = docs.columns
