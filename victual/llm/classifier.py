@@ -54,7 +54,7 @@ class _Cache(dict):
 
     def __missing__(self, word: str) -> int:
         found = zlib.crc32(word.lower().encode()) % WORD_TERMS * SHAPE_TERMS + _shape(word)
-        if len(self) < 300_000 and len(word) < 40:
+        if len(self) < 100_000 and len(word) < 40:
             self[word] = found
         return found
 

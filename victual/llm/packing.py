@@ -37,7 +37,7 @@ BUCKET_SEQUENCES, WAVE_PIECES = 16_384, 2048
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 SPECIAL = "<|endoftext|>"
 #: Chunks whose ids a Python worker remembers.
-MOST_CHUNKS = 400_000
+MOST_CHUNKS = 150_000
 _TWO_BLANKS, _BLANKS = re.compile(r" \s|\s "), re.compile(r"\s+")
 #: Longer runs of blanks go to ``tokenizers``: looking for their end, the other's pattern uses up its stack.
 MOST_BLANKS = 100_000
