@@ -1,0 +1,186 @@
+"""Near copies: SimHashes propose them, five-word shingles decide.
+
+One SimHash with four differing bits links copies that are nearly equal.  To find
+texts whose five-word shingles are alike to ``LIKE`` or more, a text has ``FACES``
+SimHashes, each with hashes of its own, of its pairs of words: a changed word spoils two
+pairs, but five shingles, so alike texts differ in few bits of these.
+
+1. *Index.*  Each face is listed by its bytes' positions, as in ``simhash``.
+2. *Count.*  The shared positional bytes of two faces in a list are tallied.  A
+   row of a list goes on only if it shares ``8 - BITS`` bytes with another, so chance meetings end here,
+   while rows are still three numbers.
+3. *Verify.*  What is left is joined with the texts' sketches: the shingles are dealt into
+   ``BINS`` bins, and a bin tells a byte of its smallest hash.  The share of equal bytes estimates the Jaccard
+   similarity, of short texts nearly exactly.  A task gives a spanning forest, never all pairs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import bounded_batches, utf8, written
+from .components import components
+from .simhash import BITS, BLOCK, deal, forest, lists
+
+FACES = 4
+SHINGLE = 5
+LIKE = 0.8
+#: What the estimate may fall short of ``LIKE`` by: about a standard error.
+SLACK = 0.015
+BINS = 512
+_BASE, _GOLD = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _runs(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words; of all words, if there are fewer."""
+    last = max(1, len(words) - size + 1)
+    out = words[:last].copy()
+    for k in range(1, min(size, len(words))):
+        out = out * np.uint64(_BASE) + words[k : k + last]
+    return _mixed(out)
+
+
+def _face(hashes: np.ndarray, k: int) -> int:
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 15):  # bounded memory for very long texts
+        own = _mixed(hashes[at : at + (1 << 15)] + np.uint64(_GOLD * (k + 1) % (1 << 64)))
+        total += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(total * 2 > len(hashes)).tobytes(), "big")
+
+
+def sketch(text: bytes) -> tuple[list[int], bytes]:
+    """The faces of a UTF-8 text, and its bins; all zero if it has no words."""
+    split = text.lower().split()
+    if not split:
+        return [0] * FACES, bytes(BINS)
+    words = np.fromiter(map(xxhash.xxh64_intdigest, split), np.uint64, len(split))
+    pairs, shingles = _runs(words, 2), _runs(words, SHINGLE)
+    least = np.full(BINS, 1 << 32, np.uint64)
+    np.minimum.at(least, (shingles % np.uint64(BINS)).astype(np.int64), shingles >> np.uint64(32))
+    bins = np.where(least < 1 << 32, 1 + least % np.uint64(255), 0).astype(np.uint8)
+    return [_face(pairs, k) for k in range(FACES)], bins.tobytes()
+
+
+def alike(bins: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Of index pairs, a mask of those whose estimated similarity is ``LIKE``, but for the slack."""
+    mask = np.zeros(len(left), bool)
+    for at in range(0, len(left), 4096):
+        a, b = bins[left[at : at + 4096]], bins[right[at : at + 4096]]
+        same, either = ((a == b) & (a > 0)).sum(axis=1), ((a > 0) | (b > 0)).sum(axis=1)
+        mask[at : at + 4096] = same >= (LIKE - SLACK) * either
+    return mask
+
+
+_SKETCHED = "doc_id long, tkey long, fp long, faces array<long>, bins binary"
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [sketch(t.as_buffer().to_pybytes()) for t in batch.column("_text")]
+        faces = np.array([f for f, _ in found], np.uint64).reshape(-1, FACES)
+        own = np.fromiter((xxhash.xxh64_intdigest(f.tobytes() + b) for f, (_, b) in zip(faces, found)), np.uint64, len(found))
+        held = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * FACES), pa.array(faces.ravel().view(np.int64)))
+        columns = [batch.column("doc_id"), batch.column("tkey"), pa.array(own.view(np.int64)), held, pa.array([b for _, b in found], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tkey", "fp", "faces", "bins"])
+
+
+def _list_pairs(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of equal ``keys`` (sorted), some at a time."""
+    n = len(keys)
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    sizes = np.diff(np.r_[starts, n])
+    ends, nodes = np.repeat(starts + sizes, sizes), np.arange(n)
+    at, gap = np.flatnonzero(np.repeat(sizes <= 64, sizes)), 1
+    while len(at := at[at + gap < ends[at]]):
+        yield at, at + gap
+        gap += 1
+    for start, size in zip(starts[sizes > 64], sizes[sizes > 64]):
+        for row in range(start, start + size, 128):
+            stop = min(row + 128, start + size)
+            left, right = (x.ravel() for x in np.meshgrid(nodes[row:stop], nodes[row : start + size], indexing="ij"))
+            yield left[right > left], right[right > left]
+
+
+def _share(faces: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A mask of the pairs that share as many positional bytes as ``BITS`` differing bits guarantee."""
+    return ((faces[left] ^ faces[right]).view(np.uint8).reshape(-1, 8) == 0).sum(axis=1, dtype=np.uint8) >= 8 - BITS
+
+
+def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined so that none ends within a list; rows are sorted by list, the first column."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= 20_000:
+            rows = pa.concat_batches(held)
+            keys = rows.column(0).to_numpy(zero_copy_only=False)
+            if cut := int(np.searchsorted(keys, keys[-1])):
+                yield rows.slice(0, cut)
+            held = [rows.slice(cut)]
+    if sum(map(len, held)):
+        yield pa.concat_batches(held)
+
+
+def _partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of lists that share enough bytes with another row."""
+    for rows in _whole_lists(batches):
+        faces = rows.column("face").to_numpy(zero_copy_only=False)
+        some = np.zeros(len(faces), bool)
+        for left, right in _list_pairs(rows.column(0).to_numpy(zero_copy_only=False)):
+            ok = _share(faces, left, right)
+            some[left[ok]] = some[right[ok]] = True
+        yield rows.filter(pa.array(some))
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that span what is alike in each list."""
+    for rows in _whole_lists(batches):
+        fps, faces = (rows.column(n).to_numpy(zero_copy_only=False) for n in ("fp", "face"))
+        bins = np.frombuffer(b"".join(rows.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
+        nodes = root = np.arange(len(fps))
+        for left, right in _list_pairs(rows.column(0).to_numpy(zero_copy_only=False)):
+            open_ = np.flatnonzero(root[left] != root[right])
+            open_ = open_[_share(faces, left[open_], right[open_])]
+            ok = open_[alike(bins, left[open_], right[open_])]
+            if len(ok):
+                root = forest(len(fps), np.r_[left[ok], nodes], np.r_[right[ok], root])
+        moved = np.flatnonzero(root != nodes)
+        yield pa.RecordBatch.from_arrays([pa.array(fps[moved]), pa.array(fps[root[moved]])], names=["a", "b"])
+
+
+def _links(classes: DataFrame, rows: DataFrame, block: int) -> DataFrame:
+    faces = classes.select("fp", F.posexplode("faces").alias("_k", "face"))
+    index = faces.select(F.explode(lists("face")).alias("list"), "_k", "fp", "face")
+    index = index.select((F.shiftleft(F.col("_k").cast("long"), 32) + F.col("list")).alias("list"), "fp", "face")
+    met = written(deal(index, block).mapInArrow(_partnered, "part long, fp long, face long"), "partnered")
+    wanted = met.select("fp").distinct()
+    bins = rows.select("fp", "bins").join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("bins").alias("bins"))
+    again = met.join(bins, "fp").select("part", "fp", "face", "bins").repartition("part").sortWithinPartitions("part", "fp")
+    return again.mapInArrow(_verified, "a long, b long").distinct()
+
+
+def by_shingles(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """For ``simhash.keep_one``: groups of texts alike in their five-word shingles, by links of ``LIKE`` or more.
+
+    Words are lower-cased (A-Z) and blanks make no difference; texts of fewer words than a shingle
+    are alike if they are equal, and so are those without words.
+    """
+    bounded_batches(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tkey"), utf8("text").alias("_text"))
+    rows = written(texts.mapInArrow(_sketched, _SKETCHED), "sketches")
+    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("faces").alias("faces")), "classes")
+    roots = components(_links(classes, rows, block))
+    placed = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return rows.select("doc_id", "tkey", "fp"), placed

@@ -24,13 +24,13 @@ pairs.  So the work of a long list is spread out and its output stays linear.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, may_be_in, table, utf8, written
@@ -89,7 +89,7 @@ def _pairs(fps: np.ndarray, left: np.ndarray, right: np.ndarray, bits: int) -> n
     return mask
 
 
-def _forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """For each of ``n`` nodes, the smallest node it reaches over the links."""
     root = np.arange(n)
     while len(left):
@@ -106,7 +106,7 @@ def _forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _link_long(fps: np.ndarray, bits: int) -> np.ndarray:
-    """As ``_forest`` for one long list, 128 rows at a time."""
+    """As ``forest`` for one long list, 128 rows at a time."""
     m = len(fps)
     nodes = root = np.arange(m)
     for row in range(0, m, 128):
@@ -114,7 +114,7 @@ def _link_long(fps: np.ndarray, bits: int) -> np.ndarray:
         later = right > left
         left, right = left[later], right[later]
         ok = _pairs(fps, left, right, bits)
-        root = _forest(m, np.r_[left[ok], nodes], np.r_[right[ok], root])
+        root = forest(m, np.r_[left[ok], nodes], np.r_[right[ok], root])
     return root
 
 
@@ -138,7 +138,7 @@ def link_lists(keys: np.ndarray, fps: np.ndarray, bits: int = BITS) -> tuple[np.
     for start, size in zip(starts[sizes > 64], sizes[sizes > 64]):
         lefts.append(nodes[start : start + size])
         rights.append(start + _link_long(fps[start : start + size], bits))
-    root = _forest(n, np.concatenate(lefts), np.concatenate(rights))
+    root = forest(n, np.concatenate(lefts), np.concatenate(rights))
     moved = np.flatnonzero(root != nodes)
     return fps[moved], fps[root[moved]]
 
@@ -162,22 +162,23 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(keys, fps)
 
 
-def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``(a, b)``: links that span the components of distinct fingerprints ``fps(fp)``.
+def lists(face: str) -> Column:
+    """The lists that a fingerprint is in: a triple's number and the three bytes at its positions."""
+    def byte(p: int) -> Column:
+        return F.shiftrightunsigned(face, 8 * (7 - p)).bitwiseAND(F.lit(255))
+    return F.array(*[F.lit(k << 24) + byte(a) * (1 << 16) + byte(b) * (1 << 8) + byte(c) for k, (a, b, c) in enumerate(TRIPLES)])
+
+
+def deal(index: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``index(list, fp, ...)`` without lists of one row, as ``part, fp, ...``: whole parts in a partition, sorted.
 
     Blocks of a long list are drawn by a hash of the fingerprint; each two
-    blocks are compared in one task, so every pair of the list is.
+    blocks are a part, so every pair of the list is in one.
     """
-    bounded_batches(fps.sparkSession)
-    def byte(p: int):
-        return F.shiftrightunsigned("fp", 8 * (7 - p)).bitwiseAND(F.lit(255))
-    lists = F.array(*[
-        F.lit(k << 24) + byte(a) * (1 << 16) + byte(b) * (1 << 8) + byte(c) for k, (a, b, c) in enumerate(TRIPLES)
-    ])
-    index = fps.select(F.explode(lists).alias("list"), "fp")
+    rest = [c for c in index.columns if c != "list"]
     sizes = index.groupBy("list").agg(F.count("*").alias("n")).where("n > 1")
     met = index.join(sizes, "list").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    short = met.where("blocks = 1").select(F.col("list").alias("part"), "fp")
+    short = met.where("blocks = 1").select(F.col("list").cast("long").alias("part"), *rest)
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     pair = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least(other, "own").alias("i"), F.greatest(other, "own").alias("j"))
@@ -185,9 +186,15 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     # Blocks meet in pairs (i, j); a pair with itself is within each of its pairs.
     long_ones = (
         met.where("blocks > 1").withColumn("own", own).withColumn("pair", F.explode(F.filter(pair, lambda p: p.i < p.j)))
-        .select(F.xxhash64("list", "pair").alias("part"), "fp")
+        .select(F.xxhash64("list", "pair").alias("part"), *rest)
     )
-    dealt = short.unionByName(long_ones).repartition("part").sortWithinPartitions("part", "fp")
+    return short.unionByName(long_ones).repartition("part").sortWithinPartitions("part", "fp")
+
+
+def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``(a, b)``: links that span the components of distinct fingerprints ``fps(fp)``."""
+    bounded_batches(fps.sparkSession)
+    dealt = deal(fps.select(F.explode(lists("fp")).alias("list"), "fp"), block)
     return dealt.mapInArrow(_links, "a long, b long").distinct()
 
 
@@ -217,9 +224,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def by_bits(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For ``keep_one``: ``doc_id, tkey, fp`` of each row, and the groups that links of at most four bits make."""
+    rows = written(fingerprints(docs), "fingerprints")
+    return rows, _placed(rows)
+
+
+def keep_one(docs: DataFrame, groups: Callable[[DataFrame], tuple[DataFrame, DataFrame]] = by_bits) -> DataFrame:
     """``docs`` with one row of each near-duplicate component: the smallest doc_id's, of its texts that of the smallest hash.
 
+    ``groups`` tells what is a component: ``by_bits``, or ``near_copies.by_shingles``.
+
     Rows that repeat that doc_id and text are reduced to one, the smallest by its
     other columns' hash.  Rows without doc_id stay.  Null and empty texts are one
     component.  Extra columns are kept, whatever their names.
@@ -230,8 +245,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     names = [c if c in ("doc_id", "text") else f"_keep{i}" for i, c in enumerate(columns)]
     docs = docs.toDF(*names)
-    rows = written(fingerprints(docs), "fingerprints").where("doc_id is not null")
-    roots = _placed(rows).select(F.col("fp").alias("of"), "root")
+    rows, placed = groups(docs.where("doc_id is not null"))
+    roots = placed.select(F.col("fp").alias("of"), "root")
     texts = rows.groupBy("doc_id", "tkey", "fp").agg(F.count("*").alias("n")).join(roots, F.col("fp") == F.col("of"))
     texts = written(texts.select("doc_id", "tkey", "root", "n"), "texts")
     first = texts.groupBy("root").agg(F.min(F.struct("doc_id", "tkey")).alias("first"))
