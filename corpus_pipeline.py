@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from victual.llm import classifier, lines, mixing, packing, simhash
+from victual.llm import classifier, lines, mixing, near_copies, packing, simhash
 from victual.llm.common import shared_folder, table
 
 
@@ -29,8 +29,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the smallest doc_id; texts without words are a group."""
-    return simhash.keep_one(docs)
+    """One document of each group of texts alike in five-word shingles by 0.8, the smallest doc_id; those without words are a group."""
+    return simhash.keep_one(docs, near_copies.by_shingles)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
