@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.test_operators import prose, slow_dedup, slow_fingerprint, slow_groups, slow_targets
+from tests.llm.test_operators import alike_groups, prose, slow_dedup, slow_targets
 from victual.llm import classifier, packing
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,6 +32,9 @@ def folder(spark, tmp_path_factory):
         labels.append((i, int(good), 0))
     base = prose(77, 40)  # too short for line dedup: left to the fingerprints
     rows += [(200 + k, base if k % 2 else base.upper(), "en", "b", len(base)) for k in range(4)] + [(300, "", "en", "a", 0), (301, None, None, None, None)]
+    short = prose(78, 45)
+    copies = [short, *[" ".join([*short.split(" ")[:k], "other", *short.split(" ")[k + 1 :]]) for k in range(3)]]
+    rows += [(210 + k, t, "en", "b", len(t)) for k, t in enumerate(copies)]
     path = str(tmp_path_factory.mktemp("corpus"))
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
@@ -75,7 +78,8 @@ def test_lines(stages):
 
 def test_near_duplicates(stages):
     before, after, _ = stages[2]
-    groups = slow_groups({r.doc_id: slow_fingerprint(r.text) for r in before})
+    groups = alike_groups({r.doc_id: r.text for r in before})
+    assert {groups[i] for i in range(210, 214)} == {210}  # near copies
     assert sorted(r.doc_id for r in after) == sorted(set(groups.values())) and len(set(groups.values())) < len(groups)
 
 
