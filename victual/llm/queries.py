@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, classifier, licences, lines, mixing, packing, rules, simhash, urls, warc
+from . import ann, classifier, licences, lines, mixing, packing, periodic, rules, simhash, urls, warc
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         simhash.op8_simhash_near_duplicates,
         packing.op9_best_fit_packing,
         mixing.op10_mix_sources,
+        periodic.op11_periodic_runs,
     )
 }
 ORACLE_SQL = {
