@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, classifier, licences, lines, minhash, mixing, packing, periodic, rules, simhash, urls, warc
+from . import ann, classifier, licences, lines, minhash, mixing, packing, periodic, rules, simhash, tries, urls, warc
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +18,7 @@ QUERIES = {
         packing.op9_best_fit_packing,
         mixing.op10_mix_sources,
         periodic.op11_periodic_runs,
+        tries.op12_conversation_trie,
         minhash.op13_minhash_near_duplicates,
     )
 }
@@ -27,4 +28,5 @@ ORACLE_SQL = {
     "op6_url_filters": urls.OP6_SQL,
     "op7_license_scan": licences.OP7_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
+    "op12_conversation_trie": tries.OP12_SQL,
 }
