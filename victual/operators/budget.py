@@ -31,7 +31,12 @@ def weekly_summary(diary: DataFrame, settings: DataFrame, as_of: Column) -> Data
     Energy is summed by owner and day before it meets the settings, so the
     join's input is at most 13 rows for each owner.
     """
-    daily = _around(diary, as_of).groupBy("owner_id", "date").agg(F.sum("nutritionSnapshot.kcal").alias("kcal"))
+    return weekly_summary_of_days(_around(diary, as_of).groupBy("owner_id", "date").agg(F.sum("nutritionSnapshot.kcal").alias("kcal")), settings, as_of)
+
+
+def weekly_summary_of_days(days: DataFrame, settings: DataFrame, as_of: Column) -> DataFrame:
+    """As ``weekly_summary``, of ``days(owner_id, date, kcal)`` that are summed already, as a store keeps them."""
+    daily = _around(days, as_of).select("owner_id", "date", "kcal")
     weeks = settings.select(
         "owner_id", "weekStartsOn", start_of_week(as_of, F.col("weekStartsOn")).alias("week_start"), end_of_week(as_of, F.col("weekStartsOn")).alias("week_end"),
         weekly_target(F.col("calorieTargetMode"), F.col("weeklyCalorieTarget"), F.col("dailyCalorieTarget")).alias("target"),

@@ -73,6 +73,11 @@ def given(rows: DataFrame, typed: str, into: str) -> DataFrame:
     return rows.withColumn(into, parse_decimal(F.col(typed))).where(F.col(into).isNotNull())
 
 
+def loggable(rows: DataFrame, foods: DataFrame, typed: str = "typed", into: str = "amount") -> DataFrame:
+    """The lines that can be logged: their food is there, and their typed amount is a number."""
+    return given(rows, typed, into).join(foods.select(F.col("id").alias("foodId")), "foodId", "left_semi").select(*[c for c in rows.columns if c != into], into)
+
+
 def prefill(existing: DataFrame, drafts: DataFrame) -> DataFrame:
     """Each field of a food, else of its draft, else the default; joined by id.
 

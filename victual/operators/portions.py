@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .nutrition import nutrition, scale
+from .skew import salted_join
 
 UNKNOWN_UNIT, NO_RELATION, MISMATCH, NO_FOOD, ZERO = "unit-not-found", "unit-without-measure", "dimension-mismatch", "food-not-found", "zero-divisor"
 
@@ -73,15 +74,19 @@ def with_portion(rows: DataFrame, strict: bool = False) -> DataFrame:
     return rows.withColumn("portion", portion).drop("_unit", "_grams", "_ml", "_label")
 
 
-def resolve(intake: DataFrame, foods: DataFrame, strict: bool = False) -> DataFrame:
-    """Intake lines beside their foods, with portions.  Foods are one row for each id."""
+def resolve(intake: DataFrame, foods: DataFrame, strict: bool = False, salted: bool = False) -> DataFrame:
+    """Intake lines beside their foods, with portions.  Foods are one row for each id.
+
+    ``salted`` reads the lines once more to find foods that a great part of them name, and spreads those out.
+    """
     known = foods.select(F.col("id").alias("foodId"), F.struct(*[F.col(c) for c in ("id", "name", "nutritionBasis", "nutrition", "servingUnits")]).alias("food"))
-    return with_portion(intake.where(F.col("foodId").isNotNull()).join(known, "foodId", "left"), strict)
+    lines = intake.where(F.col("foodId").isNotNull())
+    return with_portion(salted_join(lines, known, "foodId", "left") if salted else lines.join(known, "foodId", "left"), strict)
 
 
-def diary_snapshots(intake: DataFrame, foods: DataFrame, strict: bool = False) -> DataFrame:
+def diary_snapshots(intake: DataFrame, foods: DataFrame, strict: bool = False, salted: bool = False) -> DataFrame:
     """Diary rows with the food's name and scaled nutrients as of now; lines with an error are left out."""
-    done = resolve(intake, foods, strict).where(F.col("portion.error").isNull())
+    done = resolve(intake, foods, strict, salted).where(F.col("portion.error").isNull())
     return done.select(
         "owner_id", "id", "date", "meal", "foodId", F.col("food.name").alias("foodName"), "amount", "unitId", F.col("portion.label").alias("unitLabel"),
         F.col("portion.grams").alias("grams"), F.col("portion.ml").alias("ml"), F.col("portion.nutrition").alias("nutritionSnapshot"), "createdAt",

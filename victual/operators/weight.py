@@ -38,6 +38,27 @@ def change_over_days(weights: DataFrame, days: int, as_of: Column) -> DataFrame:
     return both.select("owner_id", (F.col("kg") - F.col("prior")).alias("change"))
 
 
+def known_on(days: DataFrame, weights: DataFrame) -> DataFrame:
+    """``days(owner_id, date, ...)`` with ``kg``, the last weight known on that day (null before the first): a backward as-of join.
+
+    Of weigh-ins of one day the greatest id counts; those without a weight count for nothing.  Days and weigh-ins
+    are merged in order of date and the last weight is carried on, so nothing is joined by range.  They are merged
+    month by month, and each month starts with the weight that is known when it begins; so an owner with very many rows isn't one task's.
+    """
+    known = weights.where("kg is not null").groupBy("owner_id", "date").agg(F.max_by("kg", "id").alias("kg"))
+    month = F.trunc("date", "month").alias("_month")
+    ends = known.groupBy("owner_id", month).agg(F.max_by("kg", "date").alias("kg"))
+    asked = days.select("owner_id", month).distinct().select("owner_id", "_month", F.lit(None).cast("double").alias("kg"))
+    months = ends.unionByName(asked).groupBy("owner_id", "_month").agg(F.max("kg").alias("kg"))
+    before = Window.partitionBy("owner_id").orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)
+    starts = months.withColumn("kg", F.last("kg", ignorenulls=True).over(before)).where("kg is not null")
+    marks = known.select("owner_id", month, "date", "kg", F.lit(1).alias("_kind")).unionByName(starts.select("owner_id", "_month", F.lit(None).cast("date").alias("date"), "kg", F.lit(0).alias("_kind")))
+    rows = days.select("owner_id", month, "date", F.struct(*days.columns).alias("_day"), F.lit(2).alias("_kind"))
+    so_far = Window.partitionBy("owner_id", "_month").orderBy("date", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    carried = marks.unionByName(rows, allowMissingColumns=True).withColumn("_known", F.last("kg", ignorenulls=True).over(so_far))
+    return carried.where("_kind = 2").select("_day.*", F.col("_known").alias("kg"))
+
+
 def goal_remaining(weights: DataFrame, settings: DataFrame) -> DataFrame:
     """Latest less goal; owners without a goal (or a goal of 0) are left out."""
     goals = settings.select("owner_id", F.col("profile.goalWeightKg").alias("goal")).where("goal is not null and goal <> 0")

@@ -198,8 +198,8 @@ SELECT owner_id, {_r('kcal')}, {_r('target')}, {_r('kcal / target * 100', 'perce
 SELECT owner_id, position, meal, {_r('kcal')} FROM e""", "diary", "settings"),
     "last_seven_days": _with(
         f""", s AS (SELECT c_custkey AS owner_id, {_DAY} - CAST(unnest([0, 1, 2, 3, 4, 5, 6]) AS INTEGER) AS date FROM customer
-), e AS (SELECT s.owner_id, s.date, sum(kcal) AS kcal FROM s LEFT JOIN diary d ON d.owner_id = s.owner_id AND d.date = s.date GROUP BY ALL)
-SELECT owner_id, date, {_r('kcal')} FROM e""", "diary"),
+), e AS (SELECT s.owner_id, s.date, {", ".join(f"sum({n}) AS {n}" for n in NUTRIENTS)} FROM s LEFT JOIN diary d ON d.owner_id = s.owner_id AND d.date = s.date GROUP BY ALL)
+SELECT owner_id, date, {_known()} FROM e""", "diary"),
     "macro_progress": _with(
         f""", d AS (SELECT owner_id, sum(proteinG) AS proteinG, sum(carbsG) AS carbsG, sum(fatG) AS fatG, sum(fiberG) AS fiberG, sum(sugarsG) AS sugarsG, sum(sodiumMg) AS sodiumMg FROM diary WHERE date = {_DAY} GROUP BY owner_id
 ), j AS (SELECT s.owner_id, t_proteinG, t_carbsG, t_fatG, d.* EXCLUDE (owner_id) FROM settings s LEFT JOIN d ON d.owner_id = s.owner_id
@@ -314,3 +314,52 @@ FROM settings s LEFT JOIN d ON d.owner_id = s.owner_id LEFT JOIN w ON w.owner_id
     "backup_validation": _VALIDATION,
     "streaming_daily_totals": f"SELECT user_id AS owner_id, CAST(ts AS DATE) AS date, {_r('sum(value)', 'kcal')} FROM events WHERE event_type <> 'signup' AND event_id % 11 = 0 GROUP BY ALL",
 }
+
+_K = "CAST(id AS BIGINT)"
+_exact = lambda expression, name: f'floor(({expression} + 2.220446049250313E-16) * 1e8 + 0.5) / 1e8 AS "{name}"'
+_FOUND = " UNION ALL ".join(
+    f"SELECT '{needle}' AS needle, id FROM food WHERE contains(lower(name), '{low}') OR contains(lower(brand), '{low}') OR contains(barcode, '{low}')"
+    for needle, low in ((" Ring ", "ring"), ("7890000000012", "7890000000012"), ("e", "e"), ("ED", "ed"), ("#1", "#1"), ("zzz", "zzz"), ("%", "%"), ("_", "_"))
+)
+_LOST = " UNION ALL ".join(
+    f"SELECT c_custkey AS owner_id, '{table}' AS \"table\", CAST({position} AS INTEGER) AS position, '{id_}' AS id, '{field}' AS field, '{value}' AS value FROM customer WHERE c_custkey % {n} = 0"
+    for n, table, position, id_, field, value in (
+        (11, "settings", 0, "settings", "dailyCalorieTarget", "true"), (13, "foods", 0, "f", "servingUnits[1].grams", '"3"'), (5, "diaryEntries", 1, "b", "date", '"someday"'),
+        (2, "diaryEntries", 1, "b", "grams", '"abc"'), (3, "diaryEntries", 1, "b", "nutritionSnapshot.kcal", '"7"'), (7, "weightEntries", 0, "w", "kg", "{}"),
+    )
+)
+SQL |= {
+    "store_unique_barcodes": _with("SELECT id, barcode, CAST(4 AS INTEGER) AS refused FROM food", "food"),
+    "store_upsert": SQL["upsert_foods"],
+    "store_delete": SQL["delete_foods"],
+    "store_lookup": _with("SELECT 'id' AS by, id, name FROM food WHERE k BETWEEN 5 AND 139 AND k % 14 = 5 UNION ALL SELECT 'barcode', id, name FROM food WHERE k BETWEEN 12 AND 129 AND k % 13 = 12", "food"),
+    "store_daily_sums": _with(
+        f"SELECT owner_id, date, count(*) AS entries, {_exact(f'sum(kcal * CASE WHEN {_K} % 5 = 0 THEN 2 ELSE 1 END)', 'kcal')}, {', '.join(_exact(f'sum({n})', n) for n in NUTRIENTS if n != 'kcal')} FROM diary WHERE {_K} % 7 <> 0 GROUP BY owner_id, date", "diary"),
+    "store_weekly_summary": _with(
+        f""", c AS (
+  SELECT w.owner_id, s, CASE WHEN weekly THEN weekly_target ELSE daily * 7 END AS target, coalesce(sum(kcal), 0.0) AS consumed
+  FROM weeks w LEFT JOIN diary d ON d.owner_id = w.owner_id AND d.date BETWEEN s AND s + 6 GROUP BY ALL
+) SELECT owner_id, s AS week_start, s + 6 AS week_end, {_exact('target', 'target')}, {_exact('consumed', 'consumed')}, {_exact('target - consumed', 'remaining')}, CAST(greatest(1, s + 6 - {_DAY} + 1) AS INTEGER) AS remaining_days FROM c""", "diary", "weeks"),
+    "store_guards": _with("SELECT id, name, CAST(2 AS INTEGER) AS refused FROM food WHERE k % 10 NOT IN (3, 4) AND k % 20 <> 6", "food"),
+    "guard_reasons": _with(
+        """SELECT * FROM (SELECT 'id: missing' AS reason, count(*) AS n FROM food WHERE k % 10 = 4 UNION ALL SELECT 'nutrition: not finite', count(*) FROM food WHERE k % 10 = 3
+UNION ALL SELECT 'servingUnits: not finite', count(*) FROM food WHERE k % 20 = 6) WHERE n > 0""", "food"),
+    "store_stream": _with(f"SELECT owner_id, id, date, meal, 'Quick calories' AS foodName, {_r('amount', 'kcal')} FROM intake WHERE foodId IS NULL", "intake"),
+    "store_erase": f"SELECT c_custkey AS owner_id, {_r('2000.0::DOUBLE', 'daily')}, {_DAY} AS updated, CAST(0 AS INTEGER) AS left FROM customer",
+    "food_search_indexed": _with(_FOUND, "food"),
+    "food_search_many": _with(
+        """, n AS (SELECT upper(p_brand) AS needle FROM part UNION SELECT left(p_name, 2) FROM part UNION SELECT left(p_name, 1) FROM part)
+SELECT needle, id FROM n JOIN food ON contains(lower(name), lower(trim(needle))) OR contains(lower(brand), lower(trim(needle))) OR contains(barcode, lower(trim(needle)))""", "food"),
+    "weight_known_daily": _with(
+        f""", d AS (SELECT DISTINCT owner_id, date FROM diary), w AS (SELECT owner_id, date, arg_max(kg, id) AS kg FROM weight GROUP BY owner_id, date)
+SELECT d.owner_id, d.date, {_r('kg')} FROM d ASOF LEFT JOIN w ON d.owner_id = w.owner_id AND d.date >= w.date""", "diary", "weight"),
+    "hot_food_join": _with("SELECT i.id, i.f AS foodId, name FROM (SELECT id, CASE WHEN e % 2 = 0 THEN '1' ELSE foodId END AS f FROM intake) i LEFT JOIN food_all ON food_all.id = i.f", "intake", "food_all"),
+    "portion_resolution_salted": SQL["portion_resolution"],
+    "loggable_lines": _with(f"SELECT i.id, i.foodId, {_r('i.e + 0.5::DOUBLE', 'amount')} FROM intake i JOIN food ON food.id = i.foodId WHERE i.e % 3 = 0", "intake", "food"),
+    "required_decimals": f"SELECT event_id, {_r('event_id + 0.5::DOUBLE', 'amount')} FROM events",
+    "backup_restore": _with("SELECT food.id, name || ' of ' || max(d.owner_id) AS name, barcode FROM diary d JOIN settings s ON s.owner_id = d.owner_id JOIN food ON food.id = d.foodId GROUP BY food.id, name, barcode", "diary", "settings", "food"),
+    "backup_rejected_values": _LOST,
+    "backup_fragment_entries": SQL["backup_entries"],
+    "backup_repeated_ids": _with(f"SELECT d.owner_id, id, {_r('amount + 1', 'amount')} FROM diary d JOIN settings s ON s.owner_id = d.owner_id", "diary", "settings"),
+    "backup_files": _with(f"SELECT w.owner_id, id, date, {_r('w.kg', 'kg')} FROM weight w JOIN settings s ON s.owner_id = w.owner_id", "weight", "settings"),
+}

@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, numbers
-from ..operators import budget, catalog, energy, forms, labels, portions, products, weight
+from ..operators import budget, catalog, energy, forms, labels, portions, products, search, skew, weight
 from ..schemas import NUTRIENTS
-from ..sources import backup, fixtures as fx, store
-from ..sources.work import shared_folder
+from ..sources import backup, fixtures as fx, guards, store
+from ..sources.work import shared_folder, written
 from ..streaming import daily
 from .oracles import SQL as ORACLE_SQL, backup_cases  # noqa: F401
 
@@ -31,6 +31,11 @@ def _r(column: str | Column, name: str | None = None) -> Column:
     return numbers.round_display(value, 6).alias(name or (column if isinstance(column, str) else ""))
 
 
+def _exact(column: str, name: str | None = None) -> Column:
+    """As ``_r``, to eight digits: the tables' values have seven at most, so exact sums and those of doubles are rounded alike."""
+    return numbers.round_display(F.col(column), 8).alias(name or column)
+
+
 def _nutrients(of: str = "") -> list[Column]:
     return [_r(F.col(of + n), n) for n in NUTRIENTS]
 
@@ -94,7 +99,7 @@ def meal_totals(spark, sf):
 
 @query
 def last_seven_days(spark, sf):
-    return budget.last_days_totals(fx.diary(spark, sf), fx.owners(spark, sf), fx.as_of()).select("owner_id", "date", _r("kcal"))
+    return budget.last_days_totals(fx.diary(spark, sf), fx.owners(spark, sf), fx.as_of()).select("owner_id", "date", *_nutrients())
 
 
 @query
@@ -467,3 +472,253 @@ def streaming_daily_totals(spark, sf):
     return daily.quick_totals(spark, sf)
 
 
+# ------------------------------------------------- the store and what it keeps
+
+
+def _store(spark) -> store.Store:
+    return store.Store(spark, shared_folder(spark, "store"))
+
+
+def _refused(*attempts: Callable[[], None]) -> int:
+    """How many of the changes are refused."""
+    out = 0
+    for attempt in attempts:
+        try:
+            attempt()
+        except ValueError:
+            out += 1
+    return out
+
+
+@query
+def store_unique_barcodes(spark, sf):
+    """Foods that are written in parts; a known barcode under another id is refused however it comes."""
+    kept, foods, k = _store(spark), fx.foods(spark, sf), F.col("id").try_cast("long")
+    kept.replace(foods=foods.where(k % 2 == 0))
+    kept.append("foods", foods.where(k % 2 == 1))
+    twins = foods.where(k % 50 == 0).withColumn("id", F.concat(F.lit("twin"), "id"))
+    taken = foods.where(k % 50 == 1).withColumn("barcode", F.concat(F.lit("789"), F.lpad((k - 1).cast("string"), 10, "0")))
+    refused = _refused(lambda: kept.append("foods", twins), lambda: kept.upsert("foods", twins), lambda: kept.upsert("foods", taken), lambda: kept.replace(foods=foods.unionByName(twins)))
+    return kept.read("foods").select("id", "barcode", F.lit(refused).alias("refused"))
+
+
+@query
+def store_upsert(spark, sf):
+    """Foods changed and added through a store."""
+    kept = _store(spark)
+    kept.replace(foods=fx.foods(spark, sf))
+    kept.save_foods(_food_changes(spark, sf), F.lit("2024-01-24").cast("timestamp"), "_seq")
+    return kept.read("foods").select("id", "name", F.to_date("createdAt").alias("created"), F.to_date("updatedAt").alias("updated"))
+
+
+@query
+def store_delete(spark, sf):
+    kept = _store(spark)
+    kept.replace(foods=fx.foods(spark, sf))
+    kept.delete("foods", fx.foods(spark, sf).where(F.col("name").startswith("red")).select("id"))
+    return kept.read("foods").select("id", "name")
+
+
+@query
+def store_lookup(spark, sf):
+    """Some foods by id and some by barcode, by way of buckets, bounds and filters."""
+    kept, codes = _store(spark), [f"789{k:010d}" for k in range(12, 130, 13)]
+    kept.replace(foods=fx.foods(spark, sf))
+    by_id = kept.lookup("foods", "id", [str(k) for k in range(5, 140, 14)])
+    return by_id.select(F.lit("id").alias("by"), "id", "name").unionByName(kept.lookup("foods", "barcode", codes).select(F.lit("barcode").alias("by"), "id", "name"))
+
+
+@query
+def store_daily_sums(spark, sf):
+    """The sums that a store keeps of its diary, after entries were added, changed and deleted."""
+    diary, kept, k = fx.diary(spark, sf), _store(spark), F.col("id").try_cast("long")
+    kept.replace(diaryEntries=diary.where(F.col("date") < fx.as_of()))
+    kept.append("diaryEntries", diary.where(F.col("date") >= fx.as_of()))
+    twice = F.col("nutritionSnapshot").withField("kcal", F.col("nutritionSnapshot.kcal") * 2)
+    kept.upsert("diaryEntries", diary.where(k % 5 == 0).withColumn("nutritionSnapshot", twice))
+    kept.delete("diaryEntries", diary.where(k % 7 == 0))
+    return kept.daily_sums().select("owner_id", "date", "entries", *[_exact(n) for n in NUTRIENTS])
+
+
+@query
+def store_weekly_summary(spark, sf):
+    """The flagship from the sums that a store keeps; its diary isn't read."""
+    kept, diary = _store(spark), fx.diary(spark, sf)
+    kept.replace(diaryEntries=diary.where(F.col("date") < fx.as_of()))
+    kept.append("diaryEntries", diary.where(F.col("date") >= fx.as_of()))
+    out = budget.weekly_summary_of_days(kept.daily_sums(), fx.settings(spark, sf), fx.as_of())
+    return out.select("owner_id", "week_start", "week_end", _exact("target"), _exact("consumed"), _exact("remaining"), "remaining_days")
+
+
+def _faulty_foods(spark, sf):
+    """Foods of which some have no id, and some numbers that aren't finite."""
+    k, nan = F.col("id").try_cast("long"), F.lit(float("nan"))
+    infinite = F.transform("servingUnits", lambda u: u.withField("quantity", F.lit(float("inf"))))
+    return fx.foods(spark, sf).withColumns({
+        "nutrition": F.when(k % 10 == 3, F.col("nutrition").withField("fatG", nan)).otherwise(F.col("nutrition")),
+        "servingUnits": F.when(k % 20 == 6, infinite).otherwise(F.col("servingUnits")), "id": F.when(k % 10 != 4, F.col("id")),
+    })
+
+
+@query
+def store_guards(spark, sf):
+    """What is stored of rows of which some can't be; all of them are refused unless told otherwise."""
+    kept, rows = _store(spark), _faulty_foods(spark, sf)
+    refused = _refused(lambda: kept.append("foods", rows), lambda: kept.replace(foods=rows))
+    kept.append("foods", rows, rejects="drop")
+    return kept.read("foods").select("id", "name", F.lit(refused).alias("refused"))
+
+
+@query
+def guard_reasons(spark, sf):
+    found = guards.rejected("foods", _faulty_foods(spark, sf)).select("barcode", F.explode("reasons").alias("reason"))
+    return found.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query
+def store_stream(spark, sf):
+    """Quick calories of the events, streamed into a store; the last batch comes again and adds nothing."""
+    e, kept = F.col("event_id"), _store(spark)
+    lines = daily.events(spark, sf).where("event_type <> 'signup' and event_id % 11 = 0").select(
+        e.cast("string").alias("id"), F.col("user_id").alias("owner_id"), F.to_date("ts").alias("date"), F.col("event_type").alias("meal"), F.lit(None).cast("string").alias("foodId"),
+        F.col("value").alias("amount"), F.lit("kcal").alias("unitId"), F.col("ts").cast("timestamp").alias("createdAt"),
+    )
+    daily.into_store(portions.quick_calories(lines), kept, "diaryEntries", "quick", shared_folder(spark, "stream"))
+    if stored := kept.log.latest()[1]["batches"]:
+        kept.sink("diaryEntries", "quick")(portions.quick_calories(fx.intake(spark, sf)), stored["quick"])
+    return kept.read("diaryEntries").select("owner_id", "id", "date", "meal", "foodName", _r("nutritionSnapshot.kcal", "kcal"))
+
+
+@query
+def store_erase(spark, sf):
+    """An emptied store: default settings, and nothing in the other tables."""
+    kept = _store(spark)
+    kept.replace(foods=fx.foods(spark, sf), settings=fx.settings(spark, sf), weightEntries=fx.weights(spark, sf))
+    kept.erase(fx.owners(spark, sf), fx.as_of().cast("timestamp"))
+    left = sum(kept.read(n).count() for n in ("foods", "weightEntries", "diaryEntries")) + kept.daily_sums().count()
+    return kept.read("settings").select("owner_id", _r("dailyCalorieTarget", "daily"), F.to_date("updatedAt").alias("updated"), F.lit(left).alias("left"))
+
+
+# ------------------------------------------------------- lookups, joins, guards
+
+
+def _index(spark, sf):
+    path = shared_folder(spark, "grams")
+    search.write_index(fx.foods(spark, sf), path)
+    return spark.read.parquet(path)
+
+
+@query
+def food_search_indexed(spark, sf):
+    """Long and short needles, one that nothing holds, and letters that are wildcards elsewhere."""
+    foods, grams = fx.foods(spark, sf), _index(spark, sf)
+    found = [search.search(foods, grams, n).select(F.lit(n).alias("needle"), "id") for n in (" Ring ", "7890000000012", "e", "ED", "#1", "zzz", "%", "_")]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+@query
+def food_search_many(spark, sf):
+    """Every brand, and how names begin, searched at once."""
+    parts = fx.table(spark, sf, "part")
+    needles = parts.select(F.upper("p_brand").alias("needle")).union(parts.select(F.left("p_name", F.lit(2)))).union(parts.select(F.left("p_name", F.lit(1)))).distinct()
+    return search.search_many(fx.foods(spark, sf), _index(spark, sf), needles).select("needle", "id")
+
+
+@query
+def weight_known_daily(spark, sf):
+    """Each day of a diary with the weight then known."""
+    days = fx.diary(spark, sf).select("owner_id", "date").distinct()
+    return weight.known_on(days, fx.weights(spark, sf)).select("owner_id", "date", _r("kg"))
+
+
+@query
+def hot_food_join(spark, sf):
+    """Lines of which half name one food, joined with the foods."""
+    lines = fx.intake(spark, sf).select("id", F.when(F.col("id").try_cast("long") % 2 == 0, "1").otherwise(F.col("foodId")).alias("foodId"))
+    return skew.salted_join(lines, fx.all_foods(spark, sf).select(F.col("id").alias("foodId"), "name"), "foodId", "left").select("id", "foodId", "name")
+
+
+@query
+def portion_resolution_salted(spark, sf):
+    """As ``portion_resolution``, by the join for foods that many lines name."""
+    done = portions.resolve(fx.intake(spark, sf), fx.foods(spark, sf), salted=True)
+    return done.select("id", "foodId", "unitId", _r("portion.grams", "grams"), _r("portion.ml", "ml"), "portion.label", *_nutrients("portion.nutrition."), "portion.error")
+
+
+@query
+def loggable_lines(spark, sf):
+    """Lines whose food is there and whose typed amount is a number."""
+    k = F.col("id").try_cast("long")
+    typed = fx.intake(spark, sf).select("id", "foodId", F.when(k % 3 == 0, F.concat("id", F.lit(",5"))).when(k % 3 == 1, " x").alias("typed"))
+    return forms.loggable(typed, fx.foods(spark, sf)).select("id", "foodId", _r("amount"))
+
+
+@query
+def required_decimals(spark, sf):
+    """Numbers that must be given; all of these are."""
+    text = F.concat(F.lit(" "), F.col("event_id").cast("string"), F.lit(",5 "))
+    return fx.table(spark, sf, "events").select("event_id", _r(numbers.required_decimal(text, "amount"), "amount"))
+
+
+# ------------------------------------------------------------------- backups
+
+
+@query
+def backup_restore(spark, sf):
+    """Documents whose copies of a food differ, restored: the last owner's counts."""
+    diary = fx.diary(spark, sf)
+    eaten = diary.where(F.col("foodId").isNotNull()).select("owner_id", F.col("foodId").alias("id")).distinct()
+    mine = eaten.join(fx.foods(spark, sf), "id").withColumn("name", F.concat("name", F.lit(" of "), F.col("owner_id").cast("string")))
+    documents = backup.build(fx.settings(spark, sf), mine.select("owner_id", *fx.foods(spark, sf).columns), diary, fx.weights(spark, sf), F.lit("2024-01-24T00:00:00Z"))
+    kept = _store(spark)
+    backup.restore(kept, written(backup.validate(documents), "documents"))
+    return kept.read("foods").select("id", "name", "barcode")
+
+
+@query
+def backup_rejected_values(spark, sf):
+    """Documents that pass the checks and hold some values of other types."""
+    k = F.col("owner_id")
+    pick = lambda n, bad, good: F.when(k % n == 0, bad).otherwise(good)
+    document = F.concat(
+        F.lit('{"version":1,"settings":{"id":"settings","dailyCalorieTarget":'), pick(11, "true", "2000"), F.lit('},"foods":[{"id":"f","name":"x","nutritionBasis":{"type":"mass"},"nutrition":{"kcal":1},"servingUnits":[{"id":"u"},{"id":"v","grams":'),
+        pick(13, '"3"', "3"), F.lit('}]}],"diaryEntries":[{"id":"a","date":"2024-01-02"},{"id":"b","date":'), pick(5, '"someday"', '"2024-01-01"'), F.lit(',"grams":'), pick(2, '"abc"', "5"),
+        F.lit(',"nutritionSnapshot":{"kcal":'), pick(3, '"7"', "null"), F.lit('}}],"weightEntries":[{"id":"w","date":"2024-01-01","kg":'), pick(7, "{}", "70.5"), F.lit("}]}"),
+    )
+    good = backup.validate(fx.owners(spark, sf).select("owner_id", document.alias("backup"))).where("error is null")
+    return backup.rejected_values(good)
+
+
+@query
+def backup_fragment_entries(spark, sf):
+    """The diary as it's read again from the pieces of documents."""
+    diary = fx.diary(spark, sf)
+    eaten = diary.where(F.col("foodId").isNotNull()).select("owner_id", F.col("foodId").alias("id")).distinct()
+    mine = eaten.join(fx.foods(spark, sf), "id").select("owner_id", *fx.foods(spark, sf).columns)
+    pieces = written(backup.fragments(fx.settings(spark, sf), mine, diary, fx.weights(spark, sf), F.lit("2024-01-24T00:00:00Z")), "fragments")
+    diary = backup.read_fragments(pieces)["diaryEntries"]
+    return diary.select("owner_id", "id", "date", "meal", "foodId", "foodName", _r("amount"), "unitId", _r("grams"), _r("ml"), "unitLabel", *_nutrients("nutritionSnapshot."), F.to_date("createdAt").alias("created"))
+
+
+@query
+def backup_repeated_ids(spark, sf):
+    """Documents that hold each entry twice: the last one stays."""
+    diary = fx.diary(spark, sf)
+    again = diary.unionByName(diary.withColumn("amount", F.col("amount") + 1))
+    documents = backup.build(fx.settings(spark, sf), fx.foods(spark, sf).limit(0).withColumn("owner_id", F.lit(0).cast("long")), again, fx.weights(spark, sf), F.lit("2024-01-24T00:00:00Z"))
+    return backup.read(documents)["diaryEntries"].select("owner_id", "id", _r("amount"))
+
+
+@query
+def backup_files(spark, sf):
+    """Weigh-ins written as a file for each owner, and read again."""
+    settings = fx.settings(spark, sf)
+    none = fx.diary(spark, sf).limit(0)
+    documents = backup.build(settings, fx.foods(spark, sf).limit(0).withColumn("owner_id", F.lit(0).cast("long")), none, fx.weights(spark, sf), F.lit("2024-01-24T00:00:00Z"), pretty=True)
+    path = shared_folder(spark, "files")
+    backup.export_files(documents, path)
+    weights = backup.read(backup.import_files(spark, path).where("error is null"))["weightEntries"]
+    return weights.select("owner_id", "id", "date", _r("kg"))

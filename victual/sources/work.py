@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders that this process has made: what ``remove_work`` clears.
+_made: dict[str, SparkSession] = {}
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder in ``spark.checkpoint.dir``; a temporary one only where a local session leaves that unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -16,7 +20,18 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="victual-")
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made[path] = spark
+    return path
+
+
+def remove_work() -> int:
+    """Delete the work folders made so far, once what was read from them is written elsewhere or not needed; how many."""
+    for path, spark in (gone := dict(_made)).items():
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        del _made[path]
+    return len(gone)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import round_display
+from ..sources.store import Store
 from ..sources.work import shared_folder
 
 
@@ -18,16 +19,26 @@ def daily_energy(entries: DataFrame, time: str = "at", late: str = "2 days") ->
     return entries.withWatermark(time, late).groupBy("owner_id", F.window(time, "1 day")).agg(F.sum("kcal").alias("kcal"))
 
 
-def quick_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``owner_id, date, kcal`` of the events without a food, read as a stream until it is exhausted."""
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream."""
     path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
     # A stream reads folders; a table of a single file is picked from its folder by name.
     folder, _, name = path.rpartition("/")
-    source = spark.readStream.schema(schema)
+    source = spark.readStream.schema(spark.read.parquet(path).schema)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     single = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isFile()
-    stream = source.option("pathGlobFilter", name).parquet(folder) if single else source.parquet(path)
+    return source.option("pathGlobFilter", name).parquet(folder) if single else source.parquet(path)
+
+
+def into_store(rows: DataFrame, store: Store, name: str, stream: str, checkpoint: str) -> None:
+    """Append all that a stream has to a table of a store; a batch that is run again adds nothing."""
+    running = rows.writeStream.foreachBatch(store.sink(name, stream)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    running.awaitTermination()
+
+
+def quick_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``owner_id, date, kcal`` of the events without a food, read as a stream until it is exhausted."""
+    stream = events(spark, sf_dir)
     rows = stream.where("event_type <> 'signup' and event_id % 11 = 0").select(F.col("user_id").alias("owner_id"), F.col("ts").cast("timestamp").alias("at"), F.col("value").alias("kcal"))
     place = shared_folder(spark, "daily")
     folders: list[str] = []
