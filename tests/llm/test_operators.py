@@ -170,6 +170,32 @@ def test_links_of_crowded_lists(spark, block):
     assert by_root({i: got.get(p, p) for i, p in signed.items()}) == by_root(want)
 
 
+def test_work_of_a_long_list_follows_its_length(spark):
+    """Fingerprints that share three bytes and nothing else: what is dealt grows as their number, and no link is lost."""
+    dealt = {}
+    for n in (2000, 8000):
+        draw = np.random.default_rng(n)
+        fps = np.unique(np.uint64(0xABCDEF) << np.uint64(40) | draw.integers(0, 1 << 40, n, np.uint64))
+        table = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+        dealt[n] = simhash.deal(simhash.split_lists(table, 128), 128).count()
+    assert dealt[8000] < 6 * dealt[2000]
+
+
+def test_lists_are_split_without_loss(spark):
+    """Each pair of up to four differing bits shares a list at every depth of splitting."""
+    draw = random.Random(8)
+    base = draw.getrandbits(64)
+    shapes = [draw.sample(range(64), 4) for _ in range(40)] + [[8 * a + draw.randrange(8) for a in draw.sample(range(8), 4)] for _ in range(40)] + [[8 * draw.randrange(8) + k for k in range(4)] for _ in range(5)]
+    pairs = [(base ^ (k << 32), base ^ (k << 32) ^ sum(1 << b for b in bits)) for k, bits in enumerate(shapes)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    table = spark.createDataFrame([(signed(x),) for x in {x for pair in pairs for x in pair}], "fp long")
+    for block in (1, 20, 10_000):
+        held = {}
+        for r in simhash.split_lists(table, block).collect():
+            held.setdefault(r.fp, set()).add(r.list)
+        assert all(held[signed(a)] & held[signed(b)] for a, b in pairs), block
+
+
 def test_long_lists_in_slices():
     draw = np.random.default_rng(5)
     fps = np.uint64(12345) ^ (np.uint64(1) << draw.integers(0, 64, 300, np.uint64))

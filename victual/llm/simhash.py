@@ -17,7 +17,14 @@ are 20 sets of three positions such that any four positions contain one of them
 holds one in 2**24 of what is unrelated.
 
 Equal fingerprints are one class before anything is paired.  A list that is
-long all the same is cut into blocks, and each two blocks meet in a task of
+long all the same is split, by what any of its pairs must share besides:
+
+* a fourth position and its byte, as a pair shares four and the list holds three of them;
+* if that is long still, one of the four bytes left but for one of its bits: four
+  differing bits over four bytes leave a byte with one at most.
+
+Each fingerprint of a long list is copied a fixed number of times, whatever the list's length.  What is long
+after both is cut into blocks, and each two blocks meet in a task of
 their own; a task gives a spanning forest of the links it finds, never all
 pairs.  So the work of a long list is spread out and its output stays linear.
 """
@@ -191,10 +198,42 @@ def deal(index: DataFrame, block: int = BLOCK) -> DataFrame:
     return short.unionByName(long_ones).repartition("part").sortWithinPartitions("part", "fp")
 
 
+def _long(index: DataFrame, block: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of ``index(list, ...)`` in lists of up to ``block`` rows, and those in longer ones (None if there are none)."""
+    crowded = written(index.groupBy("list").agg(F.count("*").alias("n")).where(F.col("n") > block).select("list"), "crowded")
+    if crowded.isEmpty():
+        return index, None
+    return index.join(crowded, "list", "left_anti"), index.join(crowded, "list", "left_semi")
+
+
+def _left_over(used: str) -> Column:
+    """The positions that aren't in a list's bitmap of those it is made of."""
+    return F.filter(F.array(*[F.lit(p) for p in range(8)]), lambda p: F.expr(used).bitwiseAND(F.call_function("shiftleft", F.lit(1), p)) == 0)
+
+
+def split_lists(fps: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``list, fp``: the lists of distinct fingerprints, those of more than ``block`` rows split twice; a pair within reach shares one."""
+    kinds = F.array(*[F.lit(sum(1 << p for p in triple)) for triple in TRIPLES])
+    index = fps.select("fp", F.posexplode(lists("fp")).alias("k", "list")).select(F.col("list").cast("long").alias("list"), F.get(kinds, F.col("k")).alias("used"), "fp")
+    short, rest = _long(index, block)
+    out = short.select("list", "fp")
+    at = F.expr("cast(shiftrightunsigned(fp, 8 * (7 - p)) & 255 as int)")
+    used = F.expr("used | shiftleft(1, p)").alias("used")
+    if rest is not None:
+        fourth = rest.withColumn("p", F.explode(_left_over("used"))).select(F.xxhash64("list", "p", at).alias("list"), used, "fp")
+        short, rest = _long(fourth, block)
+        out = out.unionByName(short.select("list", "fp"))
+    if rest is not None:
+        one = F.explode(F.array(*[F.lit(1 << k) for k in range(8)]))
+        fifth = rest.withColumn("p", F.explode(_left_over("used"))).withColumn("bit", one)
+        out = out.unionByName(fifth.select(F.xxhash64("list", "p", "bit", at.bitwiseAND(F.bitwise_not("bit"))).alias("list"), "fp"))
+    return out
+
+
 def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     """``(a, b)``: links that span the components of distinct fingerprints ``fps(fp)``."""
     bounded_batches(fps.sparkSession)
-    dealt = deal(fps.select(F.explode(lists("fp")).alias("list"), "fp"), block)
+    dealt = deal(split_lists(fps, block), block)
     return dealt.mapInArrow(_links, "a long, b long").distinct()
 
 
