@@ -918,6 +918,21 @@ def test_whole_licence_texts(spark):
     assert {r.doc_id: r.license for r in got} == {i: n for i, (n, _) in cases.items() if n}
 
 
+def test_copyright_lines_of_many_shapes(spark):
+    """What stands above a licence in practice doesn't hide it."""
+    mit = licences.text_of("MIT")
+    heads = [
+        "Copyright Jane Doe", "# Copyright Jane Doe and others", "Copyright (c) 2019 A\nAll rights reserved.\nCopyright (c) 2020 B. All rights reserved.", "Portions Copyright (c) 2020 X", "Portions Copyright Example Corp.",
+        "Copyright (c) 2020 Jane Doe,\nJohn Roe and\nthe Example Project", "SPDX-License-Identifier: MIT\n\nCopyright (c) 2020 Jane", "Expat License", "The MIT License\n\nCopyright \u00a9 2001 - 2020, Jane &\nJohn",
+    ]
+    rows = [(i, f"{head}\n\n{mit}", "s") for i, head in enumerate(heads)]
+    rows += [(100, "SPDX-License-Identifier: GPL-2.0-or-later\n" + licences.text_of("GPL-2.0"), "s"), (101, "Copyright Holder means anyone.\n" + mit, "s"), (102, "x\nSPDX-License-Identifier: GPL-3.0-or-later", "s"), (103, "x\n// SPDX-License-Identifier: AGPL-3.0-only", "s")]
+    got = licences.scan_licenses(docs(spark, *rows)).collect()
+    whole = {r.doc_id: r.license for r in got if r.scope == "document"}
+    assert whole == {i: "MIT" for i in range(len(heads))} | {100: "GPL-2.0"}
+    assert {r.doc_id: r.license for r in got if r.scope == "line" and r.doc_id > 101} == {102: "GPL-3.0-or-later", 103: "AGPL-3.0"}
+
+
 def test_two_licences_with_one_text(spark):
     found = licences.scan_licenses(docs(spark, (1, "the same words", "s")), [("b", "The same: words."), ("a", "the SAME words")])
     assert [(r.license, r.scope, r.hits) for r in found.orderBy("scope").collect()] == [("a", "document", 1), ("a", "line", 1)]

@@ -30,6 +30,7 @@ TITLES = {
     "BSD-2-Clause": ("BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "The BSD 2-Clause License", "Simplified BSD License"),
     "BSD-3-Clause": ("BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "The BSD 3-Clause License", "New BSD License"),
     "BSL-1.0": (),
+    "CC-BY-SA-4.0": ("Creative Commons Attribution-ShareAlike 4.0 International",),
     "CC0-1.0": (),
     "GPL-1.0": (),
     "GPL-2.0": (),
@@ -38,12 +39,16 @@ TITLES = {
     "LGPL-2.0": (),
     "LGPL-2.1": (),
     "LGPL-3.0": (),
-    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT", "MIT License (MIT)"),
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT", "MIT License (MIT)", "Expat License", "The Expat License"),
     "MPL-1.1": (),
     "MPL-2.0": (),
+    "OFL-1.1": (),
     "Unlicense": ("The Unlicense",),
     "Zlib": ("zlib License", "The zlib License"),
 }
+#: How the identifiers of these end; others are the licence's name.
+SPDX = {name: ("-only", "-or-later") for name in ("GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")}
+TITLES = {name: (*titles, *(f"SPDX-License-Identifier: {name}{end}" for end in SPDX.get(name, ("",)))) for name, titles in TITLES.items()}
 #: What ends the terms, before an appendix that is often left out.
 END = "END OF TERMS AND CONDITIONS"
 RESERVED = "All rights reserved."
@@ -56,10 +61,8 @@ NOTICES = (
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
-    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "Licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
     ("ISC", "SPDX-License-Identifier: ISC"),
     ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
     ("Unlicense", "SPDX-License-Identifier: Unlicense"),
@@ -68,7 +71,13 @@ NOTICES = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
     ("all-rights-reserved", RESERVED),
+    *((name if end == "-only" else name + end, f"SPDX-License-Identifier: {name}{end}") for name, ends in SPDX.items() for end in ends),
+    *((name, f"SPDX-License-Identifier: {name}") for name in ("0BSD", "BSD-4-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "EPL-1.0", "EPL-2.0", "MPL-1.1", "NCSA", "OFL-1.1", "Zlib")),
 )
+#: What "Copyright" is followed by, beginning with a capital, where it isn't a holder's name.
+NO_HOLDERS = ("Act", "And", "Disclaimer", "Holder", "Interest", "Law", "License", "Licence", "Notice", "Owner", "Permission", "Right", "Statement", "Treat")
+#: A holder without a sign or year, over text as it is written.
+HOLDER = r"(^|\n)[^\p{L}\p{N}\n(©]*(Portions[ \t]+)?Copyright[ \t]+\p{Lu}[^\n]*"
 #: (pattern, replacement), in order, over lower-cased text.  Java's and RE2's engines read them alike.
 PATTERNS = (
     # The notice at a copyright line's end stays.
@@ -76,12 +85,13 @@ PATTERNS = (
     # The foundation's address, which moved.
     (r"[0-9]+\s+(franklin\s+st|temple\s+pl)[^.;]{0,80}?usa", " "),
     # Copyright lines: the word or a sign, then a sign, a year, a placeholder or holders that are named as such.
-    # "Copyright notice" and a point (c) of a list are no copyright line.
+    # "Copyright notice" and a point (c) of a list are no copyright line.  Holders go on in the next line after a comma, "and" or "&".
     (
-        r"(^|\n)[^\p{L}\p{N}\n(©]*((copyright|\(c\)|©)[ \t,:]*(\(c\)|©|[0-9]{4}|[\[<{]|by[ \t]|the[ \t][^\n]*(authors|contributors|foundation|regents))|©)[^\n]*",
+        r"(^|\n)[^\p{L}\p{N}\n(©]*(portions[ \t]+)?((copyright|\(c\)|©)[ \t,:]*(\(c\)|©|[0-9]{4}|[\[<{]|by[ \t]|the[ \t][^\n]*(authors|contributors|foundation|regents))|©)([^\n]*(,|&|[ \t]and)[ \t]*\n)*[^\n]*",
         " ",
     ),
     (r"[^\p{L}\p{N}]+", " "),
+    (r"(all rights reserved )+all rights reserved", "all rights reserved"),
 )
 #: (spelling, equivalent), in order, over words between single spaces.  Fixed values: spellings
 #: that licence texts use for each other.
@@ -122,7 +132,10 @@ def catalogue() -> list[tuple[str, str]]:
 
 def canonical(text: Column) -> Column:
     """Lower-cased words between single spaces, without copyright lines, in one of equivalent spellings."""
-    out = F.lower(text)
+    out = text
+    for word in NO_HOLDERS:
+        out = F.replace(out, F.lit(f"Copyright {word}"), F.lit(f"copyright {word}"))
+    out = F.lower(F.regexp_replace(out, HOLDER, " "))
     for pattern, replacement in PATTERNS:
         out = F.regexp_replace(out, pattern, replacement)
     out = F.concat(F.lit(" "), out, F.lit(" "))
@@ -158,9 +171,9 @@ def scan_licenses(docs: DataFrame, texts: Iterable[tuple[str, str]] | None = Non
     if len(texts) <= BROADCAST_TEXTS:
         known = F.broadcast(known)
     text = F.coalesce("text", F.lit(""))
-    whole = docs.select("doc_id", text.alias("unit"), F.lit("document").alias("scope"))
-    lines = docs.select("doc_id", F.explode(F.split(text, "\n")).alias("unit"), F.lit("line").alias("scope"))
-    units = whole.unionByName(lines).select("doc_id", "scope", _digest(canonical(F.col("unit"))).alias("digest"))
+    # The whole text and its lines, in one pass over the table.
+    units = docs.select("doc_id", F.posexplode(F.concat(F.array(text), F.split(text, "\n"))).alias("_at", "unit"))
+    units = units.select("doc_id", F.when(F.col("_at") == 0, "document").otherwise("line").alias("scope"), _digest(canonical(F.col("unit"))).alias("digest"))
     found = units.join(known, "digest")
     return found.groupBy("doc_id", "license", "scope").agg(F.count("*").alias("hits"))
 
@@ -171,7 +184,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _canonical_sql(text: str) -> str:
-    out = f"lower({text})"
+    out = text
+    for word in NO_HOLDERS:
+        out = f"replace({out}, 'Copyright {word}', 'copyright {word}')"
+    out = f"lower(regexp_replace({out}, '{HOLDER}', ' ', 'g'))"
     for pattern, replacement in PATTERNS:
         out = f"regexp_replace({out}, '{pattern}', '{replacement}', 'g')"
     out = f"' ' || {out} || ' '"
