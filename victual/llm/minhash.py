@@ -12,8 +12,9 @@
 A crowded list never gives all its pairs.  First each class is confirmed against the smallest
 member of its lists, the one that most of them name, and what is linked becomes a cluster.  From
 then on only pairs across clusters count, as others change nothing: in a list, all but its largest cluster are
-compared with everything else, in blocks; first the best partner of each is confirmed,
-which merges most, then all that are left.  So work follows what isn't alike, and no link between components is passed over.
+compared with everything else, in blocks.  First the best partners of each are confirmed, in a few rounds,
+which merges nearly all that can be; then all pairs that are left are refuted or proposed where their blocks meet, by 32 bits
+of each shingle.  So no pair is written that isn't nearly certain to be a link, and no link between components is passed over.
 """
 
 from __future__ import annotations
@@ -35,9 +36,11 @@ SHINGLE, LIKE = 5, 80
 BANDS, ROWS = 48, 5
 SLACK = 5.0
 #: Classes of a block; each two blocks of a list meet in a task of their own.
-BLOCK = 1024
+BLOCK = 512
 #: Band keys that a class shares with its smallest partner at least, for the two to be confirmed before others.
 SHARED = 3
+#: Rounds in which best partners are confirmed; each looks for them in its share of the lists.
+ROUNDS = 2
 #: Texts that one task confirms against others: those that it holds, and those that pass by.
 HELD, PASSING = 64, 512
 _draw = np.random.default_rng(20)
@@ -178,32 +181,8 @@ def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int) ->
 # --------------------------------------------------------------- candidates
 
 
-def _compared(batches: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs across clusters whose signatures are alike, of rows sorted by part: all, or the best of each row outside the list's largest cluster."""
-    least = (LIKE / 100 - SLACK * (LIKE / 100 * (1 - LIKE / 100) / (BANDS * ROWS)) ** 0.5) * BANDS * ROWS
-
-    def out(rows: pa.RecordBatch) -> pa.RecordBatch:
-        node, root, block, main, of = (rows.column(n).to_numpy(zero_copy_only=False) for n in ("node", "root", "block", "main", "of"))
-        marks = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-        other = np.flatnonzero(~main)
-        lone = (block == block[0]).all()  # the part is a block by itself, else two that meet
-        a, b, alike = [], [], []
-        for i in other.tolist():
-            there = root != root[i]
-            if not lone:
-                there &= block != block[i]
-            if not best:  # once a pair
-                there &= main | (node > node[i])
-            if len(at := np.flatnonzero(there)):
-                same = (marks[at] == marks[i]).sum(axis=1, dtype=np.int32)
-                near = np.flatnonzero(same >= least)
-                if best:
-                    near = near[np.argsort(-same[near], kind="stable")[:1]]
-                a += [int(node[i])] * len(near)
-                b += node[at[near]].tolist()
-                alike += same[near].tolist()
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([int(of[0])] * len(a), pa.int64()), pa.array(alike, pa.int32())], names=["a", "b", "of", "alike"])
-
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each part, which are sorted by it."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         keys = batch.column("part").to_numpy(zero_copy_only=False)
@@ -212,15 +191,89 @@ def _compared(batches: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.Reco
             if b == a:
                 continue
             if held and held[0].column("part")[0].as_py() != keys[a]:
-                yield out(pa.concat_batches(held))
+                yield pa.concat_batches(held)
                 held = []
             held.append(batch.slice(a, b - a))
     if held:
-        yield out(pa.concat_batches(held))
+        yield pa.concat_batches(held)
+
+
+def _facing(rows: pa.RecordBatch) -> tuple[np.ndarray, Iterator[tuple[int, np.ndarray]]]:
+    """A part's nodes, and for each row outside the list's largest cluster itself and the rows of other clusters that it meets."""
+    node, root, block, main = (rows.column(n).to_numpy(zero_copy_only=False) for n in ("node", "root", "block", "main"))
+    alone = (block == block[0]).all()  # the part is a block by itself, else two that meet
+
+    def each() -> Iterator[tuple[int, np.ndarray]]:
+        for i in np.flatnonzero(~main).tolist():
+            yield i, np.flatnonzero((root != root[i]) & (alone | (block != block[i])))
+
+    return node, each()
+
+
+def _alike(batches: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.RecordBatch]:
+    """What signatures tell of the pairs across clusters: the best partners of each row outside the largest cluster, or all rows with a partner."""
+    total = BANDS * ROWS
+    least = (LIKE / 100 - SLACK * (LIKE / 100 * (1 - LIKE / 100) / total) ** 0.5) * total
+    for rows in _parts(batches):
+        node, pairs = _facing(rows)
+        marks = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(-1, total)
+        main = rows.column("main").to_numpy(zero_copy_only=False)
+        a, b, alike, met = [], [], [], np.zeros(len(node), bool)
+        for i, at in pairs:
+            same = (marks[at] == marks[i]).sum(axis=1, dtype=np.int32)
+            near = np.flatnonzero(same >= least)
+            if not len(near):
+                continue
+            if not best:
+                met[i] = met[at[near]] = True
+                continue
+            order = near[np.argsort(-same[near], kind="stable")]
+            for k in {order[0], *order[main[at[order]]][:1]}:  # of all clusters, and of the largest
+                a.append(int(node[i]))
+                b.append(int(node[at[k]]))
+                alike.append(int(same[k]))
+        if best:
+            of = rows.column("of")[0].as_py()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([of] * len(a), pa.int64()), pa.array(alike, pa.int32())], names=["a", "b", "of", "alike"])
+        else:
+            yield rows.filter(pa.array(met)).select(["part", "node", "root", "block", "main", "of"])
+
+
+def _refuted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs across clusters whose sets may be alike, by 32 bits of each shingle: equal bits are never fewer than equal shingles."""
+    for rows in _parts(batches):
+        node, pairs = _facing(rows)
+        prints = [np.frombuffer(p, np.uint32) for p in rows.column("prints").to_pylist()]
+        sizes = np.array([len(p) for p in prints])
+        words, place = np.unique(np.concatenate(prints), return_inverse=True)
+        common = np.bincount(place) > 1
+        slot = np.cumsum(common) - 1
+        of_row = np.repeat(np.arange(len(prints)), sizes)
+        kept = common[place]
+        of_row, place = of_row[kept], slot[place[kept]]
+        shared = np.zeros((len(prints), len(prints)), np.float32)
+        for at in range(0, int(common.sum()), 2048):  # bounded memory: so many distinct shingles at a time
+            here = (place >= at) & (place < at + 2048)
+            held = np.zeros((len(prints), 2048), np.float32)
+            np.add.at(held, (of_row[here], place[here] - at), 1)
+            shared += held @ held.T
+        a, b = [], []
+        for i, at in pairs:
+            ok = at[(100 + LIKE) * shared[i, at] >= LIKE * (sizes[i] + sizes[at])]
+            a += [int(node[i])] * len(ok)
+            b += node[ok].tolist()
+        of = rows.column("of")[0].as_py()
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, [of] * len(a))], names=["a", "b", "of"])
+
+
+def _printed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        prints = [(shingles(t.as_buffer().to_pybytes(), size) >> np.uint64(32)).astype(np.uint32).tobytes() for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(prints, pa.binary())], names=["node", "prints"])
 
 
-def across(met: DataFrame, roots: DataFrame, classes: DataFrame, best: bool, block: int) -> DataFrame:
-    """``a, b, of``: pairs of ``met(list, node)`` whose clusters ``roots(node, root)`` differ and whose signatures are alike.
+def dealt(met: DataFrame, roots: DataFrame, block: int) -> DataFrame:
+    """The rows of ``met(list, node)`` in lists of more than one cluster of ``roots(node, root)``, in parts where blocks meet.
 
     A list's largest cluster isn't compared with itself, so its blocks only meet those of the others.
     """
@@ -236,10 +289,31 @@ def across(met: DataFrame, roots: DataFrame, classes: DataFrame, best: bool, blo
     first = F.when(F.col("main"), F.col("mains")).otherwise(F.lit(0))
     facing = rows.withColumn("facing", F.explode(F.sequence(first, F.col("mains") + F.col("others") - 1)))
     part = F.xxhash64("list", F.least("block", "facing"), F.greatest("block", "facing"))
-    dealt = facing.select(part.alias("part"), "node", "root", "block", "main", "of").join(classes.select("node", "signature"), "node")
-    pairs = dealt.repartition("part").sortWithinPartitions("part", "node").mapInArrow(partial(_compared, best=best), "a long, b long, of long, alike int")
-    if best:
-        pairs = pairs.groupBy("a").agg(F.max_by(F.struct("b", "of"), F.struct("alike", -F.col("b"))).alias("to")).select("a", "to.*")
+    return facing.select(part.alias("part"), "node", "root", "block", "main", "of")
+
+
+def _in_parts(rows: DataFrame) -> DataFrame:
+    return rows.repartition("part").sortWithinPartitions("part", "node")
+
+
+def best_partners(met: DataFrame, roots: DataFrame, classes: DataFrame, block: int) -> DataFrame:
+    """``a, b, of``: for each class outside its lists' largest clusters, the partners in other clusters of the most alike signatures."""
+    rows = _in_parts(dealt(met, roots, block).join(classes.select("node", "signature"), "node"))
+    pairs = rows.mapInArrow(partial(_alike, best=True), "a long, b long, of long, alike int")
+    pick = F.max_by(F.struct("b", "of"), F.struct("alike", -F.col("b"))).alias("to")
+    return written(pairs.groupBy("a", "of").agg(pick).select("a", "to.*"), "candidates")
+
+
+def all_partners(docs: DataFrame, met: DataFrame, roots: DataFrame, classes: DataFrame, size: int, block: int) -> DataFrame:
+    """``a, b, of``: every pair across clusters that shares a list, but for those that signatures or shingles' bits refute.
+
+    Pairs are refuted where their blocks meet, so none is ever written that could not be a link.
+    """
+    rows = _in_parts(dealt(met, roots, block).join(classes.select("node", "signature"), "node"))
+    kind = "part long, node long, root long, block int, main boolean, of long"
+    near = written(rows.mapInArrow(partial(_alike, best=False), kind), "near")
+    prints = texts_of(docs, classes, near.select("node").distinct()).mapInArrow(partial(_printed, size=size), "node long, prints binary")
+    pairs = _in_parts(near.join(prints, "node")).mapInArrow(_refuted, "a long, b long, of long")
     return written(pairs.groupBy("a", "b").agg(F.min("of").alias("of")), "candidates")
 
 
@@ -251,11 +325,38 @@ def links(docs: DataFrame, classes: DataFrame, size: int, block: int = BLOCK) ->
     shared = met.where("node <> first").repartition("node").groupBy("node", "first").agg(F.count("*").alias("n"))
     named = shared.groupBy("node").agg(F.max_by(F.struct("first", "n"), F.struct("n", -F.col("first"))).alias("to")).where(F.col("to.n") >= SHARED)
     found = confirm(docs, classes, named.select(F.col("to.first").alias("a"), F.col("node").alias("b"), F.col("to.first").alias("of")), size)
-    for best in (True, False):
-        pairs = across(met, components(found), classes, best, block)
-        if not pairs.isEmpty():
-            found = found.unionByName(confirm(docs, classes, pairs, size))
-    return found
+    roots = components(found)
+    for k in range(ROUNDS):  # each merges the clusters that have a link with what looks most alike to them, in its share of the lists; what is left is compared in full
+        share = met.where(F.pmod("list", F.lit(ROUNDS)) == k)
+        more = confirm(docs, classes, best_partners(share, roots, classes, block), size)
+        if more.isEmpty():
+            continue
+        found = found.unionByName(more)
+        roots = components(found)
+    return found.unionByName(confirm(docs, classes, all_partners(docs, met, roots, classes, size, block), size))
+
+
+def _placed(docs: DataFrame, size: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows, and ``skey, node, least, root`` of each distinct set that isn't empty."""
+    bounded_batches(docs.sparkSession)
+    rows = written(sketches(docs, size), "sketches")
+    some = rows.where("n_shingles > 0").groupBy("skey").agg(
+        F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "tkey")).alias("rep"), F.first("signature").alias("signature"), F.first("bands").alias("bands")
+    )
+    # Numbers are given as the table is written, so they are the same whenever it is read.
+    classes = written(some.withColumn("node", F.monotonically_increasing_id()), "classes")
+    roots = components(links(docs, classes, size, block))
+    return rows, classes.select("skey", "node", "least").join(roots, "node", "left").select("skey", "node", "least", F.coalesce("root", "node").alias("root"))
+
+
+def by_shingles(docs: DataFrame, size: int = SHINGLE, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """For ``simhash.keep_one``: ``doc_id, tkey, fp`` of each row whose text has words, and the groups that links of ``LIKE`` percent make.
+
+    A text without words is in no group, so it stays.
+    """
+    rows, placed = _placed(docs, size, block)
+    own = rows.where("n_shingles > 0").join(placed.select("skey", F.col("node").alias("fp")), "skey").select("doc_id", "tkey", "fp")
+    return own, placed.select(F.col("node").alias("fp"), "least", "root")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, block: int = BLOCK) -> DataFrame:
@@ -269,15 +370,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, block: int = BLOCK) ->
     is never the smallest unless alone.  Very long texts are read whole.  Repeated rows each keep
     their row; rows of one doc_id with different texts are judged by their texts.  An empty table gives an empty result, and extra columns are ignored.
     """
-    bounded_batches(docs.sparkSession)
-    rows = written(sketches(docs, size), "sketches")
-    some = rows.where("n_shingles > 0").groupBy("skey").agg(
-        F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "tkey")).alias("rep"), F.first("signature").alias("signature"), F.first("bands").alias("bands")
-    )
-    # Numbers are given as the table is written, so they are the same whenever it is read.
-    classes = written(some.withColumn("node", F.monotonically_increasing_id()), "classes")
-    roots = components(links(docs, classes, size, block))
-    placed = classes.select("skey", "node", "least").join(roots, "node", "left").select("skey", "least", F.coalesce("root", "node").alias("root"))
+    rows, placed = _placed(docs, size, block)
     members = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("skey", "component_id")
     out = rows.select("doc_id", "skey", "n_shingles").where("n_shingles > 0").join(members, "skey").select("doc_id", "n_shingles", "component_id")
     alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -272,7 +272,7 @@ def by_bits(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def keep_one(docs: DataFrame, groups: Callable[[DataFrame], tuple[DataFrame, DataFrame]] = by_bits) -> DataFrame:
     """``docs`` with one row of each near-duplicate component: the smallest doc_id's, of its texts that of the smallest hash.
 
-    ``groups`` tells what is a component: ``by_bits``, or ``near_copies.by_shingles``.
+    ``groups`` tells what is a component: ``by_bits``, or ``minhash.by_shingles``.
 
     Rows that repeat that doc_id and text are reduced to one, the smallest by its
     other columns' hash.  Rows without doc_id stay.  Null and empty texts are one
