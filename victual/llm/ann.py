@@ -35,8 +35,8 @@ from .common import table, written
 TOP = 20
 EPSILON = 1.5
 PLANES = 8
-#: Rows and queries that meet in one task.
-ROWS, QUERIES = 16_384, 32_768
+#: Numbers in the vectors of rows, and of queries, that meet in one task: 8 and 16 MB, whatever their length.
+ROWS, QUERIES = 1 << 20, 1 << 21
 #: Rows of one table may have so many different lengths; each is searched on its own.
 LENGTHS = 64
 SEED = 11
@@ -157,7 +157,7 @@ def search(rows: DataFrame, is_query, top: int = TOP) -> DataFrame:
     own = F.xxhash64("vec_id", "embedding").alias("own")
     questions = index.where(is_query).select("vec_id", "embedding", "d", own).dropDuplicates(["vec_id", "embedding"])
     asked = {r["d"]: r["count"] for r in questions.groupBy("d").count().collect()}
-    blocks = lambda sizes, size: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for d, n in sizes.items() for x in (d, max(1, math.ceil(n / size)))]), F.col("d")), F.lit(1)) if sizes else F.lit(1)
+    blocks = lambda sizes, size: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for d, n in sizes.items() for x in (d, max(1, math.ceil(n / max(1, size // d))))]), F.col("d")), F.lit(1)) if sizes else F.lit(1)
     row_blocks, query_blocks = blocks({d: n for d, (n, _) in means.items()}, ROWS), blocks(asked, QUERIES)
     block = lambda k: F.pmod(F.xxhash64("vec_id"), k).cast("int")
     each = lambda k: F.explode(F.sequence(F.lit(0), k - 1))

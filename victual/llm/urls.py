@@ -111,7 +111,8 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES,
 
     A null url, or one without ``://``, has an empty host and path; no rule
     fits and ``default`` is the verdict.  Repeated rows are judged each on its
-    own, an empty table gives an empty result, extra columns are ignored.
+    own, an empty table gives an empty result, extra columns are ignored.  Urls of any
+    length are judged whole.  Of rules with one host and path a block stands.
     """
     rules = list(rules)
     if len(rules) > MOST_RULES:
@@ -125,6 +126,7 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES,
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page; see ``judge_urls`` for the edge cases."""
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
