@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from victual.llm import classifier, lines, mixing, packing, simhash
+from victual.llm import classifier, lines, minhash, mixing, packing, simhash
 from victual.llm.common import shared_folder, table
 
 
@@ -29,8 +29,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the smallest doc_id; texts without words are a group."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-duplicates, the smallest doc_id; texts without words are a group.
+
+    Groups are those of SimHash fingerprints; then, of what they leave, those of texts whose five-word
+    shingles are alike by 0.8 or more, most of which differ in too many bits.
+    """
+    return simhash.keep_one(simhash.keep_one(docs), minhash.by_shingles)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
