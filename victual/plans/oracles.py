@@ -205,7 +205,7 @@ SELECT owner_id, date, {_known()} FROM e""", "diary"),
 ), j AS (SELECT s.owner_id, t_proteinG, t_carbsG, t_fatG, d.* EXCLUDE (owner_id) FROM settings s LEFT JOIN d ON d.owner_id = s.owner_id
 ), m AS ({_CARD})
 SELECT owner_id, position, nutrient, {_r('value')}, {_r('target')}, {_r('value / target * 100', 'percent')} FROM m""", "diary", "settings"),
-    "diary_scan": _with(f"SELECT owner_id, id, meal, foodName FROM diary WHERE date = {_DAY}", "diary"),
+    "diary_scan": _with(f"SELECT owner_id, CAST(row_number() OVER (PARTITION BY owner_id ORDER BY date DESC, id DESC) AS INTEGER) AS position, id, meal, foodName FROM diary WHERE date = {_DAY}", "diary"),
     "weight_moving_average": _with(f"SELECT owner_id, id, date, {_r('kg')}, {_r('avg(kg) OVER (PARTITION BY owner_id ORDER BY date, id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)', 'trendKg')} FROM weight", "weight"),
     "weight_latest": _with(f"SELECT owner_id, arg_max(id, (date, id)) AS id, max(date) AS date, {_r('arg_max(kg, (date, id))', 'kg')} FROM weight GROUP BY owner_id", "weight"),
     "weight_change_7d": _PRIOR(7),
@@ -361,5 +361,6 @@ SELECT d.owner_id, d.date, {_r('kg')} FROM d ASOF LEFT JOIN w ON d.owner_id = w.
     "backup_rejected_values": _LOST,
     "backup_fragment_entries": SQL["backup_entries"],
     "backup_repeated_ids": _with(f"SELECT d.owner_id, id, {_r('amount + 1', 'amount')} FROM diary d JOIN settings s ON s.owner_id = d.owner_id", "diary", "settings"),
+    "backup_names": "SELECT c_custkey AS owner_id, 'backup-2024-01-24.json' AS name FROM customer",
     "backup_files": _with(f"SELECT w.owner_id, id, date, {_r('w.kg', 'kg')} FROM weight w JOIN settings s ON s.owner_id = w.owner_id", "weight", "settings"),
 }

@@ -112,7 +112,8 @@ def macro_progress(spark, sf):
 def diary_scan(spark, sf):
     """Entries of one day, latest first."""
     rows = fx.diary(spark, sf).where(F.col("date") == fx.as_of())
-    return rows.orderBy("owner_id", F.desc("date"), F.desc("id")).select("owner_id", "id", "meal", "foodName")
+    place = F.row_number().over(Window.partitionBy("owner_id").orderBy(F.desc("date"), F.desc("id")))
+    return rows.withColumn("position", place).orderBy("owner_id", "position").select("owner_id", "position", "id", "meal", "foodName")
 
 
 @query
@@ -712,6 +713,14 @@ def backup_repeated_ids(spark, sf):
     return backup.read(documents)["diaryEntries"].select("owner_id", "id", _r("amount"))
 
 
+@query
+def backup_names(spark, sf):
+    """What each owner's exported document is called."""
+    empty = fx.foods(spark, sf).limit(0).withColumn("owner_id", F.lit(0).cast("long"))
+    documents = backup.build(fx.settings(spark, sf), empty, fx.diary(spark, sf).limit(0), fx.weights(spark, sf), F.lit("2024-01-24T08:09:10Z"))
+    return documents.select("owner_id", backup.file_name(F.col("backup")).alias("name"))
+
+
 @query
 def backup_files(spark, sf):
     """Weigh-ins written as a file for each owner, and read again."""
