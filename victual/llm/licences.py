@@ -10,7 +10,8 @@ is checked.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import partial, reduce
 from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,20 +79,21 @@ NOTICES = (
 NO_HOLDERS = ("Act", "And", "Disclaimer", "Holder", "Interest", "Law", "License", "Licence", "Notice", "Owner", "Permission", "Right", "Statement", "Treat")
 #: A holder without a sign or year, over text as it is written.
 HOLDER = r"(^|\n)[^\p{L}\p{N}\n(©]*(Portions[ \t]+)?Copyright[ \t]+\p{Lu}[^\n]*"
-#: (pattern, replacement), in order, over lower-cased text.  Java's and RE2's engines read them alike.
+#: (pattern, replacement, texts of which one is in whatever matches), in order, over lower-cased text.  Java's and RE2's engines read them alike.
 PATTERNS = (
     # The notice at a copyright line's end stays.
-    (r"all rights reserved", "\nall rights reserved"),
+    (r"all rights reserved", "\nall rights reserved", ("all rights reserved",)),
     # The foundation's address, which moved.
-    (r"[0-9]+\s+(franklin\s+st|temple\s+pl)[^.;]{0,80}?usa", " "),
+    (r"[0-9]+\s+(franklin\s+st|temple\s+pl)[^.;]{0,80}?usa", " ", ("franklin", "temple")),
     # Copyright lines: the word or a sign, then a sign, a year, a placeholder or holders that are named as such.
     # "Copyright notice" and a point (c) of a list are no copyright line.  Holders go on in the next line after a comma, "and" or "&".
     (
         r"(^|\n)[^\p{L}\p{N}\n(©]*(portions[ \t]+)?((copyright|\(c\)|©)[ \t,:]*(\(c\)|©|[0-9]{4}|[\[<{]|by[ \t]|the[ \t][^\n]*(authors|contributors|foundation|regents))|©)([^\n]*(,|&|[ \t]and)[ \t]*\n)*[^\n]*",
         " ",
+        ("copyright", "(c)", "©"),
     ),
-    (r"[^\p{L}\p{N}]+", " "),
-    (r"(all rights reserved )+all rights reserved", "all rights reserved"),
+    (r"[^\p{L}\p{N}]+", " ", ()),
+    (r"(all rights reserved )+all rights reserved", "all rights reserved", ("all rights reserved all rights reserved",)),
 )
 #: (spelling, equivalent), in order, over words between single spaces.  Fixed values: spellings
 #: that licence texts use for each other.
@@ -130,20 +132,35 @@ def catalogue() -> list[tuple[str, str]]:
     return [*texts, *NOTICES]
 
 
+def _where(text: Column, marks: Iterable[str], change: Callable[[Column], Column]) -> Column:
+    """``text`` changed, if one of ``marks`` is in it; it is named once, and so computed once."""
+    def of(t: Column) -> Column:
+        return F.when(reduce(Column.__or__, [F.contains(t, F.lit(m)) for m in marks]), change(t)).otherwise(t)
+    return F.get(F.transform(F.array(text), of), F.lit(0))
+
+
+def _without_holders(text: Column) -> Column:
+    for word in NO_HOLDERS:
+        text = F.replace(text, F.lit(f"Copyright {word}"), F.lit(f"copyright {word}"))
+    return F.regexp_replace(text, HOLDER, " ")
+
+
 def canonical(text: Column) -> Column:
     """Lower-cased words between single spaces, without copyright lines, in one of equivalent spellings."""
-    out = text
-    for word in NO_HOLDERS:
-        out = F.replace(out, F.lit(f"Copyright {word}"), F.lit(f"copyright {word}"))
-    out = F.lower(F.regexp_replace(out, HOLDER, " "))
-    for pattern, replacement in PATTERNS:
-        out = F.regexp_replace(out, pattern, replacement)
+    out = F.lower(_where(text, ("Copyright",), _without_holders))
+    for pattern, replacement, marks in PATTERNS:
+        change = partial(_replaced, pattern=pattern, replacement=replacement)
+        out = _where(out, marks, change) if marks else change(out)
     out = F.concat(F.lit(" "), out, F.lit(" "))
     for spelling, equivalent in SPELLINGS:
         out = F.replace(out, F.lit(spelling), F.lit(equivalent))
     return F.trim(out)
 
 
+def _replaced(text: Column, pattern: str, replacement: str) -> Column:
+    return F.regexp_replace(text, pattern, replacement)
+
+
 def _digest(form: Column) -> Column:
     """Never null, so that a join adds no test that would compute the form once more."""
     return F.coalesce(F.sha2(form.cast("binary"), 256), F.lit(""))
@@ -188,7 +205,7 @@ def _canonical_sql(text: str) -> str:
     for word in NO_HOLDERS:
         out = f"replace({out}, 'Copyright {word}', 'copyright {word}')"
     out = f"lower(regexp_replace({out}, '{HOLDER}', ' ', 'g'))"
-    for pattern, replacement in PATTERNS:
+    for pattern, replacement, _ in PATTERNS:
         out = f"regexp_replace({out}, '{pattern}', '{replacement}', 'g')"
     out = f"' ' || {out} || ' '"
     for spelling, equivalent in SPELLINGS:

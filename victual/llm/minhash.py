@@ -12,7 +12,7 @@
 A crowded list never gives all its pairs.  First each class is confirmed against the smallest
 member of its lists, the one that most of them name, and what is linked becomes a cluster.  From
 then on only pairs across clusters count, as others change nothing: in a list, all but its largest cluster are
-compared with everything else, in blocks.  First the best partners of each are confirmed, in a few rounds,
+compared with everything else, in blocks.  First the best partners of each are confirmed,
 which merges nearly all that can be; then all pairs that are left are refuted or proposed where their blocks meet, by 32 bits
 of each shingle.  So no pair is written that isn't nearly certain to be a link, and no link between components is passed over.
 """
@@ -39,8 +39,6 @@ SLACK = 5.0
 BLOCK = 512
 #: Band keys that a class shares with its smallest partner at least, for the two to be confirmed before others.
 SHARED = 3
-#: Rounds in which best partners are confirmed; each looks for them in its share of the lists.
-ROUNDS = 2
 #: Texts that one task confirms against others: those that it holds, and those that pass by.
 HELD, PASSING = 64, 512
 _draw = np.random.default_rng(20)
@@ -168,7 +166,7 @@ def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int) ->
     keyed = pairs.join(blocks, "of").select(F.xxhash64("of", F.pmod(F.xxhash64("a"), F.col("blocks"))).alias("block"), "a", "b").distinct()
     keyed = written(keyed, "pairs")
     passing = keyed.groupBy("block", "b").agg(F.collect_set("a").alias("partners"))
-    loads = keyed.select("block", "b").distinct().groupBy("block").agg(F.ceil(F.count("*") / PASSING).cast("int").alias("copies"))
+    loads = passing.groupBy("block").agg(F.ceil(F.count("*") / PASSING).cast("int").alias("copies"))
     copied = keyed.select("block", "a").distinct().join(loads, "block").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     went = passing.join(loads, "block").withColumn("copy", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int"))
     part = F.xxhash64("block", "copy").alias("part")
@@ -317,8 +315,19 @@ def all_partners(docs: DataFrame, met: DataFrame, roots: DataFrame, classes: Dat
     return written(pairs.groupBy("a", "b").agg(F.min("of").alias("of")), "candidates")
 
 
-def links(docs: DataFrame, classes: DataFrame, size: int, block: int = BLOCK) -> DataFrame:
-    """``(a, b)``: confirmed links that span the components of ``classes(node, rep, signature, bands)``."""
+def _merged(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """``roots(node, root)`` once links ``more(a, b)`` have joined clusters: only the clusters' own graph is searched."""
+    ends = more
+    for end in ("a", "b"):
+        own = roots.select(F.col("node").alias(end), F.col("root").alias(f"_{end}"))
+        ends = ends.join(own, end, "left").withColumn(end, F.coalesce(f"_{end}", end)).drop(f"_{end}")
+    up = written(components(ends.select("a", "b")), "merged")
+    moved = roots.join(up.select(F.col("node").alias("root"), F.col("root").alias("_top")), "root", "left").select("node", F.coalesce("_top", "root").alias("root"))
+    return written(moved.unionByName(up.join(roots, "node", "left_anti")), "roots")
+
+
+def clusters(docs: DataFrame, classes: DataFrame, size: int, block: int = BLOCK) -> DataFrame:
+    """``node, root``: the components of ``classes(node, rep, signature, bands)`` by confirmed links; those without a link are left out."""
     index = classes.select(F.explode("bands").alias("list"), "node")
     crowded = index.groupBy("list").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1").select("list", "first")
     met = written(index.join(crowded, "list"), "lists")
@@ -326,14 +335,13 @@ def links(docs: DataFrame, classes: DataFrame, size: int, block: int = BLOCK) ->
     named = shared.groupBy("node").agg(F.max_by(F.struct("first", "n"), F.struct("n", -F.col("first"))).alias("to")).where(F.col("to.n") >= SHARED)
     found = confirm(docs, classes, named.select(F.col("to.first").alias("a"), F.col("node").alias("b"), F.col("to.first").alias("of")), size)
     roots = components(found)
-    for k in range(ROUNDS):  # each merges the clusters that have a link with what looks most alike to them, in its share of the lists; what is left is compared in full
-        share = met.where(F.pmod("list", F.lit(ROUNDS)) == k)
-        more = confirm(docs, classes, best_partners(share, roots, classes, block), size)
-        if more.isEmpty():
-            continue
-        found = found.unionByName(more)
-        roots = components(found)
-    return found.unionByName(confirm(docs, classes, all_partners(docs, met, roots, classes, size, block), size))
+    # Most clusters have a link with what looks most alike to them, and half of the lists show that; what is left is compared in all of them.
+    half = met.where(F.pmod("list", F.lit(2)) == 0)
+    for pairs in (lambda: best_partners(half, roots, classes, block), lambda: all_partners(docs, met, roots, classes, size, block)):
+        more = confirm(docs, classes, pairs(), size)
+        if not more.isEmpty():
+            roots = _merged(roots, more)
+    return roots
 
 
 def _placed(docs: DataFrame, size: int, block: int) -> tuple[DataFrame, DataFrame]:
@@ -345,7 +353,7 @@ def _placed(docs: DataFrame, size: int, block: int) -> tuple[DataFrame, DataFram
     )
     # Numbers are given as the table is written, so they are the same whenever it is read.
     classes = written(some.withColumn("node", F.monotonically_increasing_id()), "classes")
-    roots = components(links(docs, classes, size, block))
+    roots = clusters(docs, classes, size, block)
     return rows, classes.select("skey", "node", "least").join(roots, "node", "left").select("skey", "node", "least", F.coalesce("root", "node").alias("root"))
 
 
