@@ -116,6 +116,18 @@ def test_writers_that_do_not_clash_both_succeed(spark, tmp_path, monkeypatch):
         other.append("diaryEntries", entries(spark, (1, 3, 9, 5.0)))
 
 
+def test_the_first_version_fixes_the_buckets(spark, tmp_path, monkeypatch):
+    """Someone else's first version has another number of buckets: what was written for ours is written again."""
+    for k, name in enumerate(("append", "upsert", "replace")):
+        mine, other = Store(spark, str(tmp_path / name), buckets=3), Store(spark, str(tmp_path / name), buckets=5)
+        overtaken(monkeypatch, mine, lambda: other.append("weightEntries", mine.read("weightEntries")))
+        mine.replace(foods=foods(spark, *range(30))) if name == "replace" else getattr(mine, name)("foods", foods(spark, *range(30)))
+        assert mine.log.latest()[1]["buckets"] == 5 and mine.version() == 2
+        assert [r.id for r in mine.lookup("foods", "id", ["17"]).collect()] == ["17"] and ids(mine) == [str(i) for i in range(30)]
+        mine.upsert("foods", foods(spark, 17, name="new"))
+        assert len(ids(mine)) == 30
+
+
 def test_a_writer_gives_up_in_the_end(spark, tmp_path, monkeypatch):
     store = Store(spark, str(tmp_path))
     monkeypatch.setattr(stores, "ATTEMPTS", 2)

@@ -298,16 +298,18 @@ class Store:
 
     def replace(self, rejects: str = "error", **tables: DataFrame) -> None:
         """Write the given tables whole as the next version, beside the others as they are."""
-        new: dict[str, tuple[str, dict[str, Any]]] = {}
+        made: dict[int, dict[str, tuple[str, dict[str, Any]]]] = {}
         sums: dict[str, Any] = {}
 
         def change(now: dict[str, Any], written: list[str]) -> dict[str, Any]:
-            if not new:
-                for name, rows in tables.items():
-                    new[name] = self._write(name, rows, now["buckets"], written, rejects)
-                    self._check(name, {"tables": {name: {}}}, *new[name], replacing=False)
-                if "diaryEntries" in tables:
-                    sums.update(self._sums({"sums": {}}, self._rows("diaryEntries", dict([new["diaryEntries"]])), None, written))
+            # Written once, but for a first version of another number of buckets that came between.
+            if (buckets := now["buckets"]) not in made:
+                made[buckets] = {name: self._write(name, rows, buckets, written, rejects) for name, rows in tables.items()}
+                for name, new_one in made[buckets].items():
+                    self._check(name, {"tables": {name: {}}}, *new_one, replacing=False)
+            new = made[buckets]
+            if "diaryEntries" in tables and not sums:
+                sums.update(self._sums({"sums": {}}, self._rows("diaryEntries", dict([new["diaryEntries"]])), None, written))
             return {**now, "tables": {**now["tables"], **{n: {f: said} for n, (f, said) in new.items()}}, "sums": dict(sums) if "diaryEntries" in tables else now["sums"]}
 
         self._commit(change, [])
@@ -318,15 +320,15 @@ class Store:
         ``batch`` names a stream and the number of its batch: one that isn't above the last one kept with the version was stored before and adds nothing.
         Small folders are merged once there are many.
         """
-        new: list[tuple[str, dict[str, Any]]] = []
+        made: dict[int, tuple[str, dict[str, Any]]] = {}
         sums: dict[str, Any] = {}
 
         def change(now: dict[str, Any], written: list[str]) -> dict[str, Any] | None:
             if batch and now["batches"].get(batch[0], -1) >= batch[1]:
                 return None
-            if not new:
-                new.append(self._write(name, rows, now["buckets"], written, rejects))
-            folder, said = new[0]
+            if (buckets := now["buckets"]) not in made:
+                made[buckets] = self._write(name, rows, buckets, written, rejects)
+            folder, said = made[buckets]
             self._check(name, now, folder, said, replacing=False)
             if name == "diaryEntries" and not sums:
                 sums.update(self._sums({"sums": {}}, self._rows(name, {folder: said}), None, written))
@@ -334,7 +336,7 @@ class Store:
             return {**now, "tables": {**now["tables"], name: {**now["tables"][name], folder: said}}, "sums": {**now["sums"], **sums}, "batches": batches}
 
         self._commit(change, [])
-        self.compact(name)
+        self._tidy(name)
 
     def sink(self, name: str, stream: str) -> Callable[[DataFrame, int], None]:
         """For ``foreachBatch``: appends each batch of a stream once, also if it is run again."""
@@ -354,12 +356,13 @@ class Store:
         self._put(name, keys, keep=False)
 
     def _put(self, name: str, stage: Callable[[int, list[str]], tuple[str, dict[str, Any]]], keep: bool) -> None:
-        keys, staged = list(KEYS[name]), []
+        keys = list(KEYS[name])
+        made: dict[int, tuple[str, dict[str, Any]]] = {}
 
         def change(now: dict[str, Any], written: list[str]) -> dict[str, Any] | None:
-            if not staged:
-                staged.append(stage(now["buckets"], written))
-            folder, said = staged[0]
+            if (buckets := now["buckets"]) not in made:
+                made[buckets] = stage(buckets, written)
+            folder, said = made[buckets]
             new = self._rows(name, {folder: said})
             if keep:
                 self._check(name, now, folder, said, replacing=True)
@@ -380,7 +383,7 @@ class Store:
             return {**now, "tables": {**now["tables"], name: {f: x for f, x in {**table, **fresh}.items() if x["buckets"]}}, "sums": sums}
 
         self._commit(change, [])
-        self.compact(name)
+        self._tidy(name)
 
     def compact(self, name: str) -> int:
         """Merge folders of a table, and of the daily sums, while many are of one size; how many times.
@@ -409,6 +412,13 @@ class Store:
             self._commit(change, [])
         return merges
 
+    def _tidy(self, name: str) -> None:
+        """Merge folders after a change, which stands also if others leave no room to merge."""
+        try:
+            self.compact(name)
+        except Conflict:
+            pass
+
     def save_foods(self, changes: DataFrame, now: Column, sequence: str | None = None) -> None:
         """Upsert of foods: ``updatedAt`` is now, ``createdAt`` stays or is now."""
         self.upsert("foods", changes.withColumns({"createdAt": F.coalesce("createdAt", now), "updatedAt": now}), sequence)
