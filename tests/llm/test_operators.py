@@ -371,6 +371,32 @@ def test_passages_against_brute_force(spark, seed):
     assert {r.doc_id: r.text.split() for r in left} == slow_passages(table, 9)
 
 
+def test_bitmaps_follow_what_they_mark(spark, monkeypatch):
+    """Full bitmaps cost comparisons, and larger ones nothing: the texts that are left are the same."""
+    run = prose(500, 70)
+    table = docs(spark, *[(i, f"{prose(i, 90)}\n{run if i % 2 else ''} {prose(1000 + i, 40)}", "s") for i in range(40)])
+    left = {r.doc_id: r.text for r in lines.dedup_lines(table).collect()}
+    rows = table.select(lines.utf8("text").alias("_text")).mapInArrow(lambda b: lines._stretches(b, 50), "fp long, stretch long")
+    assert lines._marks(rows).shape == (2, lines.LEAST_MARKS >> 6)
+    monkeypatch.setattr(lines, "LEAST_MARKS", 64)
+    sized, many = lines._marks(rows).shape[1] * 64, rows.groupBy("fp").count().where("count > 1").count()
+    assert lines.PER_MARK * many <= sized < 2 * lines.PER_MARK * many
+    monkeypatch.setattr(lines, "MOST_MARKS", 64)
+    assert lines._marks(rows).shape == (2, 1)
+    assert {r.doc_id: r.text for r in lines.dedup_lines(table).collect()} == left
+    assert {i: t.split() for i, t in left.items()} == slow_passages([(r.doc_id, r.text) for r in table.collect()], 50)
+
+
+def test_equal_digests_of_different_words(spark, monkeypatch):
+    """Where the first digest says nothing, the check alone keeps different windows apart."""
+    monkeypatch.setattr(lines, "_BASE", 1)  # sums of words: order doesn't matter
+    words = prose(800, 60).split()
+    turned = [*words[:20], words[21], words[20], *words[22:]]
+    found = [lines.Passages([" ".join(x).encode()], 60) for x in (words, turned, [w.upper() for w in words])]
+    one, other, again = ((int(x.digests[0]), int(x.checks[0])) for x in found)
+    assert one[0] == other[0] and one[1] != other[1] and one == again
+
+
 def test_line_dedup_edges(spark):
     text = prose(1, 60)
     table = clashing(docs(spark, (1, None, "s"), (2, "", None), (None, text, "s"), (4, text, "s"), (4, text, "s"), (5, text, "s"), (6, f"{text}\n{text}", "s"), (4, "other", "s")))

@@ -22,9 +22,11 @@ fingerprints are guaranteed, and they depend on nothing but the passage.
 No occurrence is paired with each other one, and equal stretches and windows are
 aggregated before they are shuffled, so a passage that a third of all texts hold
 is a few rows for each task.  Texts that lose nothing are never shuffled: those
-that lose something are marked in a third bitmap.  A bitmap is a broadcast of
-constant size; a bit that stands for something else
-too costs rows that are compared or moved in vain, but none is missed.
+that lose something are marked in a third bitmap.  The first two have ``PER_MARK`` bits for
+each fingerprint to be marked, up to ``MOST_MARKS``, the third has a constant size; a
+bit that stands for something else too costs rows that are compared or moved in
+vain, but none is missed.  Stretches and windows are equal where two digests of
+all their words are, 128 bits in all.
 """
 
 from __future__ import annotations
@@ -47,19 +49,18 @@ from .common import bit, bounded_batches, may_be_in, numbered, table, utf8, word
 LEAST_WORDS = 50
 #: Bytes of text whose words are in memory at once.
 PART = 1 << 20
-#: Bits of the bitmaps of fingerprints.
-MARKS = 1 << 27
-#: An odd number to hash runs of words with, and its inverse.
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bits of the bitmaps for each fingerprint in them, and the least and most bits of one.
+PER_MARK, LEAST_MARKS, MOST_MARKS = 32, 1 << 16, 1 << 29
+#: Odd numbers to hash runs of words with, for the digest and the check.
+_BASE, _CHECK = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _WORD = re.compile(rb"\S+")
 
 
-def _hasher(words: np.ndarray) -> Callable[[Any, Any], np.ndarray]:
+def _hasher(words: np.ndarray, base: int) -> Callable[[Any, Any], np.ndarray]:
     """A function that hashes runs of words, from places to places, over hashes of the words."""
-    powers = np.cumprod(np.full(len(words), _BASE, np.uint64))
+    powers = np.cumprod(np.full(len(words), base, np.uint64))
     sums = np.r_[np.uint64(0), np.cumsum(words * powers, dtype=np.uint64)]
-    inverses = np.cumprod(np.full(len(words) + 1, _INVERSE, np.uint64))
+    inverses = np.cumprod(np.full(len(words) + 1, pow(base, -1, 1 << 64), np.uint64))
 
     def runs(starts: Any, stops: Any) -> np.ndarray:
         out = (sums[stops] - sums[starts]) * inverses[starts]
@@ -80,7 +81,7 @@ def _sliding(values: np.ndarray, n: int, pick: np.ufunc) -> np.ndarray:
 
 
 class Passages:
-    """The stretches of some texts: arrays of their text, first word, windows, fingerprint and digest."""
+    """The stretches of some texts: arrays of their text, first word, windows, fingerprint, digest and check."""
 
     def __init__(self, texts: list[bytes], least: int = LEAST_WORDS):
         split = [t.lower().split() for t in texts]
@@ -90,7 +91,9 @@ class Passages:
         self.near = near = least - gram + 1
         if len(words) < least:  # no window: as of a single text of so many words that isn't whole
             counts, words = np.zeros(1, np.int64), np.zeros(least, np.uint64)
-        self.least, self._runs = least, _hasher(words)
+        self.least, self._runs = least, _hasher(words, _BASE)
+        # Other values of the words and another base: what the one digest takes for equal the other tells apart.
+        self._checks = _hasher((words ^ (words >> np.uint64(32))) * np.uint64(_CHECK), _CHECK)
         self._grams = self._runs(slice(None, -gram), slice(gram, None))
         minima = _sliding(self._grams, near, np.minimum)
         stops = np.cumsum(counts)
@@ -104,7 +107,8 @@ class Passages:
         first = np.flatnonzero(since % near == 0)
         self.sizes = np.diff(np.r_[first, len(fps)])
         self.owner, self.fps, self._start, self._text = owner[first], fps[first], whole[first], stops - counts
-        self.digests = self._runs(self._start, self._start + self.sizes - 1 + least)
+        stop = self._start + self.sizes - 1 + least
+        self.digests, self.checks = self._runs(self._start, stop), self._checks(self._start, stop)
         self.at = self._start - self._text[self.owner]
 
     def periodic(self) -> np.ndarray:
@@ -117,13 +121,13 @@ class Passages:
         fps = self._grams[order]
         return np.unique(fps[1:][(fps[1:] == fps[:-1]) & (np.diff(order) <= self.near)])
 
-    def windows(self, of: np.ndarray) -> pa.ListArray:
-        """The digests of the windows of each stretch, null but for those in the mask ``of``."""
+    def windows(self, of: np.ndarray) -> list[pa.ListArray]:
+        """The digests and the checks of the windows of each stretch, null but for those in the mask ``of``."""
         sizes = np.where(of, self.sizes, 0)
         step = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         start = np.repeat(self._start, sizes) + step
-        digests = self._runs(start, start + self.least).view(np.int64)
-        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(digests), mask=pa.array(~of))
+        offsets, mask = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(~of)
+        return [pa.ListArray.from_arrays(offsets, pa.array(runs(start, start + self.least).view(np.int64)), mask=mask) for runs in (self._runs, self._checks)]
 
 
 def without_words(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
@@ -177,18 +181,20 @@ def _stretches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (fps, digests)], names=["fp", "stretch"])
 
 
-_FOUND = "doc_id long, tkey long, at long, stretch long, size int, windows array<long>"
+_FOUND = "doc_id long, tkey long, at long, stretch long, check long, size int, windows array<long>, checks array<long>"
 
 
 def _marked(batches: Iterator[pa.RecordBatch], least: int, marks: Broadcast) -> Iterator[pa.RecordBatch]:
     """Marked stretches, with the digests of their windows where the fingerprint's stretches differ."""
+    mask = np.uint64(marks.value.shape[1] * 64 - 1)
     for batch, found in _parts(batches, least):
-        bits = found.fps & np.uint64(MARKS - 1)
+        bits = found.fps & mask
         shared, differ = (marks.value[:, (bits >> np.uint64(6)).astype(np.int64)] >> (bits & np.uint64(63)) & np.uint64(1)).astype(bool)
-        windows, of = found.windows(differ), np.flatnonzero(shared)
-        rows = pa.array(found.owner[of])
-        columns = [pa.array(found.at[of]), pa.array(found.digests[of].view(np.int64)), pa.array(found.sizes[of].astype(np.int32)), windows.take(pa.array(of))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("tkey").take(rows), *columns], names=["doc_id", "tkey", "at", "stretch", "size", "windows"])
+        of = np.flatnonzero(shared)
+        rows, taken = pa.array(found.owner[of]), pa.array(of)
+        columns = [pa.array(x[of].view(np.int64)) for x in (found.at, found.digests, found.checks)]
+        columns += [pa.array(found.sizes[of].astype(np.int32)), *(x.take(taken) for x in found.windows(shared & differ))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("tkey").take(rows), *columns], names=["doc_id", "tkey", "at", "stretch", "check", "size", "windows", "checks"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,9 +211,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _marks(stretches: DataFrame) -> np.ndarray:
     """Bitmaps of the fingerprints (by their lowest bits) of more than one stretch, and of stretches that differ."""
     found = stretches.groupBy("fp").agg(F.count("*").alias("n"), (F.min("stretch") < F.max("stretch")).alias("differ")).where("n > 1")
-    found = found.groupBy(word("fp", MARKS).alias("at")).agg(F.bit_or(bit("fp")).alias("shared"), F.bit_or(F.when(F.col("differ"), bit("fp")).otherwise(0)).alias("differ"))
+    found = written(found.drop("n"), "fingerprints")
+    bits = min(MOST_MARKS, max(LEAST_MARKS, 1 << (PER_MARK * found.count() - 1).bit_length()))
+    found = found.groupBy(word("fp", bits).alias("at")).agg(F.bit_or(bit("fp")).alias("shared"), F.bit_or(F.when(F.col("differ"), bit("fp")).otherwise(0)).alias("differ"))
     words = found.toArrow()
-    marks = np.zeros((2, MARKS >> 6), np.uint64)
+    marks = np.zeros((2, bits >> 6), np.uint64)
     for k, name in enumerate(("shared", "differ")):
         marks[k, words["at"].to_numpy()] = words[name].to_numpy().view(np.uint64)
     return marks
@@ -225,15 +233,16 @@ def repeated_windows(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     place = F.struct("doc_id", "tkey", "at")
     span = lambda words: (F.shiftleft("at", 32).bitwiseOR(words)).alias("span")
 
-    def later(rows: DataFrame, by: str) -> DataFrame:
+    def later(rows: DataFrame, *by: str) -> DataFrame:
         """The rows that aren't the earliest of those alike."""
-        first = rows.groupBy(by).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        return rows.join(first, by).where(place != F.col("first"))
-
-    whole = later(found.select("doc_id", "tkey", "at", "stretch", "size"), "stretch").select("doc_id", "tkey", span((F.col("size") + (least - 1)).cast("long")))
-    ends = found.where("windows is not null").groupBy("stretch").agg(F.min(F.struct("doc_id", "tkey", "at", "windows")).alias("first")).select("first.*")
-    ends = ends.select("doc_id", "tkey", "at", F.posexplode("windows").alias("step", "window")).select("doc_id", "tkey", (F.col("at") + F.col("step")).alias("at"), "window")
-    return whole.unionByName(later(ends, "window").select("doc_id", "tkey", span(F.lit(least).cast("long"))))
+        first = rows.groupBy(*by).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+        return rows.join(first, list(by)).where(place != F.col("first"))
+
+    whole = later(found.drop("windows", "checks"), "stretch", "check").select("doc_id", "tkey", span((F.col("size") + (least - 1)).cast("long")))
+    ends = found.where("windows is not null").groupBy("stretch", "check").agg(F.min(F.struct("doc_id", "tkey", "at", "windows", "checks")).alias("first")).select("first.*")
+    ends = ends.select("doc_id", "tkey", "at", F.posexplode(F.arrays_zip("windows", "checks")).alias("step", "window"))
+    ends = ends.select("doc_id", "tkey", (F.col("at") + F.col("step")).alias("at"), "window.*")
+    return whole.unionByName(later(ends, "windows", "checks").select("doc_id", "tkey", span(F.lit(least).cast("long"))))
 
 
 def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
