@@ -393,8 +393,10 @@ def test_equal_digests_of_different_words(spark, monkeypatch):
     words = prose(800, 60).split()
     turned = [*words[:20], words[21], words[20], *words[22:]]
     found = [lines.Passages([" ".join(x).encode()], 60) for x in (words, turned, [w.upper() for w in words])]
-    one, other, again = ((int(x.digests[0]), int(x.checks[0])) for x in found)
+    yes = np.ones(1, bool)
+    one, other, again = ([x.to_pylist()[0] for x in f.checked(yes, yes)] for f in found)
     assert one[0] == other[0] and one[1] != other[1] and one == again
+    assert one[2:] == [[one[0]], [one[1]]]
 
 
 def test_line_dedup_edges(spark):

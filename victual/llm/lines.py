@@ -26,7 +26,7 @@ that lose something are marked in a third bitmap.  The first two have ``PER_MARK
 each fingerprint to be marked, up to ``MOST_MARKS``, the third has a constant size; a
 bit that stands for something else too costs rows that are compared or moved in
 vain, but none is missed.  Stretches and windows are equal where two digests of
-all their words are, 128 bits in all.
+all their words are, 96 bits in all.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ LEAST_WORDS = 50
 #: Bytes of text whose words are in memory at once.
 PART = 1 << 20
 #: Bits of the bitmaps for each fingerprint in them, and the least and most bits of one.
-PER_MARK, LEAST_MARKS, MOST_MARKS = 32, 1 << 16, 1 << 29
+PER_MARK, LEAST_MARKS, MOST_MARKS = 128, 1 << 16, 1 << 29
 #: Odd numbers to hash runs of words with, for the digest and the check.
 _BASE, _CHECK = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _WORD = re.compile(rb"\S+")
@@ -81,7 +81,7 @@ def _sliding(values: np.ndarray, n: int, pick: np.ufunc) -> np.ndarray:
 
 
 class Passages:
-    """The stretches of some texts: arrays of their text, first word, windows, fingerprint, digest and check."""
+    """The stretches of some texts: arrays of their text, first word, windows, fingerprint and digest."""
 
     def __init__(self, texts: list[bytes], least: int = LEAST_WORDS):
         split = [t.lower().split() for t in texts]
@@ -91,9 +91,7 @@ class Passages:
         self.near = near = least - gram + 1
         if len(words) < least:  # no window: as of a single text of so many words that isn't whole
             counts, words = np.zeros(1, np.int64), np.zeros(least, np.uint64)
-        self.least, self._runs = least, _hasher(words, _BASE)
-        # Other values of the words and another base: what the one digest takes for equal the other tells apart.
-        self._checks = _hasher((words ^ (words >> np.uint64(32))) * np.uint64(_CHECK), _CHECK)
+        self.least, self._words, self._runs = least, words, _hasher(words, _BASE)
         self._grams = self._runs(slice(None, -gram), slice(gram, None))
         minima = _sliding(self._grams, near, np.minimum)
         stops = np.cumsum(counts)
@@ -107,8 +105,7 @@ class Passages:
         first = np.flatnonzero(since % near == 0)
         self.sizes = np.diff(np.r_[first, len(fps)])
         self.owner, self.fps, self._start, self._text = owner[first], fps[first], whole[first], stops - counts
-        stop = self._start + self.sizes - 1 + least
-        self.digests, self.checks = self._runs(self._start, stop), self._checks(self._start, stop)
+        self.digests = self._runs(self._start, self._start + self.sizes - 1 + least)
         self.at = self._start - self._text[self.owner]
 
     def periodic(self) -> np.ndarray:
@@ -121,13 +118,20 @@ class Passages:
         fps = self._grams[order]
         return np.unique(fps[1:][(fps[1:] == fps[:-1]) & (np.diff(order) <= self.near)])
 
-    def windows(self, of: np.ndarray) -> list[pa.ListArray]:
-        """The digests and the checks of the windows of each stretch, null but for those in the mask ``of``."""
-        sizes = np.where(of, self.sizes, 0)
+    def checked(self, shared: np.ndarray, differ: np.ndarray) -> list[pa.Array]:
+        """Of the stretches in the mask ``shared``: the digest, check, and those of each window where ``differ``, null elsewhere.
+
+        A check is of other values of the words and has another base, so that it tells apart what one digest takes for equal.
+        """
+        checks = _hasher((self._words ^ (self._words >> np.uint64(32))) * np.uint64(_CHECK), _CHECK)
+        start, sizes, differ = self._start[shared], self.sizes[shared], differ[shared]
+        stop = start + sizes - 1 + self.least
+        sizes = np.where(differ, sizes, 0)
         step = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        start = np.repeat(self._start, sizes) + step
-        offsets, mask = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(~of)
-        return [pa.ListArray.from_arrays(offsets, pa.array(runs(start, start + self.least).view(np.int64)), mask=mask) for runs in (self._runs, self._checks)]
+        window = np.repeat(start, sizes) + step
+        offsets, mask = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(~differ)
+        pairs = [(self._runs(a, b).view(np.int64), (checks(a, b) >> np.uint64(32)).astype(np.uint32).view(np.int32)) for a, b in ((start, stop), (window, window + self.least))]
+        return [*map(pa.array, pairs[0]), *(pa.ListArray.from_arrays(offsets, pa.array(x), mask=mask) for x in pairs[1])]
 
 
 def without_words(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
@@ -181,7 +185,7 @@ def _stretches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (fps, digests)], names=["fp", "stretch"])
 
 
-_FOUND = "doc_id long, tkey long, at long, stretch long, check long, size int, windows array<long>, checks array<long>"
+_FOUND = "doc_id long, tkey long, at long, stretch long, check int, windows array<long>, checks array<int>, size int"
 
 
 def _marked(batches: Iterator[pa.RecordBatch], least: int, marks: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -190,11 +194,9 @@ def _marked(batches: Iterator[pa.RecordBatch], least: int, marks: Broadcast) ->
     for batch, found in _parts(batches, least):
         bits = found.fps & mask
         shared, differ = (marks.value[:, (bits >> np.uint64(6)).astype(np.int64)] >> (bits & np.uint64(63)) & np.uint64(1)).astype(bool)
-        of = np.flatnonzero(shared)
-        rows, taken = pa.array(found.owner[of]), pa.array(of)
-        columns = [pa.array(x[of].view(np.int64)) for x in (found.at, found.digests, found.checks)]
-        columns += [pa.array(found.sizes[of].astype(np.int32)), *(x.take(taken) for x in found.windows(shared & differ))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("tkey").take(rows), *columns], names=["doc_id", "tkey", "at", "stretch", "check", "size", "windows", "checks"])
+        rows = pa.array(found.owner[shared])
+        columns = [pa.array(found.at[shared]), *found.checked(shared, differ), pa.array(found.sizes[shared].astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("tkey").take(rows), *columns], names=["doc_id", "tkey", "at", "stretch", "check", "windows", "checks", "size"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
