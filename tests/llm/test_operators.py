@@ -387,6 +387,23 @@ def test_bitmaps_follow_what_they_mark(spark, monkeypatch):
     assert {i: t.split() for i, t in left.items()} == slow_passages([(r.doc_id, r.text) for r in table.collect()], 50)
 
 
+@pytest.mark.parametrize("least", [64, 1 << 12, 1 << 29])
+def test_bitmaps_are_one_job(spark, monkeypatch, least):
+    """Whatever their size, they hold the lowest bits of what occurs twice; no table is written for them."""
+    monkeypatch.setattr(lines, "LEAST_MARKS", least)
+    draw = random.Random(5)
+    fps = [draw.getrandbits(64) - (1 << 63) for _ in range(90)]
+    rows = [(fp, s) for k, fp in enumerate(fps) for s in ((7,), (7, 7), (-1, 8, 8))[k % 3]]
+    before = set(common._made)
+    marks = lines._marks(spark.createDataFrame(rows, "fp long, stretch long").repartition(5))
+    assert set(common._made) == before
+    bits = marks.shape[1] * 64
+    assert bits == max(least, 1 << (lines.PER_MARK * 60 - 1).bit_length())
+    for row, kinds in zip(marks, ((1, 2), (2,))):
+        words = np.flatnonzero(row).tolist()
+        assert {w * 64 + b for w in words for b in range(64) if int(row[w]) >> b & 1} == {fp & (bits - 1) for k, fp in enumerate(fps) if k % 3 in kinds}
+
+
 def test_equal_digests_of_different_words(spark, monkeypatch):
     """Where the first digest says nothing, the check alone keeps different windows apart."""
     monkeypatch.setattr(lines, "_BASE", 1)  # sums of words: order doesn't matter

@@ -213,13 +213,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _marks(stretches: DataFrame) -> np.ndarray:
     """Bitmaps of the fingerprints (by their lowest bits) of more than one stretch, and of stretches that differ."""
     found = stretches.groupBy("fp").agg(F.count("*").alias("n"), (F.min("stretch") < F.max("stretch")).alias("differ")).where("n > 1")
-    found = written(found.drop("n"), "fingerprints")
-    bits = min(MOST_MARKS, max(LEAST_MARKS, 1 << (PER_MARK * found.count() - 1).bit_length()))
-    found = found.groupBy(word("fp", bits).alias("at")).agg(F.bit_or(bit("fp")).alias("shared"), F.bit_or(F.when(F.col("differ"), bit("fp")).otherwise(0)).alias("differ"))
+    found = found.groupBy(word("fp", MOST_MARKS).alias("at")).agg(F.bit_or(bit("fp")).alias("shared"), F.bit_or(F.when(F.col("differ"), bit("fp")).otherwise(0)).alias("differ"))
     words = found.toArrow()
+    # Their bits count them, for the size: some that fall together don't matter to it.
+    many = int(np.bitwise_count(words["shared"].to_numpy().view(np.uint64)).sum(dtype=np.int64))
+    bits = min(MOST_MARKS, max(LEAST_MARKS, 1 << (PER_MARK * many - 1).bit_length()))
     marks = np.zeros((2, bits >> 6), np.uint64)
+    at = words["at"].to_numpy() & ((bits >> 6) - 1)  # of the largest bitmap's words, those of this one fall together
     for k, name in enumerate(("shared", "differ")):
-        marks[k, words["at"].to_numpy()] = words[name].to_numpy().view(np.uint64)
+        np.bitwise_or.at(marks[k], at, words[name].to_numpy().view(np.uint64))
     return marks
 
 
