@@ -6,7 +6,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from victual.llm import minhash
+from victual.llm import components, minhash
 from tests.llm.test_operators import clashing, docs, edited, prose
 
 
@@ -113,3 +113,27 @@ def test_bands_miss_next_to_nothing():
         pair = [minhash.minima(np.unique(np.r_[common, draw.integers(0, 1 << 63, n, dtype=np.uint64)])) for _ in range(2)]
         missed += not (minhash.band_keys(pair[0]) == minhash.band_keys(pair[1])).any()
     assert missed == 0
+
+
+def test_no_pairs_read_no_texts(spark):
+    """A round that has nothing to confirm ends there: neither texts nor classes are looked at."""
+    pairs = spark.createDataFrame([], "a long, b long, of long")
+    got = minhash.confirm(None, None, pairs, 4)
+    assert got.columns == ["a", "b"] and got.isEmpty()
+
+
+def test_plans_stay_small(spark, monkeypatch):
+    """No single job has many exchanges: the driver holds all the stages of one at once."""
+    most = {}
+
+    def counting(df, name, written=minhash.written):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        most[name] = max(most.get(name, 0), plan.count("Exchange"))
+        return written(df, name)
+
+    monkeypatch.setattr(minhash, "written", counting)
+    monkeypatch.setattr(components, "written", counting)
+    texts = group(1, 12, 150, 12) + group(2, 6, 60, 5) + [prose(300 + k, 50) for k in range(5)]
+    rows = [(k, t, None) for k, t in enumerate(texts)]
+    assert found(spark, rows) == slow_components(rows, 4)
+    assert most["edges"] <= 4 and most["links"] <= 9 and most["candidates"] <= 9

@@ -46,6 +46,8 @@ def components(edges: DataFrame) -> DataFrame:
         edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges"
     )
     while not _are_stars(state):
-        state = written(_stars(_stars(state, True), False), "edges")
+        # One at a time: a plan of both holds the large star three times over, and the driver all of its stages.
+        for large in (True, False):
+            state = written(_stars(state, large), "edges")
     roots = state.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     return roots.union(state.select("lo", "lo").distinct())

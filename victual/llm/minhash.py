@@ -165,12 +165,16 @@ def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int) ->
     blocks = pairs.select("of", "a").distinct().groupBy("of").agg(F.ceil(F.count("*") / HELD).alias("blocks"))
     keyed = pairs.join(blocks, "of").select(F.xxhash64("of", F.pmod(F.xxhash64("a"), F.col("blocks"))).alias("block"), "a", "b").distinct()
     keyed = written(keyed, "pairs")
+    if keyed.isEmpty():
+        return keyed.select("a", "b")
     passing = keyed.groupBy("block", "b").agg(F.collect_set("a").alias("partners"))
     loads = passing.groupBy("block").agg(F.ceil(F.count("*") / PASSING).cast("int").alias("copies"))
     copied = keyed.select("block", "a").distinct().join(loads, "block").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     went = passing.join(loads, "block").withColumn("copy", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int"))
     part = F.xxhash64("block", "copy").alias("part")
     rows = copied.select(part, F.col("a").alias("node"), F.lit(None).cast("array<long>").alias("partners")).unionByName(went.select(part, F.col("b").alias("node"), "partners"))
+    # Written, so that the plan that moves the texts, the largest of all, holds nothing of how they are dealt.
+    rows = written(rows, "passing")
     texts = texts_of(docs, classes, keyed.select(F.col("a").alias("node")).union(keyed.select("b")).distinct())
     met = rows.join(texts, "node").select("part", "node", "partners", "text").repartition("part").sortWithinPartitions("part", F.col("partners").isNotNull())
     return written(met.mapInArrow(partial(_confirmed, size=size), "a long, b long"), "links")
@@ -280,6 +284,7 @@ def dealt(met: DataFrame, roots: DataFrame, block: int) -> DataFrame:
     mixed = sizes.groupBy("list").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("clusters")).where("clusters > 1")
     blocks = lambda n: F.ceil(n / block).cast("int")
     mixed = mixed.select("list", F.col("most.root").alias("of"), blocks(F.col("most.n")).alias("mains"), blocks(F.col("n") - F.col("most.n")).alias("others"))
+    mixed = written(mixed, "mixed")
     rows = rows.join(mixed, "list").withColumn("main", F.col("root") == F.col("of"))
     own = F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
     rows = rows.withColumn("block", own + F.when(F.col("main"), 0).otherwise(F.col("mains")))
@@ -310,6 +315,8 @@ def all_partners(docs: DataFrame, met: DataFrame, roots: DataFrame, classes: Dat
     rows = _in_parts(dealt(met, roots, block).join(classes.select("node", "signature"), "node"))
     kind = "part long, node long, root long, block int, main boolean, of long"
     near = written(rows.mapInArrow(partial(_alike, best=False), kind), "near")
+    if near.isEmpty():
+        return near.select(F.col("node").alias("a"), F.col("root").alias("b"), "of")
     prints = texts_of(docs, classes, near.select("node").distinct()).mapInArrow(partial(_printed, size=size), "node long, prints binary")
     pairs = _in_parts(near.join(prints, "node")).mapInArrow(_refuted, "a long, b long, of long")
     return written(pairs.groupBy("a", "b").agg(F.min("of").alias("of")), "candidates")
@@ -334,7 +341,7 @@ def clusters(docs: DataFrame, classes: DataFrame, size: int, block: int = BLOCK)
     shared = met.where("node <> first").repartition("node").groupBy("node", "first").agg(F.count("*").alias("n"))
     named = shared.groupBy("node").agg(F.max_by(F.struct("first", "n"), F.struct("n", -F.col("first"))).alias("to")).where(F.col("to.n") >= SHARED)
     found = confirm(docs, classes, named.select(F.col("to.first").alias("a"), F.col("node").alias("b"), F.col("to.first").alias("of")), size)
-    roots = components(found)
+    roots = written(components(found), "roots")
     # Most clusters have a link with what looks most alike to them, and half of the lists show that; what is left is compared in all of them.
     half = met.where(F.pmod("list", F.lit(2)) == 0)
     for pairs in (lambda: best_partners(half, roots, classes, block), lambda: all_partners(docs, met, roots, classes, size, block)):
